@@ -1,15 +1,393 @@
-"""All registered queries of the track and route library, with their SQL."""
+"""All registered queries of the track and route library, with DuckDB SQL where SQL can express them.
+
+Each query is thin: it reads derived tables, calls operators, and rounds what trigonometry leaves in last digits.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loopmill.functions import geo
+from loopmill.functions.scratch import settle
+from loopmill.jobs import oracles
+from loopmill.operators import candidates, elevation, graph, places, profiles, ranking, tracks
+from loopmill.sources import gpx
+from loopmill.sources.fixtures import fixture
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+TRACK, ROUTE = ["track_id"], ["request_id", "route_no"]
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _digits(df: DataFrame, n: int, *names: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c in names})
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "track_points")
+
+
+@query
+def p1_haversine(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    return p.select("track_id", "seq", F.round(geo.haversine_km(F.lit(42.36), F.lit(-71.06), F.col("lat"), F.col("lon")), 6).alias("km"))
+
+
+@query
+def p2_destination(spark, sf_dir):
+    lat, lon = geo.destination(F.col("lat"), F.col("lon"), (F.col("seq") * 30).cast("double"), (F.col("seq") * 100).cast("double"))
+    return _points(spark, sf_dir).select("track_id", "seq", F.round(lat, 9).alias("dest_lat"), F.round(lon, 9).alias("dest_lon"))
+
+
+@query
+def p3_search_bounds(spark, sf_dir):
+    bounds = geo.search_bounds(F.col("target_distance_km"))
+    return fixture(spark, sf_dir, "search_requests").select("request_id", *(F.round(c, 6).alias(n) for n, c in bounds.items()))
+
+
+@query
+def p4_validate_requests(spark, sf_dir):
+    return ranking.validate_requests(fixture(spark, sf_dir, "search_requests")).select("request_id", "location", "num_results", "reason")
+
+
+@query
+def p5_resolve_targets(spark, sf_dir):
+    r = fixture(spark, sf_dir, "search_requests")
+    n = F.col("request_id") % 6
+    asked = r.select(
+        "request_id",
+        F.when(n == 0, "gpx").otherwise("manual").alias("mode"),
+        (F.col("request_id") % 200).alias("track_id"),
+        F.col("target_distance_km").alias("distance_km"),
+        F.when(n == 1, "").when(n == 2, "0").when(n == 3, "2.5").when(n == 4, "steep").alias("grade"),
+        F.col("target_elevation_gain_m").alias("gain_m"),
+    )
+    return _digits(ranking.resolve_targets(asked, tracks.profile_summary(_points(spark, sf_dir), TRACK)), 6, "gain_m")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.score_routes(fixture(spark, sf_dir, "candidate_metrics"), fixture(spark, sf_dir, "search_requests"))
+
+
+@query
+def p6_p7_grades(spark, sf_dir):
+    grade = geo.grade_pct(F.col("elevation_gain_m"), F.col("distance_km"))
+    return fixture(spark, sf_dir, "candidate_metrics").select("request_id", "candidate_no", grade.alias("avg_grade"), geo.grade_band(grade).alias("band"))
+
+
+@query
+def p8_summaries(spark, sf_dir):
+    s = ranking.summarise_routes(_scored(spark, sf_dir))
+    joined = {c: F.array_join(c, "|") for c in ("pros", "cons")}
+    return s.select("request_id", "candidate_no", "grade_desc", "avg_grade", *(c.alias(n) for n, c in joined.items()), "recommendation")
+
+
+@query
+def p9_fallback(spark, sf_dir):
+    """Routes of no length, or without metrics, keep their row."""
+    broken = _scored(spark, sf_dir).withColumn("distance_km", F.when(F.col("candidate_no") % 3 == 0, F.lit(0.0)).when(F.col("candidate_no") % 3 == 1, F.col("distance_km")))
+    s = ranking.summarise_routes(broken)
+    return s.select("request_id", "candidate_no", "grade_desc", F.size("pros").cast("long").alias("n_pros"), F.size("cons").cast("long").alias("n_cons"), "recommendation")
+
+
+@query
+def p10_compare(spark, sf_dir):
+    return ranking.compare_to_target(_scored(spark, sf_dir), ["request_id", "candidate_no"])
+
+
+@query
+def p11_chart_series(spark, sf_dir):
+    return tracks.chart_series(tracks.profile_points(_points(spark, sf_dir), TRACK), TRACK)
+
+
+@query
+def p12_place_display(spark, sf_dir):
+    return places.place_display(fixture(spark, sf_dir, "places")).select("place_id", "is_us", "display")
+
+
+@query
+def s1_s4_gpx_points(spark, sf_dir):
+    """Tracks rendered as GPX text, parsed again and flattened."""
+    files = gpx.render(_points(spark, sf_dir).withColumn("track_id", F.concat("track_id", F.lit(".GPX"))))
+    points, _ = gpx.read_gpx(files)
+    return points.select(F.split_part("track_id", F.lit("."), F.lit(1)).cast("long").alias("track_id"), "seq", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "ele")
+
+
+@query
+def s2_s3_gpx_rejects(spark, sf_dir):
+    """Some files cut short, some without elevations, some of another kind."""
+    p = _points(spark, sf_dir)
+    kind = F.col("track_id") % 5
+    bare = p.withColumn("ele", F.when(kind != 2, F.col("ele")))
+    files = gpx.render(bare).withColumn("content", F.when(kind == 1, F.left("content", F.lit(90))).otherwise(F.col("content")))
+    named = files.withColumn("track_id", F.concat("track_id", F.when(kind == 3, ".txt").otherwise(".gpx")))
+    return gpx.read_gpx(named)[1]
+
+
+@query
+def w1_cumulative_distance(spark, sf_dir):
+    return tracks.cumulative_distance(_points(spark, sf_dir), TRACK).select("track_id", "seq", F.round("cum_km", 3).alias("cum_km"))
+
+
+@query
+def w1_chunked(spark, sf_dir):
+    """The same by windows over chunks, as for tracks of any length."""
+    return tracks.cumulative_distance_chunked(_points(spark, sf_dir), TRACK, 16).select("track_id", "seq", F.round("cum_km", 3).alias("cum_km"))
+
+
+@query
+def w2_route_distance(spark, sf_dir):
+    return _digits(tracks.route_distance(_points(spark, sf_dir), TRACK), 6, "distance_km")
+
+
+@query
+def w3_elevation_metrics(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    return tracks.elevation_metrics(p, TRACK, p.select("track_id").distinct())
+
+
+@query
+def w4_profile_summary(spark, sf_dir):
+    return tracks.profile_summary(_points(spark, sf_dir), TRACK)
+
+
+@query
+def w4_profile_points(spark, sf_dir):
+    return tracks.profile_points(_points(spark, sf_dir), TRACK)
+
+
+@query
+def w5_interpolate(spark, sf_dir):
+    return tracks.interpolate(_points(spark, sf_dir), TRACK, 50.0)
+
+
+@query
+def w6_build_profile(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    return tracks.build_profile(p, p.select("track_id", "seq", F.coalesce("ele", F.lit(0.0)).alias("ele")), TRACK)
+
+
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.profile_points(_points(spark, sf_dir), TRACK)
+
+
+@query
+def w7_simplify_profile(spark, sf_dir):
+    return profiles.simplify_profile(_profile(spark, sf_dir), "track_id", 50)
+
+
+@query
+def w8_correlation(spark, sf_dir):
+    """Each track with the next two."""
+    vectors = settle(profiles.profile_vectors(_profile(spark, sf_dir), "track_id"))
+    ids = vectors.select(F.col("track_id").alias("id_a"))
+    pairs = ids.withColumn("id_b", F.explode(F.array(F.col("id_a") + 1, F.col("id_a") + 2)))
+    return _digits(profiles.correlate(pairs, vectors, "track_id"), 6, "correlation")
+
+
+@query
+def w9_profile_knn(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    return _digits(profiles.profile_knn(_profile(spark, sf_dir), tracks.profile_summary(p, TRACK), "track_id", 3, 2.0, 200.0), 6, "correlation")
+
+
+@query
+def w10_route_bounds(spark, sf_dir):
+    return tracks.route_bounds(_points(spark, sf_dir), TRACK)
+
+
+@query
+def w11_chart_axis(spark, sf_dir):
+    return tracks.chart_axis(tracks.chart_series(_profile(spark, sf_dir), TRACK), TRACK)
+
+
+@query
+def j1_lookup_elevation(spark, sf_dir):
+    raised = elevation.lookup_elevation(_points(spark, sf_dir), fixture(spark, sf_dir, "elevation_grid"))
+    return raised.select("track_id", "seq", "ele")
+
+
+@query
+def j2_check_lookup(spark, sf_dir):
+    """A grid with some cells twice makes too many answers."""
+    grid = fixture(spark, sf_dir, "elevation_grid")
+    p = _points(spark, sf_dir)
+    doubled = grid.unionByName(grid.filter("cell_y % 5 = 0 AND cell_x % 5 = 0"))
+    return elevation.check_lookup(p, elevation.lookup_elevation(p, doubled), TRACK)
+
+
+@query
+def j3_geocode(spark, sf_dir):
+    found, missed = places.geocode(fixture(spark, sf_dir, "search_requests"), fixture(spark, sf_dir, "places"))
+    return found.unionByName(missed, allowMissingColumns=True)
+
+
+@query
+def j4_reverse_geocode(spark, sf_dir):
+    nodes = fixture(spark, sf_dir, "street_nodes").select(F.col("node_id").alias("point_id"), "lat", (F.lit(-71.0) + (F.col("node_id") % 10) * 0.001).alias("lon"))
+    return places.reverse_geocode(nodes, fixture(spark, sf_dir, "places"))
+
+
+def _by_node(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nodes = fixture(spark, sf_dir, "street_nodes")
+    points = nodes.select(F.col("node_id").alias("point_id"), (F.col("lat") + (F.col("node_id") % 13) * 0.0021).alias("lat"), (F.col("lon") - (F.col("node_id") % 7) * 0.0093).alias("lon"))
+    return points, nodes
+
+
+@query
+def j5_nearest_node(spark, sf_dir):
+    points, nodes = _by_node(spark, sf_dir)
+    return _digits(graph.nearest_node(points, nodes, ["point_id"], 0.004), 6, "distance_km").select("point_id", "distance_km")
+
+
+@query
+def j6_node_at_bearing(spark, sf_dir):
+    nodes = fixture(spark, sf_dir, "street_nodes")
+    points = nodes.select(F.col("node_id").alias("point_id"), "lat", "lon", F.col("node_id").alias("start"))
+    bearing, metres = ((F.col("point_id") % 12) * 30 + 7).cast("double"), ((F.col("point_id") % 5) * 170).cast("double")
+    return graph.node_at_bearing(points, nodes, ["point_id"], bearing, metres, "start")
+
+
+@query
+def j7_subgraph(spark, sf_dir):
+    """Nodes and edges of each request's box, and the rejected ones."""
+    r = fixture(spark, sf_dir, "loop_requests")
+    asked = r.select("request_id", "lat", "lon", (F.col("target_distance_km") * 300).alias("radius_m"))
+    own_nodes, own_edges, rejects = graph.subgraph(asked, fixture(spark, sf_dir, "street_nodes"), fixture(spark, sf_dir, "street_edges"))
+    nodes = own_nodes.groupBy("request_id").agg(F.count("*").alias("nodes"), F.sum("node_id").alias("node_sum"))
+    edges = own_edges.groupBy("request_id").agg(F.count("*").alias("edges"), F.sum("length").alias("metres"))
+    return nodes.join(edges, "request_id", "left").unionByName(rejects, allowMissingColumns=True)
+
+
+@query
+def j8_place_suggest(spark, sf_dir):
+    return places.place_suggest(fixture(spark, sf_dir, "place_queries"), fixture(spark, sf_dir, "places"))
+
+
+@query
+def g1_shortest_paths(spark, sf_dir):
+    """From the first node of each block of streets to all that it reaches."""
+    nodes = fixture(spark, sf_dir, "street_nodes")
+    sources = nodes.groupBy(F.col("block").alias("request_id")).agg(F.min("node_id").alias("source"))
+    return graph.shortest_paths(sources, fixture(spark, sf_dir, "street_edges"), ["request_id"]).select("request_id", "source", "node_id", "dist")
+
+
+def _loops(spark: SparkSession, sf_dir: str, strategies: tuple[str, ...]) -> DataFrame:
+    r = fixture(spark, sf_dir, "loop_requests")
+    nodes, edges = fixture(spark, sf_dir, "street_nodes"), fixture(spark, sf_dir, "street_edges")
+    asked = r.select("request_id", "lat", "lon", "target_distance_km", geo.search_bounds(F.col("target_distance_km"))["radius_m"].alias("radius_m"))
+    own_nodes, own_edges, _ = graph.subgraph(asked, nodes, edges)
+    start = graph.nearest_node(asked, nodes, ["request_id"]).select("request_id", F.col("node_id").alias("start"))
+    begun = asked.join(start, "request_id").withColumnsRenamed({"lat": "start_lat", "lon": "start_lon"})
+    return candidates.generate(begun, own_nodes, own_edges, strategies)
+
+
+@query
+def g2_directional_loops(spark, sf_dir):
+    return _loops(spark, sf_dir, ("directional",))
+
+
+@query
+def g3_out_and_back(spark, sf_dir):
+    return _loops(spark, sf_dir, ("out_and_back",))
+
+
+@query
+def g4_random_loops(spark, sf_dir):
+    return _loops(spark, sf_dir, ("random",))
+
+
+@query
+def g5_figure_eight(spark, sf_dir):
+    return _loops(spark, sf_dir, ("figure_eight",))
+
+
+@query
+def g6_validate_routes(spark, sf_dir):
+    nodes = fixture(spark, sf_dir, "street_nodes")
+    walks = fixture(spark, sf_dir, "walk_nodes").join(nodes.select("node_id"), "node_id", "left_semi")
+    bounds = walks.select("request_id").distinct().select("request_id", F.lit(1.75).alias("min_km"), F.lit(1.9).alias("max_km"))
+    lengths, points = graph.validate_routes(walks, fixture(spark, sf_dir, "street_edges"), nodes, ROUTE, bounds)
+    return points.join(_digits(lengths, 6, "street_km"), ROUTE).select(*ROUTE, "seq", "node_id", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "street_km")
+
+
+@query
+def g7_dedupe_routes(spark, sf_dir):
+    return graph.dedupe_routes(fixture(spark, sf_dir, "route_members"))
+
+
+@query
+def g8_candidate_routes(spark, sf_dir):
+    points, rejects = candidates.candidate_routes(fixture(spark, sf_dir, "loop_requests"), fixture(spark, sf_dir, "street_nodes"), fixture(spark, sf_dir, "street_edges"))
+    return points.unionByName(rejects, allowMissingColumns=True)
+
+
+@query
+def r1_enrich_routes(spark, sf_dir):
+    nodes = fixture(spark, sf_dir, "street_nodes")
+    walks = fixture(spark, sf_dir, "walk_nodes").join(nodes.select("node_id", "lat", "lon"), "node_id").select(*ROUTE, "seq", (F.col("lat") + 0.36).alias("lat"), (F.col("lon") - 0.06).alias("lon"))
+    metrics, _ = elevation.enrich_routes(walks, fixture(spark, sf_dir, "elevation_grid"), ROUTE)
+    return metrics
+
+
+@query
+def r2_scores(spark, sf_dir):
+    return _scored(spark, sf_dir).select("request_id", "candidate_no", "similarity_score")
+
+
+@query
+def r3_r4_ranked(spark, sf_dir):
+    return ranking.rank_routes(_scored(spark, sf_dir)).select("request_id", "candidate_no", "similarity_score", "rank", "name")
+
+
+@query
+def find_routes(spark, sf_dir):
+    """Flagship: requests by place name, candidate loops, elevations, scores, the best routes, and all rejects."""
+    r = fixture(spark, sf_dir, "loop_requests")
+    gazetteer = r.select(F.col("request_id").alias("place_id"), F.concat(F.lit("Block "), "request_id").alias("name"), "lat", "lon", F.lit(1.0).alias("importance"))
+    raw = r.select("request_id", F.concat(F.lit(" block "), F.col("request_id") + F.when(F.col("request_id") % 9 == 8, 100_000_000).otherwise(0)).alias("location"), "target_distance_km", "target_elevation_gain_m", F.lit(None).cast("long").alias("num_results"))
+    return find_routes_for(raw, gazetteer, fixture(spark, sf_dir, "street_nodes"), fixture(spark, sf_dir, "street_edges"), fixture(spark, sf_dir, "elevation_grid"))
+
+
+def find_routes_for(requests: DataFrame, gazetteer: DataFrame, nodes: DataFrame, edges: DataFrame, grid: DataFrame) -> DataFrame:
+    """request_id, rank, name, candidate_no, metrics and score of the best routes; reason alone for rejects."""
+    judged = ranking.validate_requests(requests)
+    valid = judged.filter("reason IS NULL").drop("reason")
+    located, missed = places.geocode(valid, gazetteer)
+    asked = settle(valid.join(located.select("request_id", "lat", "lon"), "request_id"))
+    points, without = candidates.candidate_routes(asked.select("request_id", "lat", "lon", "target_distance_km"), nodes, edges)
+    metrics, _ = elevation.enrich_routes(settle(points), grid, ["request_id", "candidate_no"])
+    ranked = ranking.rank_routes(ranking.score_routes(metrics, asked))
+    kept = ranked.select("request_id", "rank", "name", "candidate_no", "distance_km", "elevation_gain_m", "elevation_loss_m", "min_elevation_m", "max_elevation_m", "similarity_score")
+    rejects = judged.filter("reason IS NOT NULL").select("request_id", "reason").unionByName(missed).unionByName(without)
+    return kept.unionByName(rejects, allowMissingColumns=True)
+
+
+@query
+def s5_result_rows(spark, sf_dir):
+    """Nested records of the best walks; lists are told by their sizes and sums."""
+    nodes = fixture(spark, sf_dir, "street_nodes")
+    walks = fixture(spark, sf_dir, "walk_nodes").join(nodes.select("node_id", "lat", "lon"), "node_id").select(*ROUTE, "seq", (F.col("lat") + 0.36).alias("lat"), (F.col("lon") - 0.06).alias("lon"))
+    walks = settle(walks)
+    metrics, dense = elevation.enrich_routes(walks, fixture(spark, sf_dir, "elevation_grid"), ROUTE)
+    dense = settle(dense)
+    targets = walks.select("request_id").distinct().select("request_id", F.lit(1.5).alias("target_distance_km"), F.lit(50.0).alias("target_elevation_gain_m"), F.lit(3).alias("num_results"))
+    ranked = ranking.rank_routes(ranking.score_routes(metrics.withColumn("candidate_no", F.col("route_no")), targets))
+    rows = ranking.result_rows(ranked, dense, tracks.build_profile(dense, dense, ROUTE), ROUTE)
+    return rows.select(*ROUTE, "rank", "name", F.size("coordinates").cast("long").alias("points"), F.size("profile").cast("long").alias("profile_points"), F.round(F.element_at("profile", -1)[0], 2).alias("last_km"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.ORACLES
