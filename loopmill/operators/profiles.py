@@ -12,29 +12,27 @@ SAMPLES = 50
 def simplify_profile(profile: DataFrame, key: str, num_points: int = 100) -> DataFrame:
     """key, idx, km, ele: profiles longer than ``num_points`` at evenly spaced distances, others as they are.
 
-    An as-of lookup: targets and points stand in one order by distance, targets before points of equal distance,
-    so the last point before a target lies strictly below it; its successor comes along with it.
+    An as-of lookup the other way round: each point makes the targets that lie beyond it, up to its successor,
+    so every target has the last point strictly below it (the first point also has what lies at the start), and
+    no join is needed.
     """
     if num_points < 2:
         raise ValueError("num_points must be 2 or more")
-    along = Window.partitionBy(key).orderBy("seq")
-    whole = Window.partitionBy(key)
-    points = profile.select(key, "seq", "km", "ele").withColumns(
-        {"n": F.count("*").over(whole), "next_km": F.lead("km").over(along), "next_ele": F.lead("ele").over(along), "total": F.last("km").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}
-    )
-    short = points.filter(F.col("n") <= num_points).select(key, F.col("seq").alias("idx"), "km", "ele")
-    long = points.filter(F.col("n") > num_points)
-    point = F.struct("km", "ele", "next_km", "next_ele")
-    first = long.filter("seq = 0").select(key, point.alias("start"), (F.col("total") / (num_points - 1)).alias("step"))
-    targets = first.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(num_points - 1)))).select(key, (F.col("idx") * F.col("step")).alias("at"), F.lit(0).alias("is_point"), F.col("idx").cast("long").alias("seq"), "start")
-    both = targets.unionByName(long.select(key, F.col("km").alias("at"), F.lit(1).alias("is_point"), "seq", point.alias("here")), allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy("at", "is_point", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    left = F.coalesce(F.last("here", ignorenulls=True).over(order), F.col("start"))
-    found = both.withColumn("left", left).filter("is_point = 0")
-    span = F.col("left.next_km") - F.col("left.km")
-    share = F.try_divide(F.col("at") - F.col("left.km"), span)
-    ele = F.when(F.col("left.next_km").isNull() | (span <= 0), F.col("left.ele")).otherwise(F.col("left.ele") + share * (F.col("left.next_ele") - F.col("left.ele")))
-    return short.unionByName(found.select(key, F.col("seq").alias("idx"), F.round("at", 3).alias("km"), F.round(ele, 1).alias("ele")))
+    along, last = Window.partitionBy(key).orderBy("seq"), num_points - 1
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    points = profile.select(key, "seq", "km", "ele").withColumns({"n": F.count("*").over(Window.partitionBy(key)), "next_km": F.lead("km").over(along), "next_ele": F.lead("ele").over(along), "step": F.last("km").over(whole) / last})
+    is_first, is_last = F.col("seq") == 0, F.col("next_km").isNull()
+    # a little too many candidates, then the exact comparison that the lookup is defined by
+    low = F.when(is_first, 0).otherwise(F.greatest(F.coalesce(F.floor(F.try_divide("km", "step")), F.lit(0)) - 1, F.lit(0)))
+    high = F.when(is_last, last).otherwise(F.least(F.coalesce(F.ceil(F.try_divide("next_km", "step")), F.lit(last)) + 1, F.lit(last)))
+    own = lambda i: (is_first | (i * F.col("step") > F.col("km"))) & (is_last | (i * F.col("step") <= F.col("next_km")))
+    tried = F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
+    targets = F.when(F.col("n") > num_points, F.filter(tried, own)).otherwise(F.array(F.lit(-1)))
+    found = points.withColumn("i", F.explode(targets))
+    at, span = F.col("i") * F.col("step"), F.col("next_km") - F.col("km")
+    ele = F.when(is_last | (span <= 0), F.col("ele")).otherwise(F.col("ele") + F.try_divide(at - F.col("km"), span) * (F.col("next_ele") - F.col("ele")))
+    kept = F.col("i") == -1
+    return found.select(key, F.when(kept, F.col("seq")).otherwise(F.col("i")).cast("long").alias("idx"), F.when(kept, F.col("km")).otherwise(F.round(at, 3)).alias("km"), F.when(kept, F.col("ele")).otherwise(F.round(ele, 1)).alias("ele"))
 
 
 def profile_vectors(profile: DataFrame, key: str, num_points: int = SAMPLES) -> DataFrame:

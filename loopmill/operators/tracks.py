@@ -95,10 +95,13 @@ def interpolate(points: DataFrame, keys: list[str], interval_m: float = 50.0, mo
     segments = segments.withColumn("segment_km", haversine_km(F.col("from_lat"), F.col("from_lon"), F.col("lat"), F.col("lon")))
     n = F.floor(F.col("segment_km") / (interval_m / 1000)).cast("int")
     n = n if most_per_segment is None else F.least(n, F.lit(most_per_segment))
-    between = segments.filter("nth > 1 AND segment_km > 0").withColumn("n", n).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n") + 1)))
-    share = F.col("j") / (F.col("n") + 1)
+    first = F.col("nth") == 1
+    # the first point is its own end, so one pass makes all rows
+    laid = segments.filter(first | (F.col("segment_km") > 0)).withColumn("n", F.when(first, -1).otherwise(n))
+    laid = laid.withColumn("j", F.explode(F.when(first, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.greatest("n", F.lit(0)) + 1))))
+    share = F.try_divide(F.col("j"), F.col("n") + 1)
     at = lambda c: F.when(F.col("j") == F.col("n") + 1, F.col(c)).otherwise(F.col(f"from_{c}") + share * (F.col(c) - F.col(f"from_{c}")))
-    laid = segments.filter("nth = 1").select(*keys, "seq", F.lit(0).alias("j"), "lat", "lon").unionByName(between.select(*keys, "seq", "j", at("lat").alias("lat"), at("lon").alias("lon")))
+    laid = laid.select(*keys, "seq", "j", at("lat").alias("lat"), at("lon").alias("lon"))
     order = Window.partitionBy(*keys).orderBy("seq", "j")
     return laid.select(*keys, (F.row_number().over(order) - 1).cast("long").alias("seq"), "lat", "lon")
 
