@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopmill.llm.common import grouped_slices, materialize, open_shared, scratch_dir, slices, text_or_empty, utf8
+from loopmill.llm.common import materialize, open_shared, scratch_dir, slices, text_or_empty
 
 #: Payload lengths are multiples of this many bytes, padded with spaces: one image row.
 ROW_BYTES = 192
@@ -26,7 +26,7 @@ HEADER_BYTES = 33  # the PNG signature and its IHDR chunk
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 TAIL = 16
 BATCH_BYTES = 8 << 20
-#: Payload bytes meant for one tar shard.
+#: Size beyond which a task begins another tar shard.
 SHARD_BYTES = 256 << 20
 _INDEX = "digest binary, shard string, media_offset long, media_length long"
 
@@ -73,38 +73,36 @@ def payloads(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def write_shards(found: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Store each distinct payload once below ``folder``; the index: digest, shard, media_offset, media_length.
+    """Store payloads below ``folder``; the index has one entry for each digest: shard, media_offset, media_length.
 
-    Tasks encode what they read, one copy of each digest; digests are dealt to shards, and a shard is written
-    by one task in digest order. A task that runs again writes a file of its own, and only rows of tasks that
-    succeeded enter the index.
+    A task stores each digest once, in shards of its own, so payloads cross no network; of entries that several
+    tasks made of one digest, the index names the first, and all rows use it. A task that runs again writes files
+    of its own, and only rows of tasks that succeeded enter the index.
     """
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in slices(batches, "payload", BATCH_BYTES):
-            digests, media = [], []
-            for digest, payload in zip(batch.column("digest").to_pylist(), batch.column("payload").to_pylist()):
-                if digest not in seen:
-                    seen.add(digest)
-                    digests.append(digest)
-                    media.append(to_png(payload))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, type=pa.binary()), pa.array(media, type=pa.binary())], names=["digest", "media"])
-
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_shared(folder)
-        out, name, at, last = None, "", 0, None
+        seen: set[bytes] = set()
+        out, name, at = None, "", 0
+
+        def finish() -> None:
+            if out is not None:
+                out.write(b"\0" * 1024)
+                out.close()
+
         try:
-            for batch in slices(batches, "media", BATCH_BYTES):
+            for batch in slices(batches, "payload", BATCH_BYTES):
                 rows = []
-                for digest, media in zip(batch.column("digest").to_pylist(), batch.column("media").to_pylist()):
-                    if digest == last:
+                for digest, payload in zip(batch.column("digest").to_pylist(), batch.column("payload").to_pylist()):
+                    if digest in seen:
                         continue
-                    last = digest
-                    if out is None:
+                    seen.add(digest)
+                    if out is None or at >= shard_bytes:
+                        finish()
                         fs.create_dir(base, recursive=True)
-                        name = f"shard-{uuid.uuid4().hex}.tar"
-                        out = fs.open_output_stream(f"{base}/{name}")
+                        name, at = f"shard-{uuid.uuid4().hex}.tar", 0
+                        out = fs.open_output_stream(f"{base}/{name}", compression=None)
+                    media = to_png(payload)
                     entry = tarfile.TarInfo(f"{digest.hex()}.png")
                     entry.size = len(media)
                     head = entry.tobuf(tarfile.USTAR_FORMAT)
@@ -115,14 +113,12 @@ def write_shards(found: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["digest", "shard", "media_offset", "media_length"])
         finally:
-            if out is not None:
-                out.write(b"\0" * 1024)
-                out.close()
+            finish()
 
-    media = found.select("digest", "payload").mapInArrow(encode, "digest binary, media binary")
-    total = found.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).alias("n")).first().n
-    shards = max(found.sparkSession.sparkContext.defaultParallelism, -(-total // shard_bytes))
-    return materialize(media.repartition(int(shards), "digest").sortWithinPartitions("digest").mapInArrow(store, _INDEX))
+    stored = materialize(found.select("digest", "payload").mapInArrow(store, _INDEX))
+    first = stored.groupBy("digest").agg(F.min(F.struct("shard", "media_offset", "media_length")).alias("at"))
+    # entries of a shard side by side, in the order in which they stand there
+    return materialize(first.select("digest", "at.*").repartitionByRange("shard", "media_offset").sortWithinPartitions("shard", "media_offset"))
 
 
 def read_headers(index: DataFrame, folder: str) -> DataFrame:
