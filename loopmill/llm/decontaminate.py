@@ -180,13 +180,13 @@ def merged_spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.nd
     return start[new], stop[last]
 
 
-def _search(windows, names, window: int) -> Callable:
-    """A pass over (doc columns, text, spans, items) that adds what this block finds."""
+def _search(windows, names, text: str) -> Callable:
+    """A pass over documents with spans and items that adds what this block finds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids = windows.value, names.value
-        for batch in grouped_slices(batches, "text", SHARD_BYTES):
-            w = scan(utf8(batch.column("text")), ALNUM)
+        for batch in grouped_slices(batches, text, SHARD_BYTES):
+            w = scan(utf8(batch.column(text)), ALNUM)
             start, which = block.occurrences(w)
             doc = np.searchsorted(w.first, start, "right") - 1
             spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
@@ -230,19 +230,16 @@ def find_spans(
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
-    if "text" in kept and text != "text":
-        raise ValueError("the text column must be named text, or no other column may have that name")
     blocks = benchmark_blocks(benchmark, item_id, item_text, block_bytes)
-    out = docs.select(*kept).withColumnRenamed(text, "text")
-    out = out.withColumns({"text": F.col("text").cast("string"), "n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")})
+    out = docs.select(*kept).withColumns({text: F.col(text).cast("string"), "n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")})
     schema = out.schema
     numbers = [r.block for r in blocks.select("block").distinct().orderBy("block").collect()] or [0]
     for number in numbers:  # one for benchmarks of up to block_bytes
         rows = blocks.filter(F.col("block") == number).select("item", "text").collect()
         built = Windows.build([r.text.encode() for r in rows], window)
         sc = spark.sparkContext
-        out = out.mapInArrow(_search(sc.broadcast(built), sc.broadcast([r.item for r in rows]), window), schema)
-    return out.withColumnRenamed("text", text)
+        out = out.mapInArrow(_search(sc.broadcast(built), sc.broadcast([r.item for r in rows]), text), schema)
+    return out
 
 
 def span_words(spans: str = "spans"):

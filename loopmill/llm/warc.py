@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loopmill.llm.common import grouped_slices, materialize, open_shared, scratch_dir, text_or_empty, utf8
+from loopmill.llm.common import grouped_slices, materialize, open_shared, scratch_dir, text_or_empty
 
 BATCH_BYTES = 8 << 20
 BLOCK_LINES = 300
