@@ -23,20 +23,26 @@ def stars(members: DataFrame, hub_order: str = "node") -> DataFrame:
     return members.select("bucket", "node").join(hubs, "bucket").filter("node <> hub").select("node", "hub").distinct()
 
 
-def across(members: DataFrame, labels: DataFrame, extra: list[str] | None = None, condition=None) -> DataFrame:
-    """Distinct pairs (a, b) of one bucket whose components still differ.
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component, with ``component`` and the bucket's largest, ``main``.
 
-    ``labels`` has node and component; nodes without a row are their own component. Buckets of one component,
-    however large, give no pair. ``condition`` is a filter over a_/b_ prefixed ``extra`` columns.
+    ``labels`` has node and component; nodes without a row are their own component.
     """
-    extra = extra or []
     known = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = known.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").select("bucket", "main")
-    open_ = known.join(mixed, "bucket")
-    # a bucket's largest component is met by the others, and never joined with itself
-    a = open_.filter("component <> main").select("bucket", "main", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"a_{c}") for c in extra])
-    b = open_.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), *[F.col(c).alias(f"b_{c}") for c in extra])
+    return materialize(known.join(mixed, "bucket"))
+
+
+def across(members: DataFrame, extra: list[str] | None = None, condition=None) -> DataFrame:
+    """Distinct pairs (a, b) of one bucket in different components, from ``open_members``.
+
+    A bucket's largest component is met by the others and never joined with itself. ``condition`` is a filter
+    over a_/b_ prefixed ``extra`` columns that stands in the join.
+    """
+    extra = extra or []
+    a = members.filter("component <> main").select("bucket", "main", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"a_{c}") for c in extra])
+    b = members.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), *[F.col(c).alias(f"b_{c}") for c in extra])
     pairs = a.join(b, "bucket").filter("ca <> cb AND (cb = main OR a < b)")
     if condition is not None:
         pairs = pairs.filter(condition)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loopmill.llm.common import grouped_slices, materialize, small_side, text_or_empty, utf8
-from loopmill.llm.components import across, components, stars
+from loopmill.llm.components import components, open_members, stars
 from loopmill.llm.wordscan import Words, mix, scan
 
 BATCH_BYTES = 4 << 20
@@ -121,14 +121,68 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                 keep[i] = both > 0 and 100 * both >= percent * (len(own) + len(last_set) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = materialize(texts.join(small_side(wanted), "node", "left_semi"))
-    left = pairs.join(needed.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(needed.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_texts(pairs, texts)
     kind = pairs.schema["a"].dataType.simpleString()
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with text_a and text_b, from ``texts`` (node, text)."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    needed = materialize(texts.join(small_side(wanted), "node", "left_semi"))
+    left = pairs.join(needed.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    return left.join(needed.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+
+
+def across_components(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) to confirm among ``members`` (node, component, hub) of one hub and different components.
+
+    Sets that are similar to one hub are far too alike for a prefix filter on themselves, so it works on what
+    tells each from the hub: the symmetric difference E of a set A with the hub's. For linked sets A and B,
+    |E_A and E_B| is at least (|E_A| + |E_B| - t) / 2, where t = (100 - p) / (100 + p) * (|A| + |B|) bounds their
+    own difference. That is above 0 here: else both would be linked with the hub, to which all members were
+    compared, and so be in one component. In one order of shingles (those that the hub lacks first), a pair must
+    then share one of the first t + 1 of E, so early that enough can follow it. No linked pair is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, hub_set = None, np.zeros(0, dtype=np.uint64)
+        for batch in grouped_slices(batches, "text_a", BATCH_BYTES):
+            mine, bounds = shingles(scan(utf8(batch.column("text_a"))), size)
+            tokens, sizes, differences = [], np.diff(bounds), []
+            for i, hub in enumerate(utf8(batch.column("text_b"))):
+                if hub != last:
+                    last, hub_set = hub, shingles(scan([hub]), size)[0]
+                own = mine[bounds[i] : bounds[i + 1]]
+                both = np.concatenate([np.setdiff1d(own, hub_set, assume_unique=True), np.setdiff1d(hub_set, own, assume_unique=True)])
+                differences.append(len(both))
+                most = (100 - percent) * (len(own) + len(own) * 100 // percent + 1) // (100 + percent)
+                tokens.append(both[: most + 1].view(np.int64))
+            n = np.array([len(x) for x in tokens])
+            row = np.repeat(np.arange(batch.num_rows), n)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c).take(at) for c in ("a", "b", "component")),
+                    pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *tokens])),
+                    pa.array(np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)),
+                    pa.array(np.array(differences, dtype=np.int64)[row]),
+                    pa.array(sizes[row]),
+                ],
+                names=["node", "hub", "component", "token", "place", "e", "n"],
+            )
+
+    kind = members.schema["node"].dataType.simpleString()
+    named = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "component").distinct()
+    rows = materialize(with_texts(materialize(named), texts).select("a", "b", "component", "text_a", "text_b").mapInArrow(run, f"node {kind}, hub {kind}, component {kind}, token long, place long, e long, n long"))
+    side = lambda x: rows.select("hub", "token", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "place", "e", "n")))
+    follow = 1 + F.least(F.col("a_e") - F.col("a_place"), F.col("b_e") - F.col("b_place")) - 1
+    enough = 2 * follow * (100 + percent) >= (F.col("a_e") + F.col("b_e")) * (100 + percent) - (100 - percent) * (F.col("a_n") + F.col("b_n"))
+    close = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
+    pairs = side("a").join(side("b"), ["hub", "token"]).filter((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & close & enough)
+    return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``.
 
@@ -148,10 +202,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # hubs of two kinds: the smallest id, and the member that meets most others, as an original meets its copies
     sizes = crowd.groupBy("bucket").agg(F.count("*").alias("n"))
     central = crowd.join(sizes, "bucket").groupBy("node").agg((-F.sum("n")).alias("rank"))
-    rough = stars(crowd).unionByName(stars(crowd.join(central, "node"), "rank")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    ranked = crowd.join(central, "node")
+    rough = stars(crowd).unionByName(stars(ranked, "rank")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     first = materialize(confirm(materialize(rough), texts, size, percent))
-    close = F.least("a_n_shingles", "b_n_shingles") * 100 >= F.greatest("a_n_shingles", "b_n_shingles") * percent
-    rest = across(crowd, components(first), ["n_shingles"], close)
+    # what is still apart in some bucket: its most central member has been compared with all others there
+    hubs = ranked.groupBy("bucket").agg(F.min_by("node", F.struct("rank", "node")).alias("hub"))
+    apart = open_members(crowd, components(first)).join(hubs, "bucket").select("node", "component", "hub")
+    rest = across_components(apart, texts, size, percent)
     links = first.unionByName(confirm(materialize(rest), texts, size, percent))
     copies = usable.join(classes, "set_key").filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     found = components(links.unionByName(copies))
