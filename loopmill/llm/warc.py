@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loopmill.llm.common import grouped_slices, materialize, open_shared, scratch_dir, text_or_empty
+from loopmill.llm.common import grouped_slices, materialize, open_shared, scratch_dir, small_side, text_or_empty
 
 BATCH_BYTES = 8 << 20
 BLOCK_LINES = 300
 #: Page bytes meant for one archive.
-ARCHIVE_BYTES = 512 << 20
+ARCHIVE_BYTES = 128 << 20
 #: The alphabet of base 32 (RFC 4648) against that of Spark's conv().
 _CONV, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -78,9 +78,13 @@ def decide(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.encode(text_or_empty(html), "UTF-8").alias("payload"))
     rows = rows.withColumn("payload_digest", payload_digest(F.col("payload")))
-    originals = rows.groupBy("payload_digest").agg(F.max("page_id").alias("original"))
-    joined = rows.join(originals, "payload_digest")
-    return joined.select("page_id", "url", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original")).alias("refers_to"), F.when(F.col("page_id").eqNullSafe(F.col("original")), F.col("payload")).alias("payload"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    # only repeated payloads need a decision; their list goes to all tasks while it is short, else pages are joined
+    originals = rows.groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1 AND original IS NOT NULL")
+    joined = rows.join(small_side(materialize(originals.select("payload_digest", "original"))), "payload_digest", "left")
+    revisits = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
+    return joined.select(
+        "page_id", "url", "payload_digest", F.when(revisits, F.col("original")).alias("refers_to"), F.when(~revisits, F.col("payload")).alias("payload"), F.octet_length("payload").cast("long").alias("payload_bytes")
+    )
 
 
 def record(page_id: int | None, url: str | None, digest: str, refers_to: int | None, payload: bytes | None, size: int) -> bytes:
@@ -173,7 +177,7 @@ def write_archives(decided: DataFrame, folder: str, archives: int | None = None,
             yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([last]), pa.array([name]), pa.array([captures], type=pa.int64())], names=["first_key", "last_key", "name", "captures"])
 
     if archives is None:
-        size = decided.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).alias("n")).first().n
+        size = decided.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("n")).first().n
         archives = max(decided.sparkSession.sparkContext.defaultParallelism, -(-size // ARCHIVE_BYTES))
     keyed = add_key(decided)
     # as in the index: control characters never stand in a key, and ids sort as numbers
