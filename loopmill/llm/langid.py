@@ -3,6 +3,7 @@ switching penalty go through Viterbi, and the labelled words give spans and a la
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loopmill.llm.common import grouped_slices, materialize, utf8
+from loopmill.llm.common import grouped_slices, materialize, small_side, utf8
 
 #: First and last code points of scripts (Unicode blocks that hold letters).
 SCRIPTS = [
@@ -222,8 +223,11 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     hashed n-gram counts, one row for each language. Without any such row the model knows no language.
     """
     rows = docs.filter(train & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(text).cast("string")).alias("h"), F.col(text).cast("string").alias("text"))
-    ranked = rows.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample_docs)
-    limits = ranked.groupBy("lang").agg(F.max("h").alias("most"))
+    # a first cut by hash leaves about four times the sample, however many rows and tasks there are
+    counts = small_side(materialize(rows.groupBy("lang").agg(F.count("*").alias("n"))))
+    near = rows.select("lang", "h").join(counts, "lang").filter(F.col("h").cast("double") <= (F.least(F.lit(1.0), F.lit(4.0 * sample_docs) / F.col("n")) - 0.5) * 2.0**64)
+    ranked = near.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample_docs)
+    limits = small_side(materialize(ranked.groupBy("lang").agg(F.max("h").alias("most"))))  # a row for each language
     # repeated texts share a hash: they may come along, so texts are told apart once more
     chosen = rows.join(limits, "lang").filter("h <= most").select("lang", "text").distinct()
 
@@ -239,11 +243,12 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
                     total += np.bincount(slot, minlength=SLOTS).astype(np.int32)
                 own[-1] += np.bincount(t.script, minlength=NO_SCRIPT + 1).astype(np.int32)
         for name, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([np.concatenate(own).tobytes()], type=pa.binary())], names=["lang", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([zlib.compress(np.concatenate(own).tobytes(), 1)], type=pa.binary())], names=["lang", "counts"])
 
     sums: dict[str, np.ndarray] = {}
-    for row in chosen.mapInArrow(count, "lang string, counts binary").toLocalIterator():
-        sums[row.lang] = sums.get(row.lang, 0) + np.frombuffer(row.counts, dtype=np.int32).astype(np.int64)
+    # the texts of a language, at most sample_docs, meet in one task; a packed row for each language comes back
+    for row in chosen.repartition("lang").mapInArrow(count, "lang string, counts binary").collect():
+        sums[row.lang] = sums.get(row.lang, 0) + np.frombuffer(zlib.decompress(row.counts), dtype=np.int32).astype(np.int64)
     langs = sorted(sums)
     if not langs:
         return Model([], np.zeros((len(NGRAMS), SLOTS, 0)), np.zeros((NO_SCRIPT + 1, 0), dtype=bool))
