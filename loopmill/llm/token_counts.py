@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loopmill.llm.common import grouped_slices, utf8
+from loopmill.llm.common import grouped_slices, materialize, utf8
 from loopmill.llm.tokens import default_path, encoder
 
 BATCH_BYTES = 4 << 20
@@ -44,7 +44,8 @@ def suffix_sums(histogram: DataFrame, block: int = BLOCK_LENGTHS) -> DataFrame:
 
     Sums go in two levels: inside blocks of lengths, and over one row for each block.
     """
-    rows = histogram.select("n_tokens", "n_docs", F.floor(F.col("n_tokens") / block).alias("block"), (F.col("n_tokens") * F.col("n_docs")).alias("tokens"))
+    # used twice: written once, so that no text is encoded again
+    rows = materialize(histogram).select("n_tokens", "n_docs", F.floor(F.col("n_tokens") / block).alias("block"), (F.col("n_tokens") * F.col("n_docs")).alias("tokens"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     later, everything = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     totals = blocks.select(
