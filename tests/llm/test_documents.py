@@ -319,6 +319,27 @@ def test_line_dedup_equals_all_pairs(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def lines_left(spark, folder, rows):
+    """n_removed of each document in the query of operator 8."""
+    from loopmill.llm import registry
+
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return {r.doc_id: r.n_removed for r in registry.op8_line_dedup(spark, str(folder)).collect()}
+
+
+def test_lines_with_one_other_word_go(spark, tmp_path):
+    """Edit similarity decides, not the distance of fingerprints: all pairs here have 80 % and differ by one word."""
+    draw = random.Random(15)
+    rows = []
+    for i, n in enumerate([6, 8, 12, 20, 35, 60, 100, 150] * 3):
+        line = [f"w{draw.randint(0, 10**5)}" for _ in range(n)]
+        rows.append((i, " ".join(line)))
+        line[draw.randrange(n)] = f"w{draw.randint(0, 10**5)}"
+        rows.append((1000 + i, " ".join(line)))
+    got = lines_left(spark, tmp_path, rows)
+    assert got == {i: int(i >= 1000) for i, _ in rows}
+
+
 def test_simhash_forms_agree(spark):
     """Sums of lanes and slices of any number of features give the same fingerprint."""
     draw = random.Random(5)
