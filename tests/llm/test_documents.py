@@ -340,6 +340,14 @@ def test_lines_with_one_other_word_go(spark, tmp_path):
     assert got == {i: int(i >= 1000) for i, _ in rows}
 
 
+def test_short_lines_and_lines_without_spaces_go(spark, tmp_path):
+    """Equal lines of any length; near copies of few words or in scripts without spaces. Blank lines stay."""
+    draw = random.Random(16)
+    han = "".join(chr(0x4E00 + draw.randint(0, 2000)) for _ in range(60))
+    rows = [(1, f"All rights reserved\n\nend\n{han}\nunconditionally guaranteed merchandise"), (2, f"all RIGHTS reserved!\n\nEnd."), (3, han), (4, han[:30] + "山" + han[31:]), (5, "短い"), (6, "短い"), (7, "unconditionally guaranteed merchandize"), (8, "once more")]
+    assert lines_left(spark, tmp_path, rows) == {1: 0, 2: 2, 3: 1, 4: 1, 5: 0, 6: 1, 7: 1, 8: 0}
+
+
 def test_simhash_forms_agree(spark):
     """Sums of lanes and slices of any number of features give the same fingerprint."""
     draw = random.Random(5)
