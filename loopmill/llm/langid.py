@@ -223,9 +223,11 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     hashed n-gram counts, one row for each language. Without any such row the model knows no language.
     """
     rows = docs.filter(train & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(text).cast("string")).alias("h"), F.col(text).cast("string").alias("text"))
-    # a first cut by hash leaves about four times the sample, however many rows and tasks there are
-    counts = small_side(materialize(rows.groupBy("lang").agg(F.count("*").alias("n"))))
-    near = rows.select("lang", "h").join(counts, "lang").filter(F.col("h").cast("double") <= (F.least(F.lit(1.0), F.lit(4.0 * sample_docs) / F.col("n")) - 0.5) * 2.0**64)
+    # copies of a text are one: they must neither narrow the cut nor take places in the sample
+    texts = materialize(rows.select("lang", "h").distinct())
+    # a first cut by hash leaves about four times the sample, however many texts and tasks there are
+    counts = small_side(materialize(texts.groupBy("lang").agg(F.count("*").alias("n"))))
+    near = texts.join(counts, "lang").filter(F.col("h").cast("double") <= (F.least(F.lit(1.0), F.lit(4.0 * sample_docs) / F.col("n")) - 0.5) * 2.0**64)
     ranked = near.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample_docs)
     limits = small_side(materialize(ranked.groupBy("lang").agg(F.max("h").alias("most"))))  # a row for each language
     # repeated texts share a hash: they may come along, so texts are told apart once more

@@ -122,6 +122,18 @@ def test_language_spans(spark, empty):
     assert langid.identify(empty, model).count() == 0 and langid.fit(empty, F.lit(True)).langs == []
 
 
+def test_copies_do_not_change_the_language_model(spark):
+    """Few texts, each thousands of times, give the model of the texts alone; so do copies beside many texts."""
+    few = spark.range(60_000).selectExpr("concat('word', id % 3, ' other', id % 3) AS text", "'aa' AS lang")
+    many = spark.range(12_000).selectExpr("concat('text', greatest(id, 6000)) AS text", "'bb' AS lang")
+    copied = few.unionByName(many)
+    one, other = langid.fit(copied, F.lit(True), sample_docs=5), langid.fit(copied.distinct(), F.lit(True), sample_docs=5)
+    assert one.langs == other.langs == ["aa", "bb"] and np.array_equal(one.score, other.score) and np.array_equal(one.allowed, other.allowed)
+    skewed = spark.range(4_000).selectExpr("concat('text', id % 20) AS text", "'cc' AS lang")
+    one, other = langid.fit(skewed, F.lit(True), sample_docs=10), langid.fit(skewed.distinct(), F.lit(True), sample_docs=10)
+    assert np.array_equal(one.score, other.score)
+
+
 def test_held_out_language_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
     held_out = crc_bucket("doc_id", 3) == 1
