@@ -354,7 +354,7 @@ def find_routes(spark, sf_dir):
     r = fixture(spark, sf_dir, "loop_requests")
     gazetteer = r.select(F.col("request_id").alias("place_id"), F.concat(F.lit("Block "), "request_id").alias("name"), "lat", "lon", F.lit(1.0).alias("importance"))
     raw = r.select("request_id", F.concat(F.lit(" block "), F.col("request_id") + F.when(F.col("request_id") % 9 == 8, 100_000_000).otherwise(0)).alias("location"), "target_distance_km", "target_elevation_gain_m", F.lit(None).cast("long").alias("num_results"))
-    return find_routes_for(raw, gazetteer, fixture(spark, sf_dir, "street_nodes"), fixture(spark, sf_dir, "street_edges"), fixture(spark, sf_dir, "elevation_grid"))
+    return find_routes_for(raw, gazetteer, fixture(spark, sf_dir, "street_nodes"), fixture(spark, sf_dir, "street_edges"), fixture(spark, sf_dir, "street_elevation"))
 
 
 def find_routes_for(requests: DataFrame, gazetteer: DataFrame, nodes: DataFrame, edges: DataFrame, grid: DataFrame) -> DataFrame:

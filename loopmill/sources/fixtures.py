@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = {
     "track_points": ["events"],
     "elevation_grid": ["part"],
+    "street_elevation": ["customer"],
     "street_nodes": ["customer"],
     "street_edges": ["customer"],
     "walk_nodes": ["customer"],
@@ -31,6 +32,13 @@ SELECT 42360 + CAST(floor(p_partkey / 10) AS BIGINT) AS cell_y,
        -71060 + p_partkey % 10 AS cell_x,
        floor(p_retailprice * 8) / CAST(8 AS DOUBLE) - 900 AS ele
 FROM part WHERE p_partkey < 100 AND p_partkey % 7 <> 0""",
+    # every cell of each block of streets, and one more on each side
+    "street_elevation": """
+SELECT 41999 + 20 * b.block + y.c_custkey AS cell_y,
+       -71001 + x.c_custkey AS cell_x,
+       10 + ((b.block * 31 + y.c_custkey * 17 + x.c_custkey * 23) % 97) / CAST(8 AS DOUBLE) AS ele
+FROM (SELECT DISTINCT CAST(floor(c_custkey / 100) AS BIGINT) AS block FROM customer) b
+JOIN customer y ON y.c_custkey < 12 JOIN customer x ON x.c_custkey < 14""",
     "street_nodes": """
 SELECT c_custkey + 1 AS node_id,
        CAST(floor(c_custkey / 100) AS BIGINT) AS block,

@@ -127,3 +127,17 @@ def test_place_display(spark):
     rows = [("A", "B", None, "US", "US", "1", "S"), ("B", "B", "T", "X", None, None, "S"), (None, None, None, "United States", None, None, None), ("N", None, None, None, None, "2", None)]
     got = places.place_display(spark.createDataFrame(rows, "name string, city string, state string, country string, countrycode string, housenumber string, street string"))
     assert [r.display for r in got.collect()] == ["A, 1 S, B", "S, B, T, X", "Unknown location", "N"]
+
+
+def test_routes_have_elevations(spark, sf):
+    """The grid covers all streets, with one value a cell, and tells candidates apart."""
+    from loopmill.jobs import registry
+    from loopmill.sources.fixtures import fixture
+
+    grid = fixture(spark, sf, "street_elevation").collect()
+    cells = {(r.cell_y, r.cell_x) for r in grid}
+    assert len(cells) == len(grid)
+    nodes = fixture(spark, sf, "street_nodes").selectExpr("floor(lat / 0.001) AS y", "floor(lon / 0.001) AS x").collect()
+    assert {(r.y, r.x) for r in nodes} <= cells
+    rows = [r for r in registry.find_routes(spark, sf).collect() if r.reason is None]
+    assert rows and min(r.min_elevation_m for r in rows) >= 10 and len({r.elevation_gain_m for r in rows}) > 1
