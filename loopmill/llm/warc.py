@@ -30,6 +30,7 @@ BLOCK_LINES = 300
 ARCHIVE_BYTES = 128 << 20
 #: The alphabet of base 32 (RFC 4648) against that of Spark's conv().
 _CONV, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_CONTROL = {c: " " for c in range(32)}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
@@ -43,18 +44,19 @@ def payload_digest(payload: Column) -> Column:
 def url_key(url: str | None) -> str:
     """Sort key: host labels reversed, port kept unless it is the scheme's own, then path and query; no fragment.
 
-    A null or unparsable URL keeps its text as key.
+    A null or unparsable URL keeps its text as key. Control characters are blanks in all keys, as files and indexes are
+    sorted and searched by them.
     """
     text = (url or "").strip()
     try:
         parts = urlsplit(text if "://" in text else f"http://{text}")
         host, port = (parts.hostname or "").rstrip("."), parts.port
     except ValueError:
-        return f"){text}"
+        return f"){text}".translate(_CONTROL)
     host = host.removeprefix("www.")
     own = {"http": 80, "https": 443}.get(parts.scheme)
     name = ",".join(reversed(host.split("."))) + (f":{port}" if port and port != own else "")
-    return f"{name}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
+    return (f"{name}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")).translate(_CONTROL)
 
 
 def add_key(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -159,7 +161,7 @@ def write_archives(decided: DataFrame, folder: str, archives: int | None = None,
                 for row in batch.to_pylist():
                     raw = gzip.compress(record(row["page_id"], row["url"], row["payload_digest"], row["refers_to"], row["payload"], row["payload_bytes"]), 6, mtime=0)
                     out.write(raw)
-                    last = f"{row['surt'].translate(_CONTROL)}\t{sort_id(row['page_id'])}"
+                    last = f"{row['surt']}\t{sort_id(row['page_id'])}"
                     lines.append(f"{last}\t{at}\t{len(raw)}")
                     at += len(raw)
                     captures += 1
@@ -185,9 +187,6 @@ def write_archives(decided: DataFrame, folder: str, archives: int | None = None,
     return materialize(ordered.mapInArrow(run, "first_key string, last_key string, name string, captures long"))
 
 
-_CONTROL = {c: " " for c in range(32)}
-
-
 class _IndexFile:
     """Directory of one index, and the block that was read last."""
 
@@ -229,7 +228,7 @@ def read_captures(wanted: DataFrame, archives: DataFrame, folder: str) -> DataFr
         for batch in batches:
             keys, names = [], []
             for surt, page in zip(batch.column("surt").to_pylist(), batch.column("page_id").to_pylist()):
-                key = f"{surt.translate(_CONTROL)}\t{sort_id(page)}"
+                key = f"{surt}\t{sort_id(page)}"
                 k = max(bisect.bisect_left(first, key) - 1, 0)  # equal keys may begin in the file before
                 while k < len(first) and first[k] <= key:
                     if shared.value[k][1] >= key:

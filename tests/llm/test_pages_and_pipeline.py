@@ -64,6 +64,14 @@ def test_lookup_reads_the_captures_asked_for(spark, tmp_path):
     assert sorted(r.page_id for r in warc.read_captures(wanted, files, folder).collect()) == [3, 497]
 
 
+def test_urls_with_control_characters_are_found(spark, tmp_path):
+    urls = [f"http://a.org/x{c}{e}" for c in "\x01\x02 \x1f" for e in "zma"] + [f"http://[x{c}{e}" for c in "\x01\t" for e in "za"]
+    pages = spark.createDataFrame([(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    files = warc.write_archives(warc.decide(pages), folder, archives=2, block_lines=3)
+    assert sorted(r.page_id for r in warc.read_captures(pages, files, folder).collect()) == list(range(len(urls)))
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 3, None, "hm"), (1, 2, "ann", "again"), (2, 0, "system", "alone"), (None, None, "ann", "x"), (None, None, "ann", "x")]
     odd = spark.createDataFrame([(*r, "m", 4, 1) for r in rows], "conv_id long, turn long, role string, text string, messages string, at long, rank int")
