@@ -263,18 +263,20 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     return Model(langs, score, allowed)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
+def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float = SWITCH_PENALTY, least_run: int | None = None) -> DataFrame:
     """``docs`` with lang_pred, score and spans.
 
     score is the share of letters in words labelled with lang_pred. spans is an array of (lang, first_word,
     words), words being runs of letters. A null text, one without letters, or a model without languages gives
-    ``und``, score 0 and no span. Ties go to the language first in the alphabet. Columns of these names are
-    replaced; all others, nulls included, pass through.
+    ``und``, score 0 and no span. Ties go to the language first in the alphabet. With ``least_run`` there is also
+    in_runs, the share of letters in spans of so many letters or more, of whatever languages. Columns of these
+    names are replaced; all others, nulls included, pass through.
     """
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
+    runs = [] if least_run is None else ["in_runs"]
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "spans", *runs)]
     source = docs.select(*kept).withColumn(text, F.col(text).cast("string"))
-    schema = source.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "spans": F.lit(None).cast("array<struct<lang:string,first_word:int,words:int>>")}).schema
+    schema = source.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "spans": F.lit(None).cast("array<struct<lang:string,first_word:int,words:int>>"), **{c: F.lit(0.0) for c in runs}}).schema
     shared = spark.sparkContext.broadcast(model)  # of fixed size for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +285,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float =
         kind = pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("words", pa.int32())])
         for batch in grouped_slices(batches, text, BATCH_BYTES):
             n = batch.num_rows
-            pred, share, spans = np.full(n, len(m.langs)), np.zeros(n), pa.array([[]] * n, type=pa.list_(kind))
+            pred, share, in_runs, spans = np.full(n, len(m.langs)), np.zeros(n), np.zeros(n), pa.array([[]] * n, type=pa.list_(kind))
             t = read(utf8(batch.column(text)))
             if m.langs and len(t.start):
                 label = viterbi(m.words(t), t.first, penalty).astype(np.int64)
@@ -297,10 +299,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float =
                 new[1:] = (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])
                 begin = np.flatnonzero(new)
                 size = np.diff(np.append(begin, len(label)))
+                if runs:
+                    long = np.add.reduceat(t.end - t.start, begin)
+                    in_runs[has] = np.bincount(doc[begin], weights=long * (long >= least_run), minlength=n)[has] / total[has]
                 values = pa.StructArray.from_arrays(
                     [pa.array(names[label[begin]], type=pa.string()), pa.array((begin - t.first[doc[begin]]).astype(np.int32)), pa.array(size.astype(np.int32))], fields=list(kind)
                 )
                 spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[begin], np.arange(n + 1)).astype(np.int32)), values)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names[pred], type=pa.string()), pa.array(share), spans], names=[*kept, "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names[pred], type=pa.string()), pa.array(share), spans, *(pa.array(in_runs) for _ in runs)], names=[*kept, "lang_pred", "score", "spans", *runs])
 
     return source.mapInArrow(run, schema)

@@ -117,6 +117,16 @@ def test_stages_take_effect(spark, sf):
     assert seen["packed"].select("doc_id").distinct().count() == seen["benchmark"].select("doc_id").distinct().count()
 
 
+def test_mixed_languages_and_unknown_ones_stay(spark):
+    words = {"en": "the house and garden with children", "de": "straße und häuser über schöne gärten", "fr": "où été déjà français élève forêt", "es": "niño mañana señor corazón también según"}
+    rows = [(i, " ".join(words[x].split()[k % 5 :] + words[x].split()) + f" {i}", x) for k, x in enumerate(words) for i in range(40 * k, 40 * k + 40)]
+    mixed = [(1000 + i, "\n".join(" ".join([words[x]] * 4) for x in words), None) for i in range(3)]
+    docs = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [r[0] for r in rows + mixed]
+    unnamed = spark.createDataFrame([(*r[:2], None) for r in rows + mixed], docs.schema)
+    assert corpus_pipeline.language(spark, unnamed, "").count() == len(rows + mixed)
+
+
 def test_pipeline_of_nothing(spark, sf, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").filter("false").write.parquet(str(tmp_path / f"{name}.parquet"))
