@@ -71,6 +71,97 @@ _ENRICHED = f"""{_WALKS}, {_DENSE("walks", "request_id, route_no", "100.0")}, {_
 stepped AS (SELECT *, coalesce({_hav("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon")}, 0) AS km, lag(ele) OVER w AS pele FROM raised WINDOW w AS (PARTITION BY request_id, route_no ORDER BY seq)),
 metrics AS (SELECT request_id, route_no, round(sum(km), 3) AS distance_km, {_CLIMB} FROM stepped GROUP BY request_id, route_no)"""
 
+def _draw(number: str) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws('|', '0', request_id, strategy, attempt, {number})), 1, 12) AS BIGINT) / CAST(281474976710656 AS DOUBLE))"
+
+
+def _between(low: float, high: float, number: int) -> str:
+    return f"(CAST({low} AS DOUBLE) + CAST({high - low!r} AS DOUBLE) * {_draw(str(number))})"
+
+
+def _ways(*strategies: str) -> str:
+    """Common table expressions up to ways (request_id, route_no, strategy, seq, node_id) of all tries."""
+    counts = {"directional": (0, 90, 180, 270), "out_and_back": (0, 120, 240), "random": (0,) * 20, "figure_eight": (0,)}
+    tries = [(s, k, b) for s in strategies for k, b in enumerate(counts[s])]
+    listed = ", ".join(f"({no}, '{s}', {k}, CAST({b} AS DOUBLE))" for no, (s, k, b) in enumerate(tries))
+    out = f"metres * {_between(0.25, 0.4, 1)}"
+    return f"""asked AS (SELECT request_id, lat AS c_lat, lon AS c_lon, target_distance_km * 1000 AS metres, greatest(target_distance_km * 1000 * 0.75, 1500.0) AS radius FROM loop_requests),
+boxed AS (SELECT request_id, n.node_id, n.lat, n.lon FROM asked JOIN street_nodes n ON n.lat BETWEEN c_lat - radius / 111320.0 AND c_lat + radius / 111320.0
+  AND n.lon BETWEEN c_lon - radius / (111320.0 * cos(radians(c_lat))) AND c_lon + radius / (111320.0 * cos(radians(c_lat)))),
+own AS (SELECT * FROM boxed WHERE request_id IN (SELECT request_id FROM boxed GROUP BY request_id HAVING count(*) >= 10)),
+own_edges AS (SELECT a.request_id, u, v, key, length FROM street_edges JOIN own a ON a.node_id = u JOIN own b ON b.node_id = v AND a.request_id = b.request_id),
+light AS (SELECT request_id, u, v, min(length) AS length FROM own_edges GROUP BY ALL),
+begun AS (SELECT request_id, arg_min(node_id, ({_hav("c_lat", "c_lon", "lat", "lon")}, node_id)) AS start FROM asked JOIN own USING (request_id) GROUP BY request_id),
+tried AS (SELECT a.*, start, t.* FROM asked a JOIN begun USING (request_id), (VALUES {listed}) t(route_no, strategy, attempt, bearing)),
+aims AS (
+  SELECT request_id, route_no, c_lat, c_lon, 0 AS place, bearing + {_between(-22.5, 22.5, 2)} AS turn, {out} AS far FROM tried WHERE strategy = 'directional'
+  UNION ALL
+  SELECT request_id, route_no, c_lat, c_lon, 1, bearing + CASE WHEN {_draw("3")} < 0.5 THEN -1 ELSE 1 END * {_between(45, 90, 4)}, {out} * {_between(0.8, 1.2, 5)} FROM tried WHERE strategy = 'directional'
+  UNION ALL
+  SELECT request_id, route_no, c_lat, c_lon, 0, bearing, metres / 2 * {_between(0.9, 1.1, 1)} FROM tried WHERE strategy = 'out_and_back'
+  UNION ALL
+  SELECT request_id, route_no, c_lat, c_lon, k, bearing + k * 90, metres / 8 FROM tried, range(4) r(k) WHERE strategy = 'figure_eight'),
+placed AS (SELECT *, c_lat + far * cos(radians(turn)) / 111320.0 AS to_lat, c_lon + far * sin(radians(turn)) / (111320.0 * cos(radians(c_lat))) AS to_lon FROM aims),
+others AS (SELECT request_id, node_id, row_number() OVER (PARTITION BY request_id ORDER BY node_id) AS number, count(*) OVER (PARTITION BY request_id) AS others FROM own JOIN begun USING (request_id) WHERE node_id <> start),
+drawn AS (SELECT request_id, route_no, 2 + CAST(floor(4 * {_draw("1")}) AS BIGINT) AS stops, k, CAST(floor({_draw("k")} * others) AS BIGINT) + 1 AS number
+  FROM tried JOIN (SELECT DISTINCT request_id, others FROM others) USING (request_id), range(2, 18) r(k) WHERE strategy = 'random'),
+firsts_drawn AS (SELECT request_id, route_no, stops, number, min(k) AS k FROM drawn GROUP BY ALL),
+fresh AS (SELECT *, row_number() OVER (PARTITION BY request_id, route_no ORDER BY k) - 1 AS place, count(*) OVER (PARTITION BY request_id, route_no) AS kinds FROM firsts_drawn),
+stops AS (
+  SELECT request_id, route_no, place, arg_min(node_id, ({_hav("to_lat", "to_lon", "lat", "lon")}, node_id)) AS node_id FROM placed JOIN own USING (request_id) GROUP BY ALL
+  UNION ALL
+  SELECT request_id, route_no, place, node_id FROM fresh JOIN others USING (request_id, number) WHERE place < stops AND kinds >= stops),
+listed AS (SELECT request_id, route_no, list(node_id ORDER BY place) AS s FROM stops GROUP BY ALL),
+chained AS (SELECT request_id, route_no, strategy, CASE strategy WHEN 'out_and_back' THEN [start] || s WHEN 'figure_eight' THEN [start] || s[1:2] || [start] || s[3:4] || [start] ELSE [start] || s || [start] END AS c
+  FROM tried JOIN listed USING (request_id, route_no) WHERE NOT (strategy IN ('directional', 'out_and_back') AND list_contains(s, start))),
+legs AS (SELECT request_id, route_no, strategy, k AS leg, c[k] AS a, c[k + 1] AS b, len(c) - 1 AS legs FROM chained, range(1, 20) r(k) WHERE k < len(c)),
+d(request_id, source, node_id, dist) USING KEY (request_id, source, node_id) AS (
+  SELECT DISTINCT request_id, a, a, CAST(0 AS DOUBLE) FROM legs
+  UNION
+  SELECT * FROM (SELECT x.request_id, x.source, l.v AS node_id, min(x.dist + l.length) AS dist FROM d x JOIN light l ON l.request_id = x.request_id AND l.u = x.node_id GROUP BY ALL) n
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.d o WHERE o.request_id = n.request_id AND o.source = n.source AND o.node_id = n.node_id AND o.dist <= n.dist)),
+before AS (SELECT x.request_id, x.source, x.node_id, arg_min(y.node_id, (y.dist, y.node_id)) AS prior
+  FROM d x JOIN light l ON l.request_id = x.request_id AND l.v = x.node_id JOIN d y ON y.request_id = x.request_id AND y.source = x.source AND y.node_id = l.u AND y.dist + l.length = x.dist WHERE x.node_id <> x.source GROUP BY ALL),
+back AS (
+  SELECT request_id, route_no, leg, a, b AS at, [b] AS path FROM legs
+  UNION ALL
+  SELECT w.request_id, w.route_no, w.leg, w.a, p.prior, [p.prior] || w.path FROM back w JOIN before p ON p.request_id = w.request_id AND p.source = w.a AND p.node_id = w.at WHERE w.at <> w.a),
+joined AS (SELECT request_id, route_no, strategy, flatten(list(CASE WHEN leg = 1 THEN path ELSE path[2:] END ORDER BY leg)) AS p FROM back JOIN legs USING (request_id, route_no, leg) WHERE back.at = back.a GROUP BY request_id, route_no, strategy, legs HAVING count(*) = legs),
+whole AS (SELECT request_id, route_no, strategy, CASE WHEN strategy = 'out_and_back' THEN p || list_reverse(p)[2:] ELSE p END AS p FROM joined),
+ways AS (SELECT request_id, CAST(route_no AS BIGINT) AS route_no, strategy, unnest(p) AS node_id, CAST(generate_subscripts(p, 1) - 1 AS BIGINT) AS seq FROM whole)"""
+
+
+_CANDIDATES = f"""{_ways("directional", "out_and_back", "random")},
+firsts AS (SELECT request_id, u, v, arg_min(length, key) AS length FROM own_edges GROUP BY ALL),
+steps AS (SELECT request_id, route_no, lag(node_id) OVER (PARTITION BY request_id, route_no ORDER BY seq) AS u, node_id AS v FROM ways),
+measured AS (SELECT request_id, route_no, sum(coalesce(length, 0)) / 1000 AS street_km FROM steps LEFT JOIN firsts USING (request_id, u, v) GROUP BY ALL),
+fitting AS (SELECT request_id, route_no, row_number() OVER (PARTITION BY request_id ORDER BY route_no) AS nth FROM measured JOIN loop_requests USING (request_id)
+  WHERE street_km BETWEEN target_distance_km * CAST(0.7 AS DOUBLE) AND target_distance_km * CAST(1.3 AS DOUBLE)),
+members AS (SELECT DISTINCT request_id, route_no, lat, lon FROM ways JOIN fitting USING (request_id, route_no) JOIN street_nodes USING (node_id) WHERE nth <= 15),
+sizes AS (SELECT request_id, route_no, count(*) AS n FROM members GROUP BY ALL),
+alike AS (SELECT a.request_id, b.route_no, a.route_no AS earlier FROM members a JOIN members b ON a.request_id = b.request_id AND a.lat = b.lat AND a.lon = b.lon AND a.route_no < b.route_no
+  JOIN sizes x ON x.request_id = a.request_id AND x.route_no = a.route_no JOIN sizes y ON y.request_id = b.request_id AND y.route_no = b.route_no GROUP BY ALL HAVING count(*) / (any_value(x.n) + any_value(y.n) - count(*)) > 0.8),
+numbered AS (SELECT request_id, route_no, row_number() OVER (PARTITION BY request_id ORDER BY route_no) AS k, coalesce((SELECT list(earlier) FROM alike a WHERE a.request_id = s.request_id AND a.route_no = s.route_no), []) AS earlier FROM sizes s),
+fold AS (
+  SELECT request_id, k, [route_no] AS kept FROM numbered WHERE k = 1
+  UNION ALL
+  SELECT o.request_id, o.k, CASE WHEN list_has_any(f.kept, o.earlier) THEN f.kept ELSE list_append(f.kept, o.route_no) END FROM fold f JOIN numbered o ON o.request_id = f.request_id AND o.k = f.k + 1),
+finals AS (SELECT request_id, unnest(kept) AS route_no, CAST(generate_subscripts(kept, 1) - 1 AS BIGINT) AS candidate_no FROM (SELECT request_id, arg_max(kept, k) AS kept FROM fold GROUP BY request_id)),
+candidates AS (SELECT request_id, candidate_no, strategy, seq, node_id, lat, lon FROM ways JOIN finals USING (request_id, route_no) JOIN street_nodes USING (node_id)),
+without AS (SELECT r.request_id, CASE WHEN n = 0 THEN 'No road network data available' WHEN n < 10 THEN 'Not enough road network data in this area' ELSE 'Could not generate any valid routes in this area' END AS reason
+  FROM (SELECT request_id, (SELECT count(*) FROM boxed b WHERE b.request_id = q.request_id) AS n FROM loop_requests q) r WHERE request_id NOT IN (SELECT request_id FROM finals))"""
+_STREETS = ("loop_requests", "street_nodes", "street_edges")
+_FOUND = f"""{_CANDIDATES}, walks AS (SELECT request_id, candidate_no AS route_no, seq, lat, lon FROM candidates WHERE request_id % 9 <> 8), {_DENSE("walks", "request_id, route_no", "100.0")},
+raised AS (SELECT d.*, coalesce(g.ele, 0.0) AS ele FROM dense d LEFT JOIN street_elevation g ON g.cell_y = floor(d.lat / 0.001) AND g.cell_x = floor(d.lon / 0.001)),
+stepped AS (SELECT *, coalesce({_hav("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon")}, 0) AS km, lag(ele) OVER w AS pele FROM raised WINDOW w AS (PARTITION BY request_id, route_no ORDER BY seq)),
+metrics AS (SELECT request_id, route_no AS candidate_no, round(sum(km), 3) AS distance_km, {_CLIMB} FROM stepped GROUP BY request_id, route_no),
+scored AS (SELECT m.*, {_round("""CAST(0.4 AS DOUBLE) * greatest(CAST(0 AS DOUBLE), 1 - abs(m.distance_km - target_distance_km) / target_distance_km)
+      + CAST(0.6 AS DOUBLE) * CASE WHEN target_elevation_gain_m > 0 THEN greatest(CAST(0 AS DOUBLE), 1 - abs(m.elevation_gain_m - target_elevation_gain_m) / target_elevation_gain_m)
+              ELSE greatest(CAST(0 AS DOUBLE), 1 - m.elevation_gain_m / 100) END""", 3)} AS similarity_score FROM metrics m JOIN loop_requests USING (request_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY similarity_score DESC, candidate_no) AS rank FROM scored),
+lost AS (SELECT request_id, CASE WHEN request_id % 9 = 8 THEN 'Location not found:  block ' || (request_id + 100000000) END AS reason FROM loop_requests WHERE request_id % 9 = 8
+  UNION ALL SELECT request_id, reason FROM without WHERE request_id % 9 <> 8)"""
+
 ORACLES: dict[str, str] = {
     "p1_haversine": with_fixtures(f"SELECT track_id, seq, round({_hav('42.36', '(-71.06)', 'lat', 'lon')}, 6) AS km FROM track_points", "track_points"),
     "p2_destination": with_fixtures(
@@ -147,6 +238,7 @@ ORACLES: dict[str, str] = {
         "track_points",
     ),
     "w4_profile_summary": with_fixtures(f"WITH {_SUMMARY} SELECT * FROM summary", "track_points"),
+    "s6_stream_gpx": with_fixtures(f"WITH {_SUMMARY} SELECT * FROM summary", "track_points"),
     "w4_profile_points": with_fixtures(f"WITH {_PROFILE} SELECT * FROM profile", "track_points"),
     "w5_interpolate": with_fixtures(f"WITH {_DENSE('track_points', 'track_id', '50.0')} SELECT track_id, seq, lat, lon FROM dense", "track_points"),
     "w6_build_profile": with_fixtures(
@@ -226,7 +318,7 @@ ORACLES: dict[str, str] = {
         f"""WITH {_DISPLAY}, q AS (SELECT query_id, lower(trim(query)) AS q FROM place_queries WHERE length(query) >= 2 AND length(trim(query)) > 0),
         hits AS (SELECT q.query_id, s.*, row_number() OVER (PARTITION BY q.query_id ORDER BY importance DESC, place_id) AS hit FROM q JOIN shown s ON starts_with(lower(trim(s.name)), q.q)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY is_us DESC, hit) AS rank FROM hits WHERE hit <= 7)
-        SELECT query_id, rank, place_id, display, is_us FROM r WHERE rank <= 5""",
+        SELECT query_id, rank, place_id, display, coalesce(nullif(city, ''), name) AS city, state, country, countrycode AS country_code, lat, lon, is_us, coalesce(nullif(osm_value, ''), nullif(type, '')) AS type FROM r WHERE rank <= 5""",
         "place_queries",
         "places",
     ),
@@ -243,6 +335,23 @@ ORACLES: dict[str, str] = {
         "street_edges",
         recursive=True,
     ),
+    **{
+        name: with_fixtures(f"WITH {_ways(strategy)} SELECT * FROM ways", *_STREETS, recursive=True)
+        for name, strategy in (("g2_directional_loops", "directional"), ("g3_out_and_back", "out_and_back"), ("g4_random_loops", "random"), ("g5_figure_eight", "figure_eight"))
+    },
+    "g8_candidate_routes": with_fixtures(
+        f"""WITH {_CANDIDATES} SELECT request_id, candidate_no, strategy, seq, node_id, lat, lon, NULL AS reason FROM candidates
+        UNION ALL SELECT request_id, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM without""",
+        *_STREETS,
+        recursive=True,
+    ),
+    "find_routes": with_fixtures(
+        f"""WITH {_FOUND} SELECT request_id, rank, 'Route ' || rank AS name, candidate_no, distance_km, elevation_gain_m, elevation_loss_m, min_elevation_m, max_elevation_m, similarity_score, NULL AS reason FROM ranked WHERE rank <= 5
+        UNION ALL SELECT request_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM lost""",
+        *_STREETS,
+        "street_elevation",
+        recursive=True,
+    ),
     "g6_validate_routes": with_fixtures(
         """WITH firsts AS (SELECT u, v, arg_min(length, key) AS length FROM street_edges GROUP BY u, v),
         walks AS (SELECT w.* FROM walk_nodes w SEMI JOIN street_nodes n ON n.node_id = w.node_id),

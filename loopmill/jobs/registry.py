@@ -5,17 +5,19 @@ Each query is thin: it reads derived tables, calls operators, and rounds what tr
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopmill.functions import geo
-from loopmill.functions.scratch import settle
+from loopmill.functions.scratch import settle, shared_folder
 from loopmill.jobs import oracles
 from loopmill.operators import candidates, elevation, graph, places, profiles, ranking, tracks
 from loopmill.sources import gpx
 from loopmill.sources.fixtures import fixture
+from loopmill.streaming import gpx_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,7 +69,7 @@ def p5_resolve_targets(spark, sf_dir):
         F.when(n == 0, "gpx").otherwise("manual").alias("mode"),
         (F.col("request_id") % 200).alias("track_id"),
         F.col("target_distance_km").alias("distance_km"),
-        F.when(n == 1, "").when(n == 2, "0").when(n == 3, "2.5").when(n == 4, "steep").alias("grade"),
+        F.when(n == 1, "").when(n == 2, "0").when(n == 3, " 2.5% up").when(n == 4, "steep").alias("grade"),
         F.col("target_elevation_gain_m").alias("gain_m"),
     )
     return _digits(ranking.resolve_targets(asked, tracks.profile_summary(_points(spark, sf_dir), TRACK)), 6, "gain_m")
@@ -285,9 +287,7 @@ def _loops(spark: SparkSession, sf_dir: str, strategies: tuple[str, ...]) -> Dat
     nodes, edges = fixture(spark, sf_dir, "street_nodes"), fixture(spark, sf_dir, "street_edges")
     asked = r.select("request_id", "lat", "lon", "target_distance_km", geo.search_bounds(F.col("target_distance_km"))["radius_m"].alias("radius_m"))
     own_nodes, own_edges, _ = graph.subgraph(asked, nodes, edges)
-    start = graph.nearest_node(asked, nodes, ["request_id"]).select("request_id", F.col("node_id").alias("start"))
-    begun = asked.join(start, "request_id").withColumnsRenamed({"lat": "start_lat", "lon": "start_lon"})
-    return candidates.generate(begun, own_nodes, own_edges, strategies)
+    return candidates.generate(candidates.with_starts(asked, own_nodes), own_nodes, own_edges, strategies)
 
 
 @query
@@ -385,6 +385,18 @@ def s5_result_rows(spark, sf_dir):
     return rows.select(*ROUTE, "rank", "name", F.size("coordinates").cast("long").alias("points"), F.size("profile").cast("long").alias("profile_points"), F.round(F.element_at("profile", -1)[0], 2).alias("last_km"))
 
 
+@query
+def s6_stream_gpx(spark, sf_dir):
+    """Rendered files come as a stream in several batches; summaries of all of them."""
+    folder = f"{shared_folder(spark)}/loopmill-streams/{uuid.uuid4().hex}"
+    files = gpx.render(_points(spark, sf_dir).withColumn("track_id", F.concat("track_id", F.lit(".gpx"))))
+    files.repartition(6, "track_id").write.parquet(f"{folder}/in")
+    arrivals = gpx_stream.table_stream(spark, f"{folder}/in", 4)
+    gpx_stream.start(arrivals, f"{folder}/profiles", f"{folder}/rejects", f"{folder}/checkpoint").awaitTermination()
+    found = spark.read.parquet(f"{folder}/profiles").drop("batch")
+    return found.withColumn("track_id", F.split_part("track_id", F.lit("."), F.lit(1)).cast("long"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -1,64 +1,122 @@
-"""Candidate loops for many requests at once: path search by request in a bounded helper, all else as joins.
+"""Candidate loops for many requests at once: stops are drawn and placed by joins, ways between them found by request.
 
-All draws are hashes of (seed, request, strategy, attempt, draw), so that a task that runs again draws alike.
+All draws are digests of (seed, request, strategy, attempt, draw), so that a task that runs again draws alike.
 """
 
 from __future__ import annotations
 
-import hashlib
 import heapq
-from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loopmill.functions.geo import search_bounds
+from loopmill.functions.geo import destination, haversine_km, search_bounds
 from loopmill.functions.scratch import settle
-from loopmill.operators.graph import dedupe_routes, nearest_node, subgraph, validate_routes
+from loopmill.operators.graph import dedupe_routes, subgraph, validate_routes
 
-# Bearings of each strategy, attempts, and routes kept before similar ones go.
+# Bearings of each strategy, attempts, stops, and routes kept before similar ones go.
 LOOP_BEARINGS, LOOP_SPREAD = (0, 90, 180, 270), 45
 RETURN_BEARINGS = (0, 120, 240)
-RANDOM_ATTEMPTS, MOST_ROUTES = 20, 15
-METRES = 111320.0
+RANDOM_ATTEMPTS, LEAST_STOPS, MOST_STOPS, MOST_ROUTES = 20, 2, 5, 15
 NO_ROUTES = "Could not generate any valid routes in this area"
 STRATEGIES = ("directional", "out_and_back", "random", "figure_eight")
+BEARINGS = {"directional": LOOP_BEARINGS, "out_and_back": RETURN_BEARINGS, "random": (0,) * RANDOM_ATTEMPTS, "figure_eight": (0,)}
+#: Random stops are the first different ones of so many draws.
+STOP_DRAWS = 16
+WAYS = "request_id long, route_no long, strategy string, seq long, node_id long"
 
 
-class Draws:
-    """Numbers from 0 to 1 that depend on what they are for, not on when they are drawn."""
+def draw(low: float, high: float, number: int | Column, seed: int = 0) -> Column:
+    """A number from ``low`` to ``high`` for a try: 48 bits of a digest of what it is for."""
+    of = F.concat_ws("|", F.lit(str(seed)), F.col("request_id").cast("string"), "strategy", F.col("attempt").cast("string"), (F.lit(number) if isinstance(number, int) else number).cast("string"))
+    return low + (high - low) * (F.conv(F.substr(F.md5(of), F.lit(1), F.lit(12)), 16, 10).cast("double") / float(2**48))
 
-    def __init__(self, *of):
-        self.of, self.n = of, 0
 
-    def uniform(self, low: float = 0.0, high: float = 1.0) -> float:
-        self.n += 1
-        raw = hashlib.blake2b(repr((*self.of, self.n)).encode(), digest_size=8).digest()
-        return low + (high - low) * (int.from_bytes(raw, "big") / 2**64)
+def tries(requests: DataFrame, strategies: tuple[str, ...] = STRATEGIES[:3]) -> DataFrame:
+    """``requests`` with strategy, attempt, bearing and route_no: a row for each try, in order of strategies."""
+    listed = [(s, k, b) for s in strategies for k, b in enumerate(BEARINGS[s])]
+    rows = F.array(*(F.struct(F.lit(no).cast("long").alias("route_no"), F.lit(s).alias("strategy"), F.lit(k).alias("attempt"), F.lit(float(b)).alias("bearing")) for no, (s, k, b) in enumerate(listed)))
+    return requests.withColumn("try", F.explode(rows)).select("*", "try.*").drop("try")
+
+
+def directional(metres: Column, seed: int = 0) -> Column:
+    """Aims (bearing, metres) of a loop into one direction: out, and on to one side."""
+    out = metres * draw(0.25, 0.4, 1, seed)
+    side = F.when(draw(0, 1, 3, seed) < 0.5, -1).otherwise(1)
+    one = F.struct((F.col("bearing") + draw(-LOOP_SPREAD / 2, LOOP_SPREAD / 2, 2, seed)).alias("turn"), out.alias("metres"))
+    two = F.struct((F.col("bearing") + side * draw(45, 90, 4, seed)).alias("turn"), (out * draw(0.8, 1.2, 5, seed)).alias("metres"))
+    return F.array(one, two)
+
+
+def out_and_back(metres: Column, seed: int = 0) -> Column:
+    """The aim of a way out that is also the way back."""
+    return F.array(F.struct(F.col("bearing").alias("turn"), (metres / 2 * draw(0.9, 1.1, 1, seed)).alias("metres")))
+
+
+def figure_eight(metres: Column, seed: int = 0) -> Column:
+    """Aims of two loops on opposite sides of the start."""
+    return F.array(*(F.struct((F.col("bearing") + turn).alias("turn"), (metres / 8).alias("metres")) for turn in (0, 90, 180, 270)))
+
+
+def random_stops(tried: DataFrame, nodes: DataFrame, seed: int = 0) -> DataFrame:
+    """request_id, route_no, place, node_id: two to five nodes other than the start, by number among the request's.
+
+    A try that draws too few different nodes, or whose request has too few, has none.
+    """
+    starts = tried.select("request_id", "start").distinct()
+    own = nodes.join(starts, "request_id").filter("node_id <> start")
+    numbered = own.select("request_id", "node_id", F.row_number().over(Window.partitionBy("request_id").orderBy("node_id")).alias("number"))
+    counts = own.groupBy("request_id").agg(F.count("*").alias("others"))
+    asked = tried.filter("strategy = 'random'").join(counts, "request_id")
+    stops = (LEAST_STOPS + F.floor(draw(0, MOST_STOPS - LEAST_STOPS + 1, 1, seed))).cast("int")
+    drawn = F.array_distinct(F.transform(F.sequence(F.lit(2), F.lit(STOP_DRAWS + 1)), lambda k: F.floor(draw(0, 1, k, seed) * F.col("others")) + 1))
+    picked = asked.withColumns({"stops": stops, "drawn": drawn}).filter("others >= 2 AND size(drawn) >= stops")
+    placed = picked.select("request_id", "route_no", F.posexplode(F.slice("drawn", 1, F.col("stops"))).alias("place", "number"))
+    return placed.join(numbered, ["request_id", "number"]).select("request_id", "route_no", "place", "node_id")
+
+
+def aimed_stops(tried: DataFrame, nodes: DataFrame, seed: int = 0) -> DataFrame:
+    """request_id, route_no, place, node_id: the request's own node nearest to each aim, ties to the smaller id."""
+    metres = F.col("target_distance_km") * 1000
+    of = {"directional": directional, "out_and_back": out_and_back, "figure_eight": figure_eight}
+    aims = F.coalesce(*(F.when(F.col("strategy") == name, make(metres, seed)) for name, make in of.items()))
+    rows = tried.filter("strategy <> 'random'").select("request_id", "route_no", "start_lat", "start_lon", F.posexplode(aims).alias("place", "aim"))
+    lat, lon = destination(F.col("start_lat"), F.col("start_lon"), F.col("aim.turn"), F.col("aim.metres"))
+    placed = rows.select("request_id", "route_no", "place", lat.alias("to_lat"), lon.alias("to_lon"))
+    met = placed.join(nodes.select("request_id", "node_id", "lat", "lon"), "request_id")
+    best = met.groupBy("request_id", "route_no", "place").agg(F.min(F.struct(haversine_km(F.col("to_lat"), F.col("to_lon"), F.col("lat"), F.col("lon")), F.col("node_id"))).alias("best"))
+    return best.select("request_id", "route_no", "place", "best.node_id")
+
+
+def chains(requests: DataFrame, nodes: DataFrame, strategies: tuple[str, ...] = STRATEGIES[:3], seed: int = 0) -> DataFrame:
+    """request_id, route_no, strategy, stops (nodes from the start on) of each try.
+
+    Tries of the first two strategies end where a stop is the start itself.
+    """
+    tried = tries(requests.select("request_id", "start", "start_lat", "start_lon", "target_distance_km"), strategies)
+    stops = aimed_stops(tried, nodes, seed).unionByName(random_stops(tried, nodes, seed))
+    listed = stops.groupBy("request_id", "route_no").agg(F.array_sort(F.collect_list(F.struct("place", "node_id"))).alias("s"))
+    known = tried.select("request_id", "route_no", "strategy", "start").join(listed, ["request_id", "route_no"]).withColumn("s", F.transform("s", lambda x: x["node_id"]))
+    known = known.filter(~(F.col("strategy").isin("directional", "out_and_back") & F.array_contains("s", F.col("start"))))
+    start = F.array("start")
+    loop = F.when(F.col("strategy") == "out_and_back", F.concat(start, "s")).when(F.col("strategy") == "figure_eight", F.concat(start, F.slice("s", 1, 2), start, F.slice("s", 3, 2), start)).otherwise(F.concat(start, "s", start))
+    return known.select("request_id", "route_no", "strategy", loop.alias("stops"))
 
 
 class Streets:
-    """One request's network: neighbours by the lightest edge, and positions."""
+    """One request's network, neighbours by the lightest edge."""
 
-    def __init__(self, nodes: pd.DataFrame, edges: pd.DataFrame):
-        self.ids, self.lat, self.lon = (nodes[c].to_numpy() for c in ("node_id", "lat", "lon"))
+    def __init__(self, edges: pd.DataFrame):
         self.out: dict[int, dict[int, float]] = {}
         for u, v, length in zip(edges["u"].tolist(), edges["v"].tolist(), edges["length"].tolist()):
             to = self.out.setdefault(u, {})
             to[v] = min(length, to.get(v, length))
         self.trees: dict[int, dict[int, int]] = {}
 
-    def at(self, lat: float, lon: float, bearing: float, metres: float) -> int:
-        turn = np.radians(bearing)
-        to_lat, to_lon = lat + metres * np.cos(turn) / METRES, lon + metres * np.sin(turn) / (METRES * np.cos(np.radians(lat)))
-        a = np.sin(np.radians(self.lat - to_lat) / 2) ** 2 + np.cos(np.radians(to_lat)) * np.cos(np.radians(self.lat)) * np.sin(np.radians(self.lon - to_lon) / 2) ** 2
-        return int(self.ids[np.lexsort((self.ids, a))[0]])
-
     def tree(self, source: int) -> dict[int, int]:
-        """Predecessors on least-length paths from a node, ties to the smaller predecessor."""
+        """Predecessors on least-length paths from a node; among equals the one nearest to the source, then by id."""
         if source not in self.trees:
             dist, before, heap, done = {source: 0.0}, {source: source}, [(0.0, source)], set()
             while heap:
@@ -66,8 +124,8 @@ class Streets:
                 if u in done:
                     continue
                 done.add(u)
-                for v, length in sorted(self.out.get(u, {}).items()):
-                    if d + length < dist.get(v, np.inf):
+                for v, length in self.out.get(u, {}).items():
+                    if d + length < dist.get(v, float("inf")):
                         dist[v], before[v] = d + length, u
                         heapq.heappush(heap, (d + length, v))
             self.trees[source] = before
@@ -86,58 +144,33 @@ class Streets:
         return out
 
 
-def directional(streets: Streets, start: int, lat: float, lon: float, metres: float, bearing: float, draw: Draws) -> list[int] | None:
-    out = metres * draw.uniform(0.25, 0.4)
-    one = streets.at(lat, lon, bearing + draw.uniform(-LOOP_SPREAD / 2, LOOP_SPREAD / 2), out)
-    side = -1 if draw.uniform() < 0.5 else 1
-    two = streets.at(lat, lon, bearing + side * draw.uniform(45, 90), out * draw.uniform(0.8, 1.2))
-    return None if start in (one, two) else streets.path([start, one, two, start])
-
-
-def out_and_back(streets: Streets, start: int, lat: float, lon: float, metres: float, bearing: float, draw: Draws) -> list[int] | None:
-    turn = streets.at(lat, lon, bearing, metres / 2 * draw.uniform(0.9, 1.1))
-    way = None if turn == start else streets.path([start, turn])
-    return way and way + way[-2::-1]
-
-
-def random_loop(streets: Streets, start: int, lat: float, lon: float, metres: float, bearing: float, draw: Draws) -> list[int] | None:
-    others = np.sort(streets.ids[streets.ids != start])
-    stops = 2 + int(draw.uniform() * 4)
-    if len(streets.ids) < 3 or len(others) < stops:
-        return None
-    order = np.argsort([draw.uniform() for _ in others], kind="stable")[:stops]
-    return streets.path([start, *others[order].tolist(), start])
-
-
-def figure_eight(streets: Streets, start: int, lat: float, lon: float, metres: float, bearing: float, draw: Draws) -> list[int] | None:
-    one, two, three, four = (streets.at(lat, lon, bearing + turn, metres / 8) for turn in (0, 90, 180, 270))
-    return streets.path([start, one, two, start, three, four, start])
-
-
-_MAKERS: dict[str, Callable] = {"directional": directional, "out_and_back": out_and_back, "random": random_loop, "figure_eight": figure_eight}
-
-
 def generate(requests: DataFrame, nodes: DataFrame, edges: DataFrame, strategies: tuple[str, ...] = STRATEGIES[:3], seed: int = 0) -> DataFrame:
     """request_id, route_no, strategy, seq, node_id: all tries of each request, in order of strategy and attempt.
 
     ``requests`` has request_id, start, start_lat, start_lon and target_distance_km; nodes and edges have the
-    request_id of the subgraph, whose size the search radius bounds. A try without a way has no row.
+    request_id of the subgraph, which the search radius bounds. A try without a way has no row. Only the search
+    for least-length ways is a Python helper, for one request's edges and stops at a time.
     """
-    tries = [(s, k, b) for s in strategies for k, b in enumerate({"directional": LOOP_BEARINGS, "out_and_back": RETURN_BEARINGS, "random": (0,) * RANDOM_ATTEMPTS, "figure_eight": (0,)}[s])]
 
-    def run(key: tuple, own_nodes: pd.DataFrame, own_edges: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(own_nodes):
-            first = own_nodes.iloc[0]
-            streets, start = Streets(own_nodes, own_edges), int(first["start"])
-            for no, (name, attempt, bearing) in enumerate(tries):
-                way = _MAKERS[name](streets, start, first["start_lat"], first["start_lon"], first["target_distance_km"] * 1000, bearing, Draws(seed, key[0], name, attempt))
-                rows += [(key[0], no, name, k, n) for k, n in enumerate(way or ())]
-        return pd.DataFrame(rows, columns=["request_id", "route_no", "strategy", "seq", "node_id"])
+    def run(key: tuple, asked: pd.DataFrame, own_edges: pd.DataFrame) -> pd.DataFrame:
+        streets, rows = Streets(own_edges), []
+        for no, name, stops in zip(asked["route_no"].tolist(), asked["strategy"].tolist(), asked["stops"].tolist()):
+            way = streets.path([int(x) for x in stops]) or []
+            if name == "out_and_back":
+                way += way[-2::-1]
+            rows += [(key[0], no, name, k, n) for k, n in enumerate(way)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in WAYS.split(", ")])
+
+    asked, edges = chains(requests, nodes, strategies, seed), edges.select("request_id", "u", "v", "length")
+    asked, edges = asked.toDF(*asked.columns), edges.toDF(*edges.columns)  # columns of their own, whatever they come from
+    return asked.groupBy("request_id").cogroup(edges.groupBy("request_id")).applyInPandas(run, WAYS)
+
 
-    known = nodes.join(requests.select("request_id", "start", "start_lat", "start_lon", "target_distance_km"), "request_id")
-    known, edges = known.toDF(*known.columns), edges.toDF(*edges.columns)  # columns of their own, whatever they come from
-    return known.groupBy("request_id").cogroup(edges.groupBy("request_id")).applyInPandas(run, "request_id long, route_no long, strategy string, seq long, node_id long")
+def with_starts(requests: DataFrame, own_nodes: DataFrame) -> DataFrame:
+    """``requests`` with start, the nearest node of the request's own network, and its own place as start_lat, start_lon."""
+    near = own_nodes.select("request_id", "node_id", F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon")).join(requests.select("request_id", "lat", "lon"), "request_id")
+    best = near.groupBy("request_id").agg(F.min(F.struct(haversine_km(F.col("lat"), F.col("lon"), F.col("n_lat"), F.col("n_lon")), F.col("node_id"))).alias("best"))
+    return requests.join(best.select("request_id", F.col("best.node_id").alias("start")), "request_id").withColumnsRenamed({"lat": "start_lat", "lon": "start_lon"})
 
 
 def candidate_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, tolerance: float = 0.3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -149,17 +182,15 @@ def candidate_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, to
     bounds = search_bounds(F.col("target_distance_km"), tolerance)
     asked = requests.select("request_id", "lat", "lon", "target_distance_km", *(c.alias(n) for n, c in bounds.items()))
     own_nodes, own_edges, rejects = subgraph(asked, nodes, edges)
-    start = nearest_node(asked, nodes, ["request_id"]).select("request_id", F.col("node_id").alias("start"))
-    begun = asked.join(start, "request_id").withColumnsRenamed({"lat": "start_lat", "lon": "start_lon"})
-    tries = settle(generate(begun, own_nodes, own_edges, seed=seed))
+    found = settle(generate(with_starts(asked, own_nodes), own_nodes, own_edges, seed=seed))
     keys = ["request_id", "route_no"]
-    _, points = validate_routes(tries, own_edges, nodes, keys, asked.select("request_id", "min_km", "max_km"))
+    _, points = validate_routes(found, own_edges, nodes, keys, asked.select("request_id", "min_km", "max_km"))
     points = settle(points)
     order = Window.partitionBy("request_id").orderBy("route_no")
     first = points.select(*keys).distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= MOST_ROUTES).select(*keys)
     kept = dedupe_routes(points.join(first, keys, "left_semi"))
-    numbered = kept.withColumn("candidate_no", (F.row_number().over(order) - 1).cast("long"))
-    named = tries.select(*keys, "strategy").distinct()
+    numbered = settle(kept.withColumn("candidate_no", (F.row_number().over(order) - 1).cast("long")))
+    named = found.filter("seq = 0").select(*keys, "strategy")
     out = points.join(numbered, keys).join(named, keys).select("request_id", "candidate_no", "strategy", "seq", "node_id", "lat", "lon")
-    without = asked.select("request_id").join(rejects, "request_id", "left_anti").join(kept.select("request_id").distinct(), "request_id", "left_anti")
+    without = asked.select("request_id").join(rejects, "request_id", "left_anti").join(numbered.select("request_id").distinct(), "request_id", "left_anti")
     return out, rejects.unionByName(without.withColumn("reason", F.lit(NO_ROUTES)))

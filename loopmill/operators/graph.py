@@ -2,44 +2,88 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loopmill.functions.geo import METRES_PER_DEGREE, destination, haversine_km
+from loopmill.functions.geo import EARTH_RADIUS_KM, METRES_PER_DEGREE, destination, haversine_km
 from loopmill.functions.scratch import settle
 
-KM_PER_DEGREE = 111.19
 LEAST_NODES = 10
-#: The widest cells of the nearest search; nine of them cover the globe.
-WIDEST_CELL = 128.0
+#: Passes over rings of cells before points far from every node go on by descent.
+RINGS, FINER = 3, 4
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, keys: list[str], cell: float = 0.01) -> DataFrame:
-    """keys, node_id, distance_km: the nearest node of each point; none if there are no nodes.
+def _on_sphere(lat: str, lon: str) -> dict[str, Column]:
+    """x, y, z on the unit sphere: no seam at 180 degrees and no narrow cells at the poles."""
+    flat = F.cos(F.radians(lat))
+    return {"x": flat * F.cos(F.radians(lon)), "y": flat * F.sin(F.radians(lon)), "z": F.sin(F.radians(lat))}
+
+
+def _cell(size: float, *shift: int) -> list[Column]:
+    return [(F.floor(F.col(c) / size) + i).alias(f"c{c}") for c, i in zip("xyz", shift or (0, 0, 0))]
+
+
+def _nearest_by_descent(points: DataFrame, nodes: DataFrame, finest: float) -> DataFrame:
+    """lat, lon, node_id, distance_km: cubes of nodes, from large to small, that may hold a point's nearest node.
 
-    Points meet the nodes of their own grid cell and the eight around it. What is found within one cell's
-    width is surely the nearest; the other points go on with cells four times as wide. Ties: smaller node id.
+    A cube stays while its nearest face is no farther than the farthest corner of another, so that a point meets
+    a few cubes at each size, and in the end the nodes of a few small ones.
     """
-    nodes = nodes.select("node_id", F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon"))
-    left, found = points.select(*keys, "lat", "lon"), None
-    size = cell
+    size, front = 2.0, None
     while True:
-        around = F.array(*(F.struct((F.floor(F.col("lat") / size) + i).alias("cy"), (F.floor(F.col("lon") / size) + j).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-        asked = left.withColumn("cell", F.explode(around)).select(*keys, "lat", "lon", "cell.cy", "cell.cx")
-        held = nodes.withColumns({"cy": F.floor(F.col("n_lat") / size), "cx": F.floor(F.col("n_lon") / size)})
-        distance = haversine_km(F.col("lat"), F.col("lon"), F.col("n_lat"), F.col("n_lon"))
-        best = asked.join(held, ["cy", "cx"]).groupBy(*keys, "lat", "lon").agg(F.min(F.struct(distance.alias("distance_km"), F.col("node_id"))).alias("best"))
-        last = size >= WIDEST_CELL
-        # a cell is narrower from east to west by the cosine of its farther latitude
-        sure = size * KM_PER_DEGREE * F.cos(F.radians(F.least(F.abs("lat") + size, F.lit(89.9))))
-        best = settle(best.select(*keys, "lat", "lon", "best.node_id", "best.distance_km", (F.lit(last) | (F.col("best.distance_km") <= sure)).alias("sure")))
-        done = best.filter("sure").select(*keys, "node_id", "distance_km")
-        found = done if found is None else found.unionByName(done)
-        left = left.join(done.select(*keys), keys, "left_anti")
-        if last or left.isEmpty():
-            return found
-        left, size = settle(left), size * 4
+        corners = nodes.groupBy(*_cell(size)).agg(*(f(c).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in "xyz"))
+        if front is None:
+            step = points.crossJoin(F.broadcast(corners))  # eight cubes at most
+        else:
+            parent = [F.floor(F.col(f"c{c}") / FINER).alias(f"p{c}") for c in "xyz"]
+            step = front.join(corners.select("*", *parent), ["px", "py", "pz"])
+        gaps = [F.greatest(F.col(f"lo{c}") - F.col(c), F.col(c) - F.col(f"hi{c}"), F.lit(0.0)) for c in "xyz"]
+        reach = [F.greatest(F.abs(F.col(f"lo{c}") - F.col(c)), F.abs(F.col(f"hi{c}") - F.col(c))) for c in "xyz"]
+        length = lambda parts: F.sqrt(sum((x * x for x in parts), F.lit(0.0)))
+        step = settle(step.select("lat", "lon", "x", "y", "z", "cx", "cy", "cz", length(gaps).alias("near"), length(reach).alias("far")))
+        least = step.groupBy("lat", "lon").agg(F.min("far").alias("bound"))
+        kept = step.join(least, ["lat", "lon"]).filter(F.col("near") <= F.col("bound") + 1e-9).select("lat", "lon", "x", "y", "z", "cx", "cy", "cz")
+        if size <= finest:
+            held = nodes.select("node_id", "n_lat", "n_lon", *_cell(size))
+            return _best(kept.join(held, ["cx", "cy", "cz"]))
+        front, size = kept.withColumnsRenamed({f"c{c}": f"p{c}" for c in "xyz"}), size / FINER
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    distance = haversine_km(F.col("lat"), F.col("lon"), F.col("n_lat"), F.col("n_lon"))
+    best = pairs.groupBy("lat", "lon").agg(F.min(F.struct(distance.alias("distance_km"), F.col("node_id"))).alias("best"))
+    return best.select("lat", "lon", "best.node_id", "best.distance_km")
+
+
+def nearest_node(points: DataFrame, nodes: DataFrame, keys: list[str], cell: float = 0.01) -> DataFrame:
+    """keys, node_id, distance_km: the nearest node of each point on the sphere; none if there are no nodes.
+
+    Positions meet the nodes of their own cube of space (``cell`` degrees wide at first) and those around it. What
+    is found within one cube's width is surely the nearest; the others go on with cubes four times as wide, and
+    those still without a sure one by descent. Ties: smaller node id. Points or nodes without a coordinate are
+    left out; repeated points have a row each, equal positions are searched once. Longitudes may wrap.
+    """
+    there = lambda df: df.filter("NOT (lat IS NULL OR lon IS NULL OR isnan(lat) OR isnan(lon))")
+    asked = there(points.select(*keys, "lat", "lon"))
+    known = there(nodes.select("node_id", "lat", "lon")).withColumns(_on_sphere("lat", "lon")).withColumnsRenamed({"lat": "n_lat", "lon": "n_lon"})
+    left, found, size = asked.select("lat", "lon").distinct().withColumns(_on_sphere("lat", "lon")), None, math.radians(cell)
+    for _ in range(RINGS):
+        around = F.array(*(F.struct(*_cell(size, i, j, k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
+        rings = left.withColumn("cell", F.explode(around)).select("lat", "lon", "cell.*")
+        near = _best(rings.join(known.select("node_id", "n_lat", "n_lon", *_cell(size)), ["cx", "cy", "cz"]))
+        # a chord is shorter than its arc: what is within one cube's width by arc is so by chord
+        sure = settle(near.filter(F.col("distance_km") <= size * EARTH_RADIUS_KM))
+        found = sure if found is None else found.unionByName(sure)
+        left = settle(left.join(sure.select("lat", "lon"), ["lat", "lon"], "left_anti"))
+        if left.isEmpty():
+            break
+        size *= FINER
+    else:
+        found = found.unionByName(_nearest_by_descent(left, known, size))
+    return asked.join(found, ["lat", "lon"]).select(*keys, "node_id", "distance_km")
 
 
 def node_at_bearing(points: DataFrame, nodes: DataFrame, keys: list[str], bearing: Column, distance_m: Column, start: str, cell: float = 0.01) -> DataFrame:

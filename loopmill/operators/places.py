@@ -16,6 +16,7 @@ KEY_LETTERS = 12
 
 
 def normal(text: Column) -> Column:
+    """A name or query as it is compared: small letters, without blanks around it."""
     return F.lower(F.trim(text))
 
 
@@ -41,6 +42,7 @@ def reverse_geocode(points: DataFrame, places: DataFrame, cell: float = 0.01) ->
 
 
 def is_us() -> Column:
+    """Whether a place lies in the United States, by the name of the country or its code; false if neither is known."""
     return F.coalesce(F.col("country").isin(*US_NAMES), F.lit(False)) | F.coalesce(F.col("countrycode") == US_CODE, F.lit(False))
 
 
@@ -54,18 +56,44 @@ def place_display(places: DataFrame) -> DataFrame:
 
 
 def place_suggest(queries: DataFrame, places: DataFrame) -> DataFrame:
-    """query_id, rank, place_id, display, is_us: up to five places whose name begins with the query.
+    """query_id, rank and the shown fields of up to five places whose name begins with the query.
 
-    The seven most important hits count; among them the United States come first. Queries of one letter give
-    nothing. The join key is the query's first letters, so each place meets queries of its own prefix alone.
+    Fields: place_id, display, city (else the name), state, country, country_code, lat, lon, is_us, type. The
+    seven most important hits count, smaller ids first among equals; of them the United States come first.
+    Queries of one letter, null or blank ones give nothing; a query_id that occurs twice is one query.
+
+    Names are keyed by their first letters, up to KEY_LETTERS, and each key keeps its seven best places before
+    it meets queries, however many names or queries share it. Longer queries meet the places of their own
+    longest key and are compared in full.
     """
     asked = queries.select("query_id", normal(F.col("query")).alias("q"), F.length("query").alias("n")).filter(F.col("n") >= LEAST_QUERY).filter(F.length("q") > 0)
-    asked = asked.withColumn("key", F.substring("q", 1, KEY_LETTERS))
-    shown = place_display(places).withColumn("folded", normal(F.col("name")))
+    asked = asked.select("query_id", "q", F.substring("q", 1, KEY_LETTERS).alias("key"), (F.length("q") > KEY_LETTERS).alias("long"))
+    folded = places.select("place_id", "importance", normal(F.col("name")).alias("folded")).filter(F.length("folded") > 0)
     sizes = F.sequence(F.lit(1), F.least(F.length("folded"), F.lit(KEY_LETTERS)))
-    keyed = shown.filter(F.length("folded") > 0).withColumn("key", F.explode(F.transform(sizes, lambda n: F.left(F.col("folded"), n))))
-    hits = asked.join(keyed, "key").filter(F.startswith("folded", "q"))
-    by_weight = Window.partitionBy("query_id").orderBy(F.desc("importance"), "place_id")
-    first = hits.withColumn("hit", F.row_number().over(by_weight)).filter(F.col("hit") <= MOST_HITS)
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("is_us"), "hit")))
-    return ranked.filter(F.col("rank") <= MOST_SHOWN).select("query_id", F.col("rank").cast("long").alias("rank"), "place_id", "display", "is_us")
+    keyed = folded.withColumn("key", F.explode(F.transform(sizes, lambda n: F.left(F.col("folded"), n))))
+    keyed = keyed.join(asked.filter("NOT long").select("key").distinct(), "key", "left_semi")
+    by_key = Window.partitionBy("key").orderBy(F.desc("importance"), "place_id")
+    best = keyed.withColumn("hit", F.row_number().over(by_key)).filter(F.col("hit") <= MOST_HITS).select("key", "place_id", "hit")
+    short_hits = asked.filter("NOT long").join(best, "key").select("query_id", "place_id", "hit")
+    whole = folded.withColumn("key", F.left("folded", F.lit(KEY_LETTERS)))
+    texts = asked.filter("long").select("q", "key").distinct().join(whole, "key").filter(F.startswith("folded", "q"))
+    by_text = Window.partitionBy("q").orderBy(F.desc("importance"), "place_id")
+    texts = texts.withColumn("hit", F.row_number().over(by_text)).filter(F.col("hit") <= MOST_HITS).select("q", "place_id", "hit")
+    long_hits = asked.filter("long").join(texts, "q").select("query_id", "place_id", "hit")
+    field = lambda c: F.nullif(F.col(c), F.lit("")) if c in places.columns else F.lit(None).cast("string")
+    shown = place_display(places).select(
+        "place_id",
+        "display",
+        F.coalesce(field("city"), F.col("name")).alias("city"),
+        "state",
+        "country",
+        F.col("countrycode").alias("country_code"),
+        "lat",
+        "lon",
+        "is_us",
+        F.coalesce(field("osm_value"), field("type")).alias("type"),
+    )
+    hits = short_hits.unionByName(long_hits).join(shown, "place_id")
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("is_us"), "hit")))
+    kept = ranked.filter(F.col("rank") <= MOST_SHOWN).withColumn("rank", F.col("rank").cast("long"))
+    return kept.select("query_id", "rank", *shown.columns)

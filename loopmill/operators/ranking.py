@@ -11,6 +11,8 @@ from loopmill.functions.geo import grade_band, grade_pct
 # Limits of a request, and the weights of a score.
 DEFAULT_RESULTS, MOST_RESULTS = 5, 20
 DISTANCE_WEIGHT, GAIN_WEIGHT = 0.4, 0.6
+#: The number at the beginning of a text, after blanks.
+NUMBER_PREFIX = r"^\s*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))"
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:
@@ -28,9 +30,10 @@ def validate_requests(requests: DataFrame) -> DataFrame:
 
 def resolve_targets(requests: DataFrame, profiles: DataFrame) -> DataFrame:
     """request_id, distance_km, gain_m. ``requests`` has mode (gpx or manual), track_id, distance_km, grade (text)
-    and gain_m; ``profiles`` has track_id, distance_km, elevation_gain_m."""
+    and gain_m; ``profiles`` has track_id, distance_km, elevation_gain_m. A grade counts by the number that it
+    begins with ("2.5 %" is 2.5); without one gain_m counts."""
     known = profiles.select("track_id", F.col("distance_km").alias("p_km"), F.col("elevation_gain_m").alias("p_gain"))
-    grade = F.col("grade").try_cast("double")
+    grade = F.regexp_extract(F.col("grade"), NUMBER_PREFIX, 1).try_cast("double")
     manual = F.coalesce(grade / 100 * (F.col("distance_km") * 1000), F.col("gain_m"))
     gpx = F.col("mode") == "gpx"
     return requests.join(known, "track_id", "left").select("request_id", F.when(gpx, F.col("p_km")).otherwise(F.col("distance_km")).alias("distance_km"), F.when(gpx, F.col("p_gain")).otherwise(manual).alias("gain_m"))

@@ -31,7 +31,7 @@ FROM events""",
 SELECT 42360 + CAST(floor(p_partkey / 10) AS BIGINT) AS cell_y,
        -71060 + p_partkey % 10 AS cell_x,
        floor(p_retailprice * 8) / CAST(8 AS DOUBLE) - 900 AS ele
-FROM part WHERE p_partkey < 100 AND p_partkey % 7 <> 0""",
+FROM part WHERE p_partkey % 7 <> 0""",
     # every cell of each block of streets, and one more on each side
     "street_elevation": """
 SELECT 41999 + 20 * b.block + y.c_custkey AS cell_y,
@@ -88,6 +88,7 @@ FROM lineitem""",
     "places": """
 SELECT s_suppkey AS place_id,
        CASE WHEN s_suppkey % 4 = 0 THEN concat('Town ', CAST(s_suppkey % 30 AS VARCHAR(20)))
+            WHEN s_suppkey % 4 = 3 THEN concat('Place Number ', CAST(s_suppkey AS VARCHAR(20)))
             ELSE concat('Place ', CAST(s_suppkey AS VARCHAR(20))) END AS name,
        concat('Town ', CAST(s_suppkey % 30 AS VARCHAR(20))) AS city,
        CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE r_name END AS state,
@@ -98,6 +99,8 @@ SELECT s_suppkey AS place_id,
        42 + (s_suppkey % 25) * CAST(0.001 AS DOUBLE) AS lat,
        -71 + floor(s_suppkey / 25) * CAST(0.001 AS DOUBLE) AS lon,
        s_acctbal AS importance,
+       CASE WHEN s_suppkey % 4 = 0 THEN 'city' WHEN s_suppkey % 4 = 1 THEN '' END AS osm_value,
+       CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE 'house' END AS type,
        CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE s_name END AS display_name
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     # a search around a node of each block of streets; the last blocks may have too few nodes
@@ -112,7 +115,7 @@ FROM customer WHERE c_custkey % 100 = 44""",
 SELECT s_suppkey AS query_id,
        CASE WHEN s_suppkey % 3 = 0 THEN concat('town ', CAST(s_suppkey % 30 AS VARCHAR(20)))
             WHEN s_suppkey % 3 = 1 THEN concat(' PLACE ', CAST(s_suppkey % 90 AS VARCHAR(20)), ' ')
-            WHEN s_suppkey % 2 = 0 THEN 'T' ELSE 'To' END AS query
+            WHEN s_suppkey % 4 = 0 THEN 'T' WHEN s_suppkey % 4 = 1 THEN concat('Place number ', CAST(s_suppkey % 9 AS VARCHAR(20))) WHEN s_suppkey % 4 = 2 THEN NULL ELSE 'To' END AS query
 FROM supplier""",
 }
 

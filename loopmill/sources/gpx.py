@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from loopmill.functions.scratch import settle
 
 _POINT = "STRUCT<_lat: DOUBLE, _lon: DOUBLE, ele: DOUBLE>"
 SCHEMA = f"trk ARRAY<STRUCT<trkseg: ARRAY<STRUCT<trkpt: ARRAY<{_POINT}>>>>>, rte ARRAY<STRUCT<rtept: ARRAY<{_POINT}>>>, _corrupt_record STRING"
@@ -13,9 +14,14 @@ NOT_GPX, BROKEN, NO_POINTS = "File must be a GPX file", "Failed to parse", "GPX
 BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
 
 
+def as_text(content: str = "content") -> Column:
+    """Bytes of a file as text; null if they are not UTF-8, so that one such file is rejected by itself."""
+    return F.try_validate_utf8(F.col(content).cast("string"))
+
+
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """track_id (the path) and content (text) of files."""
-    return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("track_id"), F.decode("content", "UTF-8").alias("content"))
+    """track_id (the path) and content (text; null if it cannot be decoded) of files."""
+    return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("track_id"), as_text().alias("content"))
 
 
 def gpx_files_only(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -24,39 +30,47 @@ def gpx_files_only(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files.filter(fits), files.filter(~F.coalesce(fits, F.lit(False))).select("track_id", F.lit(NOT_GPX).alias("reason"))
 
 
+def _points_of(gpx: str) -> Column:
+    """All points of a document in one array: tracks by segment, then routes; waypoints are left out."""
+    none = F.array().cast(f"array<{_POINT}>")
+    joined = lambda lists: F.flatten(F.filter(lists, lambda x: x.isNotNull()))
+    tracks = joined(F.transform(f"{gpx}.trk", lambda t: joined(F.transform(t["trkseg"], lambda s: s["trkpt"]))))
+    routes = joined(F.transform(f"{gpx}.rte", lambda r: r["rtept"]))
+    return F.concat(F.coalesce(tracks, none), F.coalesce(routes, none))
+
+
 def parse(files: DataFrame) -> DataFrame:
-    """``files`` (track_id, content) with the parsed document ``gpx``; namespaces and waypoints are ignored."""
-    return files.withColumn("gpx", F.from_xml("content", SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})).drop("content")
+    """track_id, points (an array) and reason (null if the file gives a profile) of ``files`` (track_id, content).
+
+    Namespaces and waypoints are ignored. Content that is null, broken, or has a point without a place is told
+    BROKEN, content without an elevated point NO_POINTS.
+    """
+    document = F.from_xml("content", SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    read = files.select("track_id", document.alias("gpx"))
+    listed = read.select("track_id", (F.col("gpx").isNull() | F.col("gpx._corrupt_record").isNotNull()).alias("broken"), _points_of("gpx").alias("points"))
+    lost = F.exists("points", lambda p: p["_lat"].isNull() | p["_lon"].isNull() | F.isnan(p["_lat"]) | F.isnan(p["_lon"]) | F.isnan(p["ele"]))
+    raised = F.exists("points", lambda p: p["ele"].isNotNull())
+    reason = F.when(F.col("broken") | F.coalesce(lost, F.lit(False)), BROKEN).when(~F.coalesce(raised, F.lit(False)), NO_POINTS)
+    return listed.select("track_id", "points", reason.alias("reason"))
 
 
 def flatten(parsed: DataFrame) -> DataFrame:
-    """track_id, seq, lat, lon, ele: all tracks by segment and point, then all routes; waypoints are left out."""
-    track = (
-        parsed.select("track_id", F.posexplode("gpx.trk").alias("a", "x"))
-        .select("track_id", "a", F.posexplode("x.trkseg").alias("b", "x"))
-        .select("track_id", F.lit(0).alias("kind"), "a", "b", F.posexplode("x.trkpt").alias("c", "p"))
-    )
-    route = parsed.select("track_id", F.posexplode("gpx.rte").alias("a", "x")).select("track_id", F.lit(1).alias("kind"), "a", F.lit(0).alias("b"), F.posexplode("x.rtept").alias("c", "p"))
-    order = Window.partitionBy("track_id").orderBy("kind", "a", "b", "c")
-    return track.unionByName(route).select("track_id", (F.row_number().over(order) - 1).cast("long").alias("seq"), F.col("p._lat").alias("lat"), F.col("p._lon").alias("lon"), F.col("p.ele").alias("ele"))
-
-
-def rejects(parsed: DataFrame, points: DataFrame) -> DataFrame:
-    """track_id, reason of files that give no profile: broken ones, then those without an elevated point."""
-    bad_point = points.filter("lat IS NULL OR lon IS NULL OR isnan(lat) OR isnan(lon) OR isnan(ele)").select("track_id").distinct()
-    broken = parsed.filter("gpx IS NULL OR gpx._corrupt_record IS NOT NULL").select("track_id").unionByName(bad_point).distinct()
-    raised = points.filter("ele IS NOT NULL").select("track_id").distinct()
-    bare = parsed.select("track_id").join(broken, "track_id", "left_anti").join(raised, "track_id", "left_anti")
-    return broken.withColumn("reason", F.lit(BROKEN)).unionByName(bare.withColumn("reason", F.lit(NO_POINTS)))
+    """track_id, seq, lat, lon, ele: the points of each file in order. No exchange: a file is one row before."""
+    rows = parsed.select("track_id", F.posexplode("points").alias("seq", "p"))
+    return rows.select("track_id", F.col("seq").cast("long").alias("seq"), F.col("p._lat").alias("lat"), F.col("p._lon").alias("lon"), F.col("p.ele").alias("ele"))
+
+
+def rejects(parsed: DataFrame) -> DataFrame:
+    """track_id, reason of files that give no profile."""
+    return parsed.filter("reason IS NOT NULL").select("track_id", "reason")
 
 
 def read_gpx(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(points, rejects) of ``files`` (track_id, content)."""
+    """(points, rejects) of ``files`` (track_id, content), each file's XML parsed once. A name that occurs twice
+    gives the points of both files."""
     named, others = gpx_files_only(files)
-    parsed = parse(named)
-    points = flatten(parsed)
-    bad = rejects(parsed, points)
-    return points.join(bad, "track_id", "left_anti"), others.unionByName(bad)
+    parsed = settle(parse(named))
+    return flatten(parsed.filter("reason IS NULL")), others.unionByName(rejects(parsed))
 
 
 def render(points: DataFrame, segment: int = 20) -> DataFrame:

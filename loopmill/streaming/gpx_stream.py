@@ -7,23 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loopmill.operators.tracks import profile_summary
-from loopmill.sources.gpx import BINARY_FILE, read_gpx
+from loopmill.sources.gpx import BINARY_FILE, as_text, read_gpx
 
 
 def file_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """track_id (the path) and content of files that come into ``folder``."""
+    """track_id (the path) and content of files that come into ``folder``; content is null where it is not UTF-8."""
     files = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", files_per_batch).load(folder)
-    return files.select(F.col("path").alias("track_id"), F.decode("content", "UTF-8").alias("content"))
+    return files.select(F.col("path").alias("track_id"), as_text().alias("content"))
 
 
-def start(spark: SparkSession, folder: str, profiles: str, rejects: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Write summaries below ``profiles`` and rejected files below ``rejects``; a batch that runs again
-    overwrites its own folder."""
+def table_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """track_id and content of rows that come as Parquet files into ``folder``, as from an upload log."""
+    return spark.readStream.schema("track_id STRING, content STRING").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+
+
+def start(files: DataFrame, profiles: str, rejects: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Write summaries of the stream ``files`` below ``profiles`` and rejected files below ``rejects``; a batch
+    that runs again overwrites its own folder."""
 
     def handle(batch: DataFrame, number: int) -> None:
         points, bad = read_gpx(batch)
         profile_summary(points, ["track_id"]).write.mode("overwrite").parquet(f"{profiles}/batch={number}")
         bad.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
 
-    writer = file_stream(spark, folder).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    writer = files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

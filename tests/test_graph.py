@@ -44,11 +44,21 @@ def test_nearest_node_across_cells(spark):
 
     draw = random.Random(5)
     nodes = [(i, draw.uniform(-80, 80), draw.uniform(-179, 179)) for i in range(40)]
-    points = [(i, draw.uniform(-60, 60), draw.uniform(-100, 100)) for i in range(25)]
-    got = graph.nearest_node(spark.createDataFrame(points, "p long, lat double, lon double"), spark.createDataFrame(nodes, "node_id long, lat double, lon double"), ["p"], 2.0)
-    pairs = spark.createDataFrame(points, "p long, lat double, lon double").crossJoin(spark.createDataFrame(nodes, "node_id long, a double, b double"))
-    best = pairs.groupBy("p").agg(F.min_by("node_id", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("a"), F.col("b"))).alias("node_id"))
-    assert {r.p: r.node_id for r in got.collect()} == {r.p: r.node_id for r in best.collect()}
+    nodes += [(50, 89.9, 10.0), (51, -89.5, -170.0), (52, 10.0, -179.9), (53, 10.0, 170.0), (54, 0.0, -100.0), (55, 0.0, -100.0), (56, None, 1.0)]
+    points = [(i, draw.uniform(-90, 90), draw.uniform(-180, 180)) for i in range(40)]
+    points += [(50, 10.0, 179.9), (51, 10.0, -179.95), (52, 89.99, -170.0), (53, -90.0, 0.0), (54, 0.0, -100.0), (55, 0.0, 80.0)]
+    lost = [(90, None, 0.0), (91, 0.0, float("nan"))]
+    known = spark.createDataFrame(nodes, "node_id long, lat double, lon double")
+    got = graph.nearest_node(spark.createDataFrame(points + lost, "p long, lat double, lon double"), known, ["p"], 2.0)
+    pairs = spark.createDataFrame(points, "p long, lat double, lon double").crossJoin(spark.createDataFrame(nodes, "node_id long, a double, b double").filter("a IS NOT NULL"))
+    km = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("a"), F.col("b"))
+    best = {r.p: r.best for r in pairs.groupBy("p").agg(F.min(F.struct(km.alias("km"), F.col("node_id"))).alias("best")).collect()}
+    assert {r.p: r.node_id for r in got.collect()} == {p: b.node_id for p, b in best.items()} and best[50].node_id == 52 and best[54].node_id == 54
+    # with narrow cubes most points are found by descent
+    narrow = graph.nearest_node(spark.createDataFrame(points, "p long, lat double, lon double"), known, ["p"], 0.001)
+    assert {r.p: r.node_id for r in narrow.collect()} == {p: b.node_id for p, b in best.items()}
+    twice = spark.createDataFrame([(None, 1.0, 2.0), (None, 1.0, 2.0)], "p long, lat double, lon double")
+    assert graph.nearest_node(twice, known, ["p"]).count() == 2 and graph.nearest_node(twice, known.filter("false"), ["p"]).count() == 0
 
 
 def test_candidates_are_loops_within_bounds(spark, sf):
@@ -75,6 +85,49 @@ def test_candidates_are_loops_within_bounds(spark, sf):
     assert {r.request_id for r in rejects.collect()} | {k[0] for k in ways} == set(target)
 
 
+def test_start_lies_in_the_requests_own_network(spark):
+    """A lone node just outside the box is nearer, but is no start."""
+    lattice = [(10 * i + j + 1, 42.0 + 0.001 * i, -71.0 + 0.00125 * j) for i in range(5) for j in range(5)]
+    nodes = spark.createDataFrame([*lattice, (999, 42.0 - 0.0134 - 0.0181, -71.018)], "node_id long, lat double, lon double")
+    ids = {n for n, _, _ in lattice}
+    steps = [(n, n + d, 0, 100.0) for n in ids for d in (1, 10, -1, -10) if n + d in ids]
+    edges = spark.createDataFrame(steps, "u long, v long, key long, length double")
+    request = spark.createDataFrame([(1, 42.0 - 0.0134, -71.018, 1.0)], "request_id long, lat double, lon double, target_distance_km double")
+    assert graph.nearest_node(request, nodes, ["request_id"]).first().node_id == 999
+    own, _, _ = graph.subgraph(request.withColumn("radius_m", F.lit(2000.0)), nodes, edges)
+    assert candidates.with_starts(request, own).first().start == 1
+
+
+def test_figure_eight_passes_the_start_three_times(spark, sf):
+    from loopmill.jobs import registry
+
+    ways = {}
+    for r in registry.g5_figure_eight(spark, sf).orderBy("request_id", "seq").collect():
+        ways.setdefault(r.request_id, []).append(r.node_id)
+    assert ways and all(w[0] == w[-1] and w.count(w[0]) >= 3 for w in ways.values())
+    edges = {(r.u, r.v) for r in fixture(spark, sf, "street_edges").collect()}
+    assert all(a == b or (a, b) in edges for w in ways.values() for a, b in zip(w, w[1:]))
+
+
+def test_grades_count_by_their_number(spark):
+    rows = [(i, "manual", None, 2.0, g, 7.0) for i, g in enumerate(["2.5%", " 3 pct", "-1", ".5e1x", "", "up 3", None, "1e", "0"])]
+    asked = spark.createDataFrame(rows, "request_id long, mode string, track_id long, distance_km double, grade string, gain_m double")
+    none = spark.createDataFrame([], "track_id long, distance_km double, elevation_gain_m double")
+    got = [r.gain_m for r in ranking.resolve_targets(asked, none).orderBy("request_id").collect()]
+    assert got == pytest.approx([50.0, 60.0, -20.0, 100.0, 7.0, 7.0, 7.0, 20.0, 0.0])
+
+
+def test_suggestions_of_long_and_short_queries(spark):
+    rows = [(i, f"Long Name Street {i % 20}", "", None, "X", None, None, None, 1.0, 2.0, float(i % 9), None, "t") for i in range(200)]
+    kind = "place_id long, name string, city string, state string, country string, countrycode string, housenumber string, street string, lat double, lon double, importance double, osm_value string, type string"
+    asked = spark.createDataFrame([(1, "long name street 1"), (2, "LO"), (3, "l"), (4, None), (5, "long name street 19 "), (6, "zz")], "query_id long, query string")
+    got = {}
+    for r in places.place_suggest(asked, spark.createDataFrame(rows, kind)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.place_id)
+    best = lambda start: [i for i, *_ in sorted((r for r in rows if r[1].lower().startswith(start)), key=lambda r: (-r[10], r[0]))][:5]
+    assert got == {1: best("long name street 1"), 2: best("lo"), 5: best("long name street 19")}
+
+
 def test_ranking_keeps_order_of_equal_scores(spark):
     rows = [(1, 0, 5.0, 0.0), (1, 1, 10.0, 0.0), (1, 2, 10.0, 0.0), (1, 3, 10.0, 500.0)]
     candidates_ = spark.createDataFrame(rows, "request_id long, candidate_no long, distance_km double, elevation_gain_m double")
@@ -109,12 +162,14 @@ def test_stream_equals_batch(spark, tmp_path):
     inbox.mkdir()
     for name, content in FILES:
         (inbox / name).write_text(content)
-    started = gpx_stream.start(spark, str(inbox), str(tmp_path / "p"), str(tmp_path / "r"), str(tmp_path / "c"))
+    (inbox / "f.gpx").write_bytes(GOOD.encode() + b"\xff")
+    started = gpx_stream.start(gpx_stream.file_stream(spark, str(inbox)), str(tmp_path / "p"), str(tmp_path / "r"), str(tmp_path / "c"))
     started.awaitTermination()
     points, bad = gpx.read_gpx(gpx.read_files(spark, str(inbox)))
     batch = profile_summary(points, ["track_id"])
     assert sorted(spark.read.parquet(str(tmp_path / "p")).drop("batch").collect()) == sorted(batch.collect())
-    assert spark.read.parquet(str(tmp_path / "r")).count() == bad.count() == 4
+    assert spark.read.parquet(str(tmp_path / "r")).count() == bad.count() == 5
+    assert {r.track_id.rpartition("/")[2] for r in bad.filter(F.col("reason") == gpx.BROKEN).collect()} == {"b.gpx", "e.gpx", "f.gpx"}
 
 
 def test_write_results(spark, tmp_path):
