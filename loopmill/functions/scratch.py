@@ -4,23 +4,57 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written inside each open ``scope``.
+_SCOPES: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (local tests) a temporary folder."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder in local mode, and an error on a cluster,
+    whose executors would each write to a disk of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir().get()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` and read it back."""
-    path = f"{shared_folder(df.sparkSession)}/loopmill-jobs/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder name in the shared folder."""
+    path = f"{shared_folder(spark)}/loopmill/{uuid.uuid4().hex}"
+    for scope_ in _SCOPES:
+        scope_.append(path)
+    return path
+
+
+def settle(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` once and read it back: lineage ends, so that a lost executor costs its own tasks."""
+    path = scratch_dir(df.sparkSession)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end all scratch tables written inside it, so results must be written or collected before.
+
+    Tables written outside a scope stay until the shared folder is cleared.
+    """
+    written: list[str] = []
+    _SCOPES.append(written)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(written)
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in written:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)

@@ -5,14 +5,13 @@ Each query is thin: it reads derived tables, calls operators, and rounds what tr
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopmill.functions import geo
-from loopmill.functions.scratch import settle, shared_folder
+from loopmill.functions.scratch import scratch_dir, settle
 from loopmill.jobs import oracles
 from loopmill.operators import candidates, elevation, graph, places, profiles, ranking, tracks
 from loopmill.sources import gpx
@@ -388,7 +387,7 @@ def s5_result_rows(spark, sf_dir):
 @query
 def s6_stream_gpx(spark, sf_dir):
     """Rendered files come as a stream in several batches; summaries of all of them."""
-    folder = f"{shared_folder(spark)}/loopmill-streams/{uuid.uuid4().hex}"
+    folder = scratch_dir(spark)
     files = gpx.render(_points(spark, sf_dir).withColumn("track_id", F.concat("track_id", F.lit(".gpx"))))
     files.repartition(6, "track_id").write.parquet(f"{folder}/in")
     arrivals = gpx_stream.table_stream(spark, f"{folder}/in", 4)
