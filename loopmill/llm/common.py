@@ -1,41 +1,20 @@
-"""Scratch tables, shared-folder files and batch helpers used by the operators of this subpackage."""
+"""Shared-folder files and batch helpers used by the operators of this subpackage; scratch tables are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loopmill.functions.scratch import scratch_dir as scratch_dir
+from loopmill.functions.scratch import settle as materialize  # noqa: F401
+
 #: A side is broadcast only when it was counted and has at most this many narrow rows.
 BROADCAST_ROWS = 200_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which all executors share.
-
-    Only where that setting is absent (tests in local mode) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isEmpty():
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-            current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get()
-    return f"{base.rstrip('/')}/loopmill/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends, lost executors cost nothing."""
-    path = scratch_dir(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a narrow table for broadcast if its counted rows are within ``limit``; else leave the join to Spark."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -88,6 +67,11 @@ def grouped_slices(batches: Iterator[pa.RecordBatch], column: str, most: int) ->
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def task_count(df: DataFrame, payload_bytes: int | None, task_bytes: int) -> int:
+    """Partitions for rows that are small themselves but stand for ``payload_bytes`` to read or write."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-(payload_bytes or 0) // task_bytes))
+
+
 def crc_bucket(doc_id: str, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n

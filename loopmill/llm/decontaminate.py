@@ -9,8 +9,11 @@ are searched backwards by its ranks, and occurrences are located by walking to s
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loopmill.llm.common import grouped_slices, text_or_empty, utf8
+from loopmill.llm.common import grouped_slices, materialize, open_shared, scratch_dir, text_or_empty, utf8
 from loopmill.llm.wordscan import ALNUM, Words, scan
 
 WINDOW_WORDS = 10
 SHARD_BYTES = 8 << 20
 SAMPLE_EVERY = 16
-#: Benchmark text that is sent to all tasks at once; a larger benchmark goes in several blocks, all searched.
-BLOCK_BYTES = 4 << 20
+#: Benchmark text of one block of windows. All blocks are searched; a task reads them from the shared folder and
+#: keeps the last BLOCKS_HELD.
+BLOCK_BYTES, BLOCKS_HELD = 4 << 20, 4
 
 
 class FMIndex:
@@ -180,34 +184,74 @@ def merged_spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.nd
     return start[new], stop[last]
 
 
-def _search(windows, names, text: str) -> Callable:
-    """A pass over documents with spans and items that adds what this block finds."""
+def _search(folder: str, blocks: list[str], text: str) -> Callable:
+    """A pass over documents that fills n_words, spans and items from the blocks of windows in ``folder``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids = windows.value, names.value
+        fs, base = open_shared(folder)
+
+        @lru_cache(maxsize=BLOCKS_HELD)
+        def block(name: str) -> tuple[Windows, list[str | None]]:
+            with fs.open_input_file(f"{base}/{name}") as file:
+                return pickle.loads(file.read())
+
         for batch in grouped_slices(batches, text, SHARD_BYTES):
             w = scan(utf8(batch.column(text)), ALNUM)
-            start, which = block.occurrences(w)
-            doc = np.searchsorted(w.first, start, "right") - 1
-            spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-            order = np.argsort(doc, kind="stable")
-            bounds = np.searchsorted(doc[order], np.arange(batch.num_rows + 1))
-            for d in np.unique(doc).tolist():
-                mine = order[bounds[d] : bounds[d + 1]]
-                a, b = start[mine] - w.first[d], start[mine] - w.first[d] + block.lengths[which[mine]]
-                if old := spans[d]:
-                    a, b = np.concatenate([a, old[0::2]]), np.concatenate([b, old[1::2]])
-                a, b = merged_spans(a, b)
-                spans[d] = np.stack([a, b], axis=1).ravel().tolist()
-                found = np.concatenate([block.item_of[block.item_from[p] : block.item_from[p + 1]] for p in np.unique(which[mine]).tolist()])
-                items[d] = sorted({*items[d], *(ids[i] for i in np.unique(found).tolist() if ids[i] is not None)})
-            n = pa.array(np.diff(w.first))
-            new = {"n_words": n, "spans": pa.array(spans, type=pa.list_(pa.int64())), "items": pa.array(items, type=pa.list_(pa.string()))}
+            spans: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            items: list[list[str]] = [[] for _ in range(batch.num_rows)]
+            for windows, ids in map(block, blocks):
+                start, which = windows.occurrences(w)
+                doc = np.searchsorted(w.first, start, "right") - 1
+                order = np.argsort(doc, kind="stable")
+                bounds = np.searchsorted(doc[order], np.arange(batch.num_rows + 1))
+                for d in np.unique(doc).tolist():
+                    mine = order[bounds[d] : bounds[d + 1]]
+                    a = start[mine] - w.first[d]
+                    b = a + windows.lengths[which[mine]]
+                    if old := spans[d]:
+                        a, b = np.concatenate([a, old[0::2]]), np.concatenate([b, old[1::2]])
+                    a, b = merged_spans(a, b)
+                    spans[d] = np.stack([a, b], axis=1).ravel().tolist()
+                    found = np.concatenate([windows.item_of[windows.item_from[p] : windows.item_from[p + 1]] for p in np.unique(which[mine]).tolist()])
+                    items[d] = sorted({*items[d], *(ids[i] for i in np.unique(found).tolist() if ids[i] is not None)})
+            new = {"n_words": pa.array(np.diff(w.first)), "spans": pa.array(spans, type=pa.list_(pa.int64())), "items": pa.array(items, type=pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
 
     return run
 
 
+def write_blocks(blocks: DataFrame, folder: str, window: int) -> list[str]:
+    """Windows of each block, built by a task and written to the shared folder; returns the files' names.
+
+    A task that runs again writes files of its own, and only those of tasks that succeeded are named.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = open_shared(folder)
+
+        def build(rows: list[tuple[str | None, str]]) -> str:
+            fs.create_dir(base, recursive=True)
+            name = f"{uuid.uuid4().hex}.windows"
+            with fs.open_output_stream(f"{base}/{name}", compression=None) as file:
+                file.write(pickle.dumps((Windows.build([t.encode() for _, t in rows], window), [i for i, _ in rows])))
+            return name
+
+        number, rows = None, []
+        for batch in batches:
+            for at, item, text in zip(*(batch.column(c).to_pylist() for c in ("block", "item", "text"))):
+                if at != number and rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([number], type=pa.int64()), pa.array([build(rows)])], names=["block", "name"])
+                    rows = []
+                number = at
+                rows.append((item, text))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([number], type=pa.int64()), pa.array([build(rows)])], names=["block", "name"])
+
+    # a block is of block_bytes, so a task holds one at a time
+    dealt = blocks.repartition("block").sortWithinPartitions("block", "item", "text")
+    return [r.name for r in materialize(dealt.mapInArrow(run, "block long, name string")).orderBy("block").collect()]
+
+
 def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> DataFrame:
     """Items dealt into blocks of about ``block_bytes``, by one running sum over item sizes in two levels."""
     rows = benchmark.select(F.col(item_id).cast("string").alias("item"), text_or_empty(text).alias("text")).distinct()
@@ -228,18 +272,11 @@ def find_spans(
     have no words; an item with a null id marks spans without being listed; repeated rows and items change
     nothing else. An empty benchmark finds nothing. Columns of ``docs`` named like these three are replaced.
     """
-    spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
     blocks = benchmark_blocks(benchmark, item_id, item_text, block_bytes)
     out = docs.select(*kept).withColumns({text: F.col(text).cast("string"), "n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")})
-    schema = out.schema
-    numbers = [r.block for r in blocks.select("block").distinct().orderBy("block").collect()] or [0]
-    for number in numbers:  # one for benchmarks of up to block_bytes
-        rows = blocks.filter(F.col("block") == number).select("item", "text").collect()
-        built = Windows.build([r.text.encode() for r in rows], window)
-        sc = spark.sparkContext
-        out = out.mapInArrow(_search(sc.broadcast(built), sc.broadcast([r.item for r in rows]), text), schema)
-    return out
+    folder = scratch_dir(docs.sparkSession) + "/benchmark"
+    return out.mapInArrow(_search(folder, write_blocks(blocks, folder, window), text), out.schema)
 
 
 def span_words(spans: str = "spans"):

@@ -251,7 +251,8 @@ def score(docs: DataFrame, train: Column, held_out: Column, doc_id: str = "doc_i
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     shards = max(8, math.ceil(size / SHARD_BYTES))
     sent = source.mapInArrow(_blocks(order, shards), _EXCHANGE)
-    counted = materialize(sent.repartition(shards, "shard").sortWithinPartitions("shard", "level").mapInArrow(_answer, _EXCHANGE), "none")
+    # one shard a partition: hashed numbers would leave some partitions with several and some with none
+    counted = materialize(sent.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "level").mapInArrow(_answer, _EXCHANGE), "none")
     numbers = counted.groupBy().agg(
         *(F.coalesce(F.sum(F.when(F.col("kind") == LAYOUT, F.col(c))), F.lit(0)).alias(c) for c in ("train_tokens", "train_docs", "deleted_tokens", "deleted_docs")),
         *(F.coalesce(F.sum(F.when(F.col("kind") == SIZES, F.col(c))), F.lit(0)).alias(a) for c, a in (("n", "words"), ("train_docs", "words_left"))),

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopmill.llm.common import materialize, open_shared, scratch_dir, slices, text_or_empty
+from loopmill.llm.common import materialize, open_shared, scratch_dir, slices, task_count, text_or_empty
 
 #: Payload lengths are multiples of this many bytes, padded with spaces: one image row.
 ROW_BYTES = 192
@@ -28,6 +28,8 @@ TAIL = 16
 BATCH_BYTES = 8 << 20
 #: Size beyond which a task begins another tar shard.
 SHARD_BYTES = 256 << 20
+#: Stored bytes that one task reads back.
+READ_BYTES = 16 << 20
 _INDEX = "digest binary, shard string, media_offset long, media_length long"
 
 
@@ -117,8 +119,14 @@ def write_shards(found: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES)
 
     stored = materialize(found.select("digest", "payload").mapInArrow(store, _INDEX))
     first = stored.groupBy("digest").agg(F.min(F.struct("shard", "media_offset", "media_length")).alias("at"))
-    # entries of a shard side by side, in the order in which they stand there
-    return materialize(first.select("digest", "at.*").repartitionByRange("shard", "media_offset").sortWithinPartitions("shard", "media_offset"))
+    return materialize(first.select("digest", "at.*"))
+
+
+def in_order(index: DataFrame) -> DataFrame:
+    """Entries of a shard side by side, as they stand there. An index row is small, what it stands for is not: there
+    are as many tasks as the stored bytes ask for."""
+    size = index.agg(F.sum("media_length").alias("n")).first().n
+    return index.repartitionByRange(task_count(index, size, READ_BYTES), "shard", "media_offset").sortWithinPartitions("shard", "media_offset")
 
 
 def read_headers(index: DataFrame, folder: str) -> DataFrame:
@@ -177,5 +185,5 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", f
     folder = folder or scratch_dir(docs.sparkSession) + "/media"
     found = payloads(docs, doc_id, text)
     index = write_shards(found, folder)
-    read = materialize(read_features(read_headers(index, folder), folder))
+    read = materialize(read_features(read_headers(in_order(index), folder), folder))
     return found.select("doc_id", "n_bytes", "digest").join(read, "digest")

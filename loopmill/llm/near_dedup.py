@@ -175,12 +175,18 @@ def across_components(members: DataFrame, texts: DataFrame, size: int, percent:
     kind = members.schema["node"].dataType.simpleString()
     named = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "component").distinct()
     rows = materialize(with_texts(materialize(named), texts).select("a", "b", "component", "text_a", "text_b").mapInArrow(run, f"node {kind}, hub {kind}, component {kind}, token long, place long, e long, n long"))
-    side = lambda x: rows.select("hub", "token", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "place", "e", "n")))
+    # what a hub has by itself all others lack alike: its largest component is therefore met by the others alone
+    kinds = rows.filter("place = 0").groupBy("hub", "component").agg(F.count("*").alias("many"))
+    largest = kinds.groupBy("hub").agg(F.max_by("component", F.struct("many", "component")).alias("main"))
+    rows = rows.join(small_side(materialize(largest)), "hub")
+    side = lambda x: rows.select("hub", "token", "main", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "place", "e", "n")))
     follow = 1 + F.least(F.col("a_e") - F.col("a_place"), F.col("b_e") - F.col("b_place")) - 1
     enough = 2 * follow * (100 + percent) >= (F.col("a_e") + F.col("b_e")) * (100 + percent) - (100 - percent) * (F.col("a_n") + F.col("b_n"))
     close = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
-    pairs = side("a").join(side("b"), ["hub", "token"]).filter((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & close & enough)
-    return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    others = side("a").filter("a_component <> main").drop("main")
+    once = (F.col("b_component") == F.col("main")) | (F.col("a_node") < F.col("b_node"))
+    pairs = others.join(side("b"), ["hub", "token"]).filter((F.col("a_component") != F.col("b_component")) & once & close & enough)
+    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loopmill.llm.common import grouped_slices, materialize, open_shared, scratch_dir, small_side, text_or_empty
+from loopmill.llm.common import grouped_slices, materialize, open_shared, scratch_dir, small_side, task_count, text_or_empty
 
 BATCH_BYTES = 8 << 20
 BLOCK_LINES = 300
 #: Page bytes meant for one archive.
 ARCHIVE_BYTES = 128 << 20
+#: Stored bytes that one task reads back by ranges.
+READ_BYTES = 8 << 20
 #: The alphabet of base 32 (RFC 4648) against that of Spark's conv().
 _CONV, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _CONTROL = {c: " " for c in range(32)}
@@ -132,7 +134,8 @@ def sort_id(page_id: int | None) -> str:
 
 
 def write_archives(decided: DataFrame, folder: str, archives: int | None = None, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Write archives and their indexes below ``folder``; one row for each: first_key, last_key, name, captures.
+    """Write archives and their indexes below ``folder``; one row for each: first_key, last_key, name,
+    captures, stored_bytes.
 
     A task that runs again writes files of its own; only rows of tasks that succeeded name files.
     """
@@ -176,7 +179,7 @@ def write_archives(decided: DataFrame, folder: str, archives: int | None = None,
                 if f is not None:
                     f.close()
         if captures:
-            yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([last]), pa.array([name]), pa.array([captures], type=pa.int64())], names=["first_key", "last_key", "name", "captures"])
+            yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([last]), pa.array([name]), pa.array([captures], type=pa.int64()), pa.array([at], type=pa.int64())], names=["first_key", "last_key", "name", "captures", "stored_bytes"])
 
     if archives is None:
         size = decided.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("n")).first().n
@@ -184,7 +187,7 @@ def write_archives(decided: DataFrame, folder: str, archives: int | None = None,
     keyed = add_key(decided)
     # as in the index: control characters never stand in a key, and ids sort as numbers
     ordered = keyed.repartitionByRange(int(archives), "surt", "page_id").sortWithinPartitions("surt", "page_id")
-    return materialize(ordered.mapInArrow(run, "first_key string, last_key string, name string, captures long"))
+    return materialize(ordered.mapInArrow(run, "first_key string, last_key string, name string, captures long, stored_bytes long"))
 
 
 class _IndexFile:
@@ -220,7 +223,9 @@ def read_captures(wanted: DataFrame, archives: DataFrame, folder: str) -> DataFr
     """
     spark = wanted.sparkSession
     # a row for each archive: their number is set by ARCHIVE_BYTES, a few hundred bytes each
-    files = sorted((r.first_key, r.last_key, r.name) for r in archives.collect())
+    rows = archives.select("first_key", "last_key", "name", "stored_bytes").collect()
+    files = sorted((r.first_key, r.last_key, r.name) for r in rows)
+    tasks = task_count(wanted, sum(r.stored_bytes for r in rows), READ_BYTES)
     shared = spark.sparkContext.broadcast(files)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +256,9 @@ def read_captures(wanted: DataFrame, archives: DataFrame, folder: str) -> DataFr
 
     keyed = add_key(wanted.select(F.col("url").cast("string").alias("url"), F.col("page_id").cast("long").alias("page_id")))
     placed = keyed.mapInArrow(place, "name string, key string").distinct()
-    # neighbours in key order are read by one task, block by block; a range holds part of a file if that is large
-    ordered = placed.repartitionByRange("name", "key").sortWithinPartitions("name", "key")
+    # neighbours in key order are read by one task, block by block; a range holds part of a file if that is large.
+    # Keys are short, records are not: there are as many ranges as the stored bytes ask for
+    ordered = placed.repartitionByRange(tasks, "name", "key").sortWithinPartitions("name", "key")
     return ordered.mapInArrow(read, "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long")
 
 

@@ -98,6 +98,9 @@ def test_long_dialogues_come_in_chunks(spark):
 def test_stages_take_effect(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     junk = spark.createDataFrame([(10**6, "123 ...", "en", "s", 7), (10**6 + 1, None, None, None, None), (None, "the and of the in that is it was", "en", "s", 1)], docs.schema)
+    # the same words in one line and in several: the line stage keeps both, the near-duplicate stage one
+    words = [f"wort{i * 7919 % 1009}" for i in range(90)]
+    junk = junk.unionByName(spark.createDataFrame([(10**6 + 5, " ".join(words), "en", "s", 1), (10**6 + 6, "\n".join(" ".join(words[k : k + 9]) for k in range(0, 90, 9)), "en", "s", 1)], docs.schema))
     at, columns = docs.unionByName(junk), docs.columns
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
@@ -117,6 +120,28 @@ def test_stages_take_effect(spark, sf):
     assert seen["packed"].select("doc_id").distinct().count() == seen["benchmark"].select("doc_id").distinct().count()
 
 
+CLASHES = "lang_pred string, score double, spans string, in_runs double, n_words long, items string, n_lines long, n_removed long, held string, kept boolean, gone int, text_hash long, component_id long"
+
+
+def test_stages_leave_other_columns_alone(spark, sf):
+    """Clashing names, nulls, repeated rows, ids with two texts, ties and a very long text go through all stages."""
+    vocabulary = [f"w{i * 7919 % 1009}" for i in range(700)]
+    base = " ".join(vocabulary[:120])
+    other = (None, 0.5, "s", 0.25, -1, None, -2, -3, "h", True, 9, 8, 7)
+    rows = [(1, base), (2, "\n".join(" ".join(vocabulary[k : k + 10]) for k in range(0, 120, 10))), (3, None), (4, ""), (5, " ".join(vocabulary * 40)), (6, " ".join(vocabulary[200:280])), (6, " ".join(vocabulary[200:280])), (6, " ".join(vocabulary[300:380])), (None, " ".join(vocabulary[400:480]))]
+    docs = spark.createDataFrame([(i, t, "en", None if t is None else len(t), *other) for i, t in rows], f"doc_id long, text string, lang string, n_chars long, {CLASHES}")
+    extra = [c.split()[0] for c in CLASHES.split(", ")]
+    at = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, sf).persist()
+        assert at.columns == docs.columns
+        assert {tuple(r) for r in at.select(*extra).collect()} == {other}
+        assert at.filter("n_chars <> length(text)").count() == 0
+    left = sorted((r.doc_id or 0, r.text) for r in at.collect())
+    assert [(i, t) for i, t in left] == sorted([(0, rows[8][1]), (1, base), (5, rows[4][1]), (6, rows[5][1]), (6, rows[7][1])])
+    assert corpus_pipeline.packed(spark, at, sf).select("doc_id").distinct().count() == 4
+
+
 def test_mixed_languages_and_unknown_ones_stay(spark):
     words = {"en": "the house and garden with children", "de": "straße und häuser über schöne gärten", "fr": "où été déjà français élève forêt", "es": "niño mañana señor corazón también según"}
     rows = [(i, " ".join(words[x].split()[k % 5 :] + words[x].split()) + f" {i}", x) for k, x in enumerate(words) for i in range(40 * k, 40 * k + 40)]
