@@ -346,6 +346,21 @@ def test_lines_with_one_other_word_go(spark, tmp_path):
     assert got == {i: int(i >= 1000) for i, _ in rows}
 
 
+def test_lines_with_a_word_more_or_an_edit_go(spark, tmp_path):
+    """Dropped words and single letters, from three words on; all pairs here have an edit similarity of 80 %."""
+    draw = random.Random(18)
+    rows, at = [], 0
+    for n in [3, 4, 5, 6, 7, 8, 9, 12, 20, 40, 80] * 2:
+        line = [f"wort{draw.randint(10**5, 10**6)}" for _ in range(n)]
+        k = draw.randrange(n)
+        edits = [[*line[:k], line[k][:4] + "x" + line[k][4:], *line[k + 1 :]]] + ([[*line[:k], *line[k + 1 :]]] if n > 5 else [])
+        for other in edits:
+            # every pair has words of its own, so that no line is linked through another pair's
+            rows += [(at, " ".join(f"{w}{at}" for w in line)), (1000 + at, " ".join(f"{w}{at}" for w in other))]
+            at += 1
+    assert lines_left(spark, tmp_path, rows) == {i: int(i >= 1000) for i, _ in rows}
+
+
 def test_short_lines_and_lines_without_spaces_go(spark, tmp_path):
     """Equal lines of any length; near copies of few words or in scripts without spaces. Blank lines stay."""
     draw = random.Random(16)
