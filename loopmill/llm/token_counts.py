@@ -81,11 +81,17 @@ def answer_limits(sums: DataFrame, limits: DataFrame, limit: str = "context_limi
     points = sums.select(F.col("n_tokens").alias("x"), "n_docs", "docs_ge", "tokens_ge", "tokens_lt").unionByName(
         asked.filter("limit IS NOT NULL").select(F.col("limit").alias("x")), allowMissingColumns=True
     )
-    # lengths and limits in one order; the sums of the next length hold for a limit between two lengths
+    points = points.withColumn("block", F.floor(F.col("x") / BLOCK_LENGTHS))
     total = sums.agg(F.coalesce(F.max(F.col("tokens_lt") + F.col("tokens_ge")), F.lit(0)).alias("all_tokens"))
-    following = Window.orderBy(F.desc("x"), F.col("n_docs").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = F.last(F.when(F.col("n_docs").isNotNull(), F.struct("x", "n_docs", "docs_ge", "tokens_lt")), ignorenulls=True).over(following)
-    found = points.withColumn("s", kept).filter("n_docs IS NULL").crossJoin(F.broadcast(total))
+    known = F.when(F.col("n_docs").isNotNull(), F.struct("x", "n_docs", "docs_ge", "tokens_lt"))
+    # lengths and limits of a block in one order; the sums of the next length hold for a limit between two lengths,
+    # and where a block has none they are those of the next block's first: one row for each block
+    following = Window.partitionBy("block").orderBy(F.desc("x"), F.col("n_docs").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    firsts = points.groupBy("block").agg(F.min(known).alias("first"))
+    later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.select("block", F.last("first", ignorenulls=True).over(later).alias("next"))
+    found = points.withColumn("here", F.last(known, ignorenulls=True).over(following)).filter("n_docs IS NULL").join(firsts, "block")
+    found = found.withColumn("s", F.coalesce("here", "next")).crossJoin(F.broadcast(total))
     over = F.coalesce(F.when(F.col("s.x") == F.col("x"), F.col("s.docs_ge") - F.col("s.n_docs")).otherwise(F.col("s.docs_ge")), F.lit(0))
     answers = found.select(
         F.col("x").alias("limit"),
