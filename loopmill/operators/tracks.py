@@ -1,10 +1,15 @@
-"""Distances, climbs and profiles of tracks and routes in long form: one row per point, ordered by ``seq``."""
+"""Distances, climbs and profiles of tracks and routes in long form: one row per point, ordered by ``seq``.
+
+Points of equal ``seq`` stand in order of place and elevation, so that reruns agree; repeated points have a distance
+of 0 to each other. A null or NaN coordinate gives null steps, which count as 0. Null keys are one group. An empty
+table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from loopmill.functions.geo import haversine_km
 
@@ -12,12 +17,17 @@ from loopmill.functions.geo import haversine_km
 CHUNK_POINTS = 100_000
 
 
+def _along(points: DataFrame, keys: list[str]) -> WindowSpec:
+    """The order of a track's points."""
+    return Window.partitionBy(*keys).orderBy("seq", *(c for c in ("lat", "lon", "ele") if c in points.columns))
+
+
 def cumulative_distance(points: DataFrame, keys: list[str]) -> DataFrame:
     """Points with an elevation, and ``cum_km`` along them.
 
     Points without elevation go first, so a step leads from the last kept point, across segments too.
     """
-    along = Window.partitionBy(*keys).orderBy("seq")
+    along = _along(points, keys)
     kept = points.filter("ele IS NOT NULL")
     step = haversine_km(F.lag("lat").over(along), F.lag("lon").over(along), F.col("lat"), F.col("lon"))
     so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -30,8 +40,8 @@ def cumulative_distance_chunked(points: DataFrame, keys: list[str], chunk_points
     Equal to it up to the last digits, as sums are grouped otherwise.
     """
     kept = points.filter("ele IS NOT NULL").withColumn("chunk", F.floor(F.col("seq") / chunk_points))
-    inside = Window.partitionBy(*keys, "chunk").orderBy("seq")
-    ends = kept.groupBy(*keys, "chunk").agg(F.max_by(F.struct("lat", "lon"), "seq").alias("end"))
+    inside = _along(kept, [*keys, "chunk"])
+    ends = kept.groupBy(*keys, "chunk").agg(F.max_by(F.struct("lat", "lon"), F.struct("seq", "lat", "lon", "ele")).alias("end"))
     ends = ends.withColumn("before", F.lag("end").over(Window.partitionBy(*keys).orderBy("chunk"))).drop("end")
     linked = kept.join(ends, [*keys, "chunk"])
     lat, lon = (F.coalesce(F.lag(c).over(inside), F.col(f"before.{c}")) for c in ("lat", "lon"))
@@ -40,12 +50,13 @@ def cumulative_distance_chunked(points: DataFrame, keys: list[str], chunk_points
     earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("start_km", F.coalesce(F.sum("total").over(earlier), F.lit(0.0))).drop("total")
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return steps.withColumn("in_chunk", F.sum("step_km").over(so_far)).join(totals, [*keys, "chunk"]).withColumn("cum_km", F.col("start_km") + F.col("in_chunk")).drop("step_km", "in_chunk", "start_km", "chunk")
+    summed = steps.withColumn("in_chunk", F.sum("step_km").over(so_far)).join(totals, [*keys, "chunk"])
+    return summed.withColumn("cum_km", F.col("start_km") + F.col("in_chunk")).drop("step_km", "in_chunk", "start_km", "chunk")
 
 
 def route_distance(points: DataFrame, keys: list[str]) -> DataFrame:
     """keys, distance_km: the sum of consecutive distances; 0 for one point."""
-    along = Window.partitionBy(*keys).orderBy("seq")
+    along = _along(points, keys)
     step = haversine_km(F.lag("lat").over(along), F.lag("lon").over(along), F.col("lat"), F.col("lon"))
     return points.select(*keys, F.coalesce(step, F.lit(0.0)).alias("step_km")).groupBy(*keys).agg(F.sum("step_km").alias("distance_km"))
 
@@ -61,7 +72,7 @@ def _climb(step) -> dict:
 
 def elevation_metrics(points: DataFrame, keys: list[str], routes: DataFrame | None = None) -> DataFrame:
     """keys and gain, loss, least and largest elevation, each to 0.1. ``routes`` keeps those without points, as 0."""
-    along = Window.partitionBy(*keys).orderBy("seq")
+    along = _along(points, keys)
     steps = points.filter("ele IS NOT NULL").withColumn("climb", F.col("ele") - F.lag("ele").over(along))
     found = steps.groupBy(*keys).agg(*(c.alias(n) for n, c in _climb(F.col("climb")).items()))
     if routes is None:
@@ -72,14 +83,14 @@ def elevation_metrics(points: DataFrame, keys: list[str], routes: DataFrame | No
 
 def profile_summary(points: DataFrame, keys: list[str]) -> DataFrame:
     """keys, distance_km and the four metrics, in one shuffle by the keys."""
-    along = Window.partitionBy(*keys).orderBy("seq")
+    along = _along(points, keys)
     walked = cumulative_distance(points, keys).withColumn("climb", F.col("ele") - F.lag("ele").over(along))
     return walked.groupBy(*keys).agg(F.round(F.max("cum_km"), 3).alias("distance_km"), *(c.alias(n) for n, c in _climb(F.col("climb")).items()))
 
 
 def profile_points(points: DataFrame, keys: list[str]) -> DataFrame:
     """keys, seq (renumbered from 0), km to 0.001 and ele to 0.1: the elevation profile in long form."""
-    along = Window.partitionBy(*keys).orderBy("seq")
+    along = _along(points, keys)
     return cumulative_distance(points, keys).select(*keys, (F.row_number().over(along) - 1).cast("long").alias("seq"), F.round("cum_km", 3).alias("km"), F.round("ele", 1).alias("ele"))
 
 
@@ -89,7 +100,7 @@ def interpolate(points: DataFrame, keys: list[str], interval_m: float = 50.0, mo
     A segment of no length adds nothing, so a repeated point goes. ``most_per_segment`` bounds what one broken
     coordinate can add; None adds all.
     """
-    along = Window.partitionBy(*keys).orderBy("seq")
+    along = _along(points, keys)
     lag = {c: F.lag(c).over(along) for c in ("lat", "lon")}
     segments = points.select(*keys, "seq", "lat", "lon", lag["lat"].alias("from_lat"), lag["lon"].alias("from_lon"), F.row_number().over(along).alias("nth"))
     segments = segments.withColumn("segment_km", haversine_km(F.col("from_lat"), F.col("from_lon"), F.col("lat"), F.col("lon")))
@@ -109,13 +120,14 @@ def interpolate(points: DataFrame, keys: list[str], interval_m: float = 50.0, mo
 def build_profile(coordinates: DataFrame, elevations: DataFrame, keys: list[str]) -> DataFrame:
     """keys, seq, km, ele from coordinates and elevations of equal ``seq``; the shorter list ends it."""
     both = coordinates.select(*keys, "seq", "lat", "lon").join(elevations.select(*keys, "seq", "ele"), [*keys, "seq"])
-    along = Window.partitionBy(*keys).orderBy("seq")
+    along = _along(both, keys)
     step = F.coalesce(haversine_km(F.lag("lat").over(along), F.lag("lon").over(along), F.col("lat"), F.col("lon")), F.lit(0.0))
     so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("step_km", step).select(*keys, "seq", F.round(F.sum("step_km").over(so_far), 3).alias("km"), F.round("ele", 1).alias("ele"))
 
 
 def route_bounds(points: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the least and largest latitude and longitude; nulls do not count."""
     return points.groupBy(*keys).agg(*(f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("min", F.min), ("max", F.max))))
 
 

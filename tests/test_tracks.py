@@ -113,3 +113,12 @@ def test_correlation(spark):
     pairs = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 4), (4, 1)], "id_a long, id_b long")
     got = {(r.id_a, r.id_b): r.correlation for r in profiles.correlate(pairs, vectors, "track_id").collect()}
     assert got == pytest.approx({(1, 1): 1.0, (1, 2): 0.0, (1, 3): 0.0, (1, 4): -1.0, (4, 1): -1.0})
+
+
+def test_equal_places_in_order_do_not_depend_on_the_input(spark):
+    """Points of one seq, repeated points, and nulls: any order of the rows gives the same result."""
+    rows = [(1, 0, 1.0, 1.0, 5.0), (1, 1, 1.0, 1.2, 7.0), (1, 1, 1.0, 1.1, 9.0), (1, 1, 1.0, 1.1, 9.0), (1, 2, None, 1.3, 4.0), (None, 0, 2.0, 2.0, 1.0)]
+    kind = "track_id long, seq long, lat double, lon double, ele double"
+    found = {str(sorted(tracks.profile_summary(spark.createDataFrame(r, kind), ["track_id"]).collect(), key=str)) for r in (rows, rows[::-1], rows[3:] + rows[:3])}
+    assert len(found) == 1
+    assert tracks.profile_summary(spark.createDataFrame([], kind), ["track_id"]).count() == 0
