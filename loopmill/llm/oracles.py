@@ -39,4 +39,35 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM b
 """
 
-ORACLES = {"op3_warc": _WARC, "op4_chat": _CHAT}
+_PHRASES = """
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
+         regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS pieces
+  FROM documents),
+p AS (SELECT lang, unnest(pieces) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS words FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase
+  FROM w CROSS JOIN (SELECT unnest([1, 2, 3]) AS k)),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL),
+totals AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND n >= 10),
+cuts AS (
+  SELECT c.*, cut, l.n AS l, r.n AS r, (CAST(a AS HUGEINT) * a * 1000000) // (CAST(l.n AS HUGEINT) * r.n) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(words[1:cut], ' ') AND l.k = cut
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(words[cut + 1:], ' ') AND r.k = c.k - cut),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS most
+  FROM (SELECT lang, a, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS phrase FROM c WHERE k = 3)
+  GROUP BY lang, phrase),
+kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN longer ON longer.lang = lowest.lang AND longer.phrase = lowest.phrase
+  WHERE most IS NULL OR 100 * most < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(totals.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
+"""
+
+ORACLES = {"op3_warc": _WARC, "op4_chat": _CHAT, "op13_collocations": _PHRASES}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopmill.llm import chat, decontaminate, langid, line_dedup, lm_score, media, near_dedup, packing, token_counts, warc
+from loopmill.llm import chat, collocations, decontaminate, langid, line_dedup, lm_score, media, near_dedup, packing, pii, token_counts, warc, whitening
 from loopmill.llm.common import crc_bucket
 
 
@@ -66,8 +66,40 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_spans(docs, pii.fit(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "component", "n", whitening.deviation_long().alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_media,
+    op2_langid,
+    op3_warc,
+    op4_chat,
+    op5_packing,
+    op6_lm_score,
+    op7_near_dedup,
+    op8_line_dedup,
+    op9_token_counts,
+    op10_decontaminate,
+    op11_pii,
+    op12_whitening,
+    op13_collocations,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_langid, op3_warc, op4_chat, op5_packing, op6_lm_score, op7_near_dedup, op8_line_dedup, op9_token_counts, op10_decontaminate)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
