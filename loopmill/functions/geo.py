@@ -12,10 +12,12 @@ LEAST_RADIUS_M, RADIUS_SHARE = 1500.0, 0.75
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance. The inner value is held to 1, so that antipodes give no NaN."""
+    """Great-circle distance; null if a coordinate is null, NaN or infinite. The inner value is held to 1, so that
+    antipodes give no NaN."""
     half_lat, half_lon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     a = F.sin(half_lat) * F.sin(half_lat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(half_lon) * F.sin(half_lon)
-    a = F.when(a > 1, 1.0).otherwise(a)  # a null stays null, as least() would not let it
+    # a null stays null, as least() would not let it; NaN counts as larger than all numbers and goes first
+    a = F.when(F.isnan(a), None).when(a > 1, 1.0).otherwise(a)
     return F.lit(2 * EARTH_RADIUS_KM) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 

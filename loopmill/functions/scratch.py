@@ -6,11 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders written inside each open ``scope``.
-_SCOPES: list[list[str]] = []
+#: Folders written inside each open ``scope`` of this thread or task; others have their own.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name in the shared folder."""
     path = f"{shared_folder(spark)}/loopmill/{uuid.uuid4().hex}"
-    for scope_ in _SCOPES:
+    for scope_ in _SCOPES.get():
         scope_.append(path)
     return path
 
@@ -42,19 +43,24 @@ def settle(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system that Spark reads; nothing happens if there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
-    """Removes at its end all scratch tables written inside it, so results must be written or collected before.
+    """Removes at its end all scratch tables written inside it by its own thread, so results must be written or
+    collected before. Scopes of other threads that run meanwhile keep theirs.
 
     Tables written outside a scope stay until the shared folder is cleared.
     """
     written: list[str] = []
-    _SCOPES.append(written)
+    token = _SCOPES.set((*_SCOPES.get(), written))
     try:
         yield
     finally:
-        _SCOPES.remove(written)
-        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        _SCOPES.reset(token)
         for path in written:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+            remove(spark, path)

@@ -229,6 +229,27 @@ ORACLES: dict[str, str] = {
     ),
     "w1_cumulative_distance": with_fixtures(f"WITH {_KEPT} SELECT track_id, seq, round(cum_km, 3) AS cum_km FROM walked", "track_points"),
     "w1_chunked": with_fixtures(f"WITH {_KEPT} SELECT track_id, seq, round(cum_km, 3) AS cum_km FROM walked", "track_points"),
+    "w_broken_points": with_fixtures(
+        f"""WITH p AS (SELECT track_id, seq, CASE WHEN NOT isnan(lat) THEN lat END AS lat, lon, CASE WHEN NOT isnan(ele) THEN ele END AS ele FROM broken_points),
+        all_ AS (SELECT track_id, round(sum(coalesce({_hav('plat', 'plon', 'lat', 'lon')}, 0)), 6) AS distance_km
+          FROM (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM p WINDOW w AS (PARTITION BY track_id ORDER BY seq)) GROUP BY track_id),
+        kept AS (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, lag(ele) OVER w AS pele FROM p WHERE ele IS NOT NULL WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
+        walked AS (SELECT track_id, round(sum(coalesce({_hav('plat', 'plon', 'lat', 'lon')}, 0)), 3) AS cum_km, {_CLIMB} FROM kept GROUP BY track_id),
+        placed AS (SELECT * FROM p WHERE lat IS NOT NULL AND lon IS NOT NULL), {_DENSE('placed', 'track_id', '50.0')},
+        counted AS (SELECT track_id, count(*) AS dense, max(seq) AS last_seq FROM dense GROUP BY track_id)
+        SELECT a.track_id, distance_km, elevation_gain_m, cum_km, c.dense, last_seq FROM all_ a
+        LEFT JOIN walked w ON w.track_id IS NOT DISTINCT FROM a.track_id LEFT JOIN counted c ON c.track_id IS NOT DISTINCT FROM a.track_id""",
+        "broken_points",
+    ),
+    "w_chunked": with_fixtures(
+        f"WITH {_SIMPLE}, summary AS (SELECT track_id, round(max(cum_km), 3) AS distance_km, {_CLIMB} FROM walked GROUP BY track_id) SELECT track_id, idx, km, ele, distance_km, elevation_gain_m, elevation_loss_m FROM simple JOIN summary USING (track_id)",
+        "track_points",
+    ),
+    "w5_cut_segments": with_fixtures(
+        f"""WITH s AS (SELECT track_id, seq, floor({_hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} / (50.0 / 1000)) AS wanted FROM track_points WINDOW w AS (PARTITION BY track_id ORDER BY seq))
+        SELECT track_id, seq, CAST(wanted AS BIGINT) AS wanted, CAST(10 AS BIGINT) AS kept FROM s WHERE wanted > 10""",
+        "track_points",
+    ),
     "w2_route_distance": with_fixtures(
         f"WITH s AS (SELECT track_id, {_hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS km FROM track_points WINDOW w AS (PARTITION BY track_id ORDER BY seq)) SELECT track_id, round(sum(coalesce(km, 0)), 6) AS distance_km FROM s GROUP BY track_id",
         "track_points",
@@ -378,6 +399,15 @@ ORACLES: dict[str, str] = {
         recursive=True,
     ),
     "r1_enrich_routes": with_fixtures(f"WITH {_ENRICHED} SELECT * FROM metrics", "walk_nodes", "street_nodes", "elevation_grid"),
+    "r1_doubled_cells": with_fixtures(
+        f"""WITH {_ENRICHED}, bad AS (SELECT DISTINCT request_id, route_no FROM dense d JOIN elevation_grid g ON g.cell_y = floor(d.lat / 0.001) AND g.cell_x = floor(d.lon / 0.001) WHERE cell_y % 5 = 0 AND cell_x % 4 = 0)
+        SELECT m.request_id, m.route_no, CASE WHEN b.request_id IS NULL THEN distance_km END AS distance_km, CASE WHEN b.request_id IS NULL THEN elevation_gain_m END AS elevation_gain_m,
+          CASE WHEN b.request_id IS NOT NULL THEN 'Elevation service returned a wrong number of results' END AS reason
+        FROM metrics m LEFT JOIN bad b ON b.request_id = m.request_id AND b.route_no = m.route_no""",
+        "walk_nodes",
+        "street_nodes",
+        "elevation_grid",
+    ),
     "r2_scores": with_fixtures(f"WITH {_SCORE} SELECT request_id, candidate_no, similarity_score FROM scored", "candidate_metrics", "search_requests"),
     "r3_r4_ranked": with_fixtures(
         f"""WITH {_SCORE}, r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY similarity_score DESC, candidate_no) AS rank FROM scored)

@@ -144,6 +144,33 @@ def w1_chunked(spark, sf_dir):
     return tracks.cumulative_distance_chunked(_points(spark, sf_dir), TRACK, 16).select("track_id", "seq", F.round("cum_km", 3).alias("cum_km"))
 
 
+@query
+def w_broken_points(spark, sf_dir):
+    """Points without a place or with NaN, and a track without a key: distances, climbs and dense points of each track."""
+    p = fixture(spark, sf_dir, "broken_points")
+    walked = tracks.cumulative_distance_chunked(p, TRACK, 16).groupBy("track_id").agg(F.round(F.max("cum_km"), 3).alias("cum_km"))
+    dense = tracks.interpolate(p, TRACK, 50.0, chunk_points=7).groupBy("track_id").agg(F.count("*").alias("dense"), F.max("seq").alias("last_seq"))
+    length = _digits(tracks.route_distance(p, TRACK), 6, "distance_km")
+    parts = [tracks.profile_summary(p, TRACK, 16).select("track_id", "elevation_gain_m"), walked, dense]
+    for part in parts:
+        length = tracks.null_safe(length, part, TRACK, "left")
+    return length
+
+
+@query
+def w_chunked(spark, sf_dir):
+    """Profiles, resampled ones and climbs by chunks of 16 points, as for tracks of any length."""
+    p = _points(spark, sf_dir)
+    resampled = profiles.simplify_profile(tracks.profile_points(p, TRACK, 16), "track_id", 50, 16)
+    summary = tracks.profile_summary(p, TRACK, 16).select("track_id", "distance_km", "elevation_gain_m", "elevation_loss_m")
+    return resampled.join(summary, "track_id")
+
+
+@query
+def w5_cut_segments(spark, sf_dir):
+    return tracks.cut_segments(_points(spark, sf_dir), TRACK, 50.0, 10)
+
+
 @query
 def w2_route_distance(spark, sf_dir):
     return _digits(tracks.route_distance(_points(spark, sf_dir), TRACK), 6, "distance_km")
@@ -333,8 +360,17 @@ def g8_candidate_routes(spark, sf_dir):
 def r1_enrich_routes(spark, sf_dir):
     nodes = fixture(spark, sf_dir, "street_nodes")
     walks = fixture(spark, sf_dir, "walk_nodes").join(nodes.select("node_id", "lat", "lon"), "node_id").select(*ROUTE, "seq", (F.col("lat") + 0.36).alias("lat"), (F.col("lon") - 0.06).alias("lon"))
-    metrics, _ = elevation.enrich_routes(walks, fixture(spark, sf_dir, "elevation_grid"), ROUTE)
-    return metrics
+    return elevation.enrich_routes(walks, fixture(spark, sf_dir, "elevation_grid"), ROUTE)[0]
+
+
+@query
+def r1_doubled_cells(spark, sf_dir):
+    """Some cells of the grid stand in it twice, with another value: routes over them are rejected by themselves."""
+    nodes, grid = fixture(spark, sf_dir, "street_nodes"), fixture(spark, sf_dir, "elevation_grid")
+    walks = fixture(spark, sf_dir, "walk_nodes").join(nodes.select("node_id", "lat", "lon"), "node_id").select(*ROUTE, "seq", (F.col("lat") + 0.36).alias("lat"), (F.col("lon") - 0.06).alias("lon"))
+    again = grid.filter("cell_y % 5 = 0 AND cell_x % 4 = 0").withColumn("ele", F.col("ele") + 400)
+    metrics, _, rejects = elevation.enrich_routes(walks, grid.unionByName(again), ROUTE)
+    return metrics.select(*ROUTE, "distance_km", "elevation_gain_m").unionByName(rejects, allowMissingColumns=True)
 
 
 @query
@@ -363,10 +399,12 @@ def find_routes_for(requests: DataFrame, gazetteer: DataFrame, nodes: DataFrame,
     located, missed = places.geocode(valid, gazetteer)
     asked = settle(valid.join(located.select("request_id", "lat", "lon"), "request_id"))
     points, without = candidates.candidate_routes(asked.select("request_id", "lat", "lon", "target_distance_km"), nodes, edges)
-    metrics, _ = elevation.enrich_routes(settle(points), grid, ["request_id", "candidate_no"])
-    ranked = ranking.rank_routes(ranking.score_routes(metrics, asked))
+    metrics, _, doubled = elevation.enrich_routes(settle(points), grid, ["request_id", "candidate_no"])
+    # a request fails by itself if the elevations of one of its routes do
+    failed = doubled.select("request_id", "reason").distinct()
+    ranked = ranking.rank_routes(ranking.score_routes(metrics.join(failed.select("request_id"), "request_id", "left_anti"), asked))
     kept = ranked.select("request_id", "rank", "name", "candidate_no", "distance_km", "elevation_gain_m", "elevation_loss_m", "min_elevation_m", "max_elevation_m", "similarity_score")
-    rejects = judged.filter("reason IS NOT NULL").select("request_id", "reason").unionByName(missed).unionByName(without)
+    rejects = judged.filter("reason IS NOT NULL").select("request_id", "reason").unionByName(missed).unionByName(without).unionByName(failed)
     return kept.unionByName(rejects, allowMissingColumns=True)
 
 
@@ -376,7 +414,7 @@ def s5_result_rows(spark, sf_dir):
     nodes = fixture(spark, sf_dir, "street_nodes")
     walks = fixture(spark, sf_dir, "walk_nodes").join(nodes.select("node_id", "lat", "lon"), "node_id").select(*ROUTE, "seq", (F.col("lat") + 0.36).alias("lat"), (F.col("lon") - 0.06).alias("lon"))
     walks = settle(walks)
-    metrics, dense = elevation.enrich_routes(walks, fixture(spark, sf_dir, "elevation_grid"), ROUTE)
+    metrics, dense, _ = elevation.enrich_routes(walks, fixture(spark, sf_dir, "elevation_grid"), ROUTE)
     dense = settle(dense)
     targets = walks.select("request_id").distinct().select("request_id", F.lit(1.5).alias("target_distance_km"), F.lit(50.0).alias("target_elevation_gain_m"), F.lit(3).alias("num_results"))
     ranked = ranking.rank_routes(ranking.score_routes(metrics.withColumn("candidate_no", F.col("route_no")), targets))

@@ -6,22 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loopmill.operators.tracks import cut, neighbour, null_safe
+
 SAMPLES = 50
 
 
-def simplify_profile(profile: DataFrame, key: str, num_points: int = 100) -> DataFrame:
+def simplify_profile(profile: DataFrame, key: str, num_points: int = 100, chunk_points: int | None = None) -> DataFrame:
     """key, idx, km, ele: profiles longer than ``num_points`` at evenly spaced distances, others as they are.
 
     An as-of lookup the other way round: each point makes the targets that lie beyond it, up to its successor,
     so every target has the last point strictly below it (the first point also has what lies at the start), and
-    no join is needed.
+    no join is needed. With ``chunk_points`` a profile may have any length: a chunk's last point has its successor
+    from the next chunk, and counts and lengths come from one row for each profile. Null keys are one profile.
     """
     if num_points < 2:
         raise ValueError("num_points must be 2 or more")
-    along, last = Window.partitionBy(key).orderBy("seq"), num_points - 1
-    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    points = profile.select(key, "seq", "km", "ele").withColumns({"n": F.count("*").over(Window.partitionBy(key)), "next_km": F.lead("km").over(along), "next_ele": F.lead("ele").over(along), "step": F.last("km").over(whole) / last})
-    is_first, is_last = F.col("seq") == 0, F.col("next_km").isNull()
+    last = num_points - 1
+    points = profile.select(key, "seq", "km", "ele")
+    if chunk_points is None:
+        whole = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        points = points.withColumns({"n": F.count("*").over(Window.partitionBy(key)), "total": F.last("km").over(whole)})
+    else:
+        totals = points.groupBy(key).agg(F.count("*").alias("n"), F.max_by("km", "seq").alias("total"))
+        points = null_safe(points, totals, [key])
+    points = neighbour(cut(points, chunk_points), [key], ["km", "ele"], "next", chunk_points, ahead=True)
+    points = points.withColumns({"next_km": F.col("next.km"), "next_ele": F.col("next.ele"), "step": F.col("total") / last})
+    is_first, is_last = F.col("seq") == 0, F.col("next").isNull()
     # a little too many candidates, then the exact comparison that the lookup is defined by
     low = F.when(is_first, 0).otherwise(F.greatest(F.coalesce(F.floor(F.try_divide("km", "step")), F.lit(0)) - 1, F.lit(0)))
     high = F.when(is_last, last).otherwise(F.least(F.coalesce(F.ceil(F.try_divide("next_km", "step")), F.lit(last)) + 1, F.lit(last)))

@@ -1,13 +1,17 @@
 """Distances, climbs and profiles of tracks and routes in long form: one row per point, ordered by ``seq``.
 
 Points of equal ``seq`` stand in order of place and elevation, so that reruns agree; repeated points have a distance
-of 0 to each other. A null or NaN coordinate gives null steps, which count as 0. Null keys are one group. An empty
-table gives an empty result.
+of 0 to each other. A null or NaN coordinate gives null steps, which count as 0; a null or NaN elevation is none. Null
+keys are one group. An empty table gives an empty result.
+
+By default one shuffle by track serves windows and aggregation. With ``chunk_points`` a track may have any length: windows
+run over chunks of ``seq``, and what they need from before (the last point, sums and numbers so far) comes from windows
+over one row for each chunk. Results are equal up to the last digits, as sums are grouped otherwise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -15,53 +19,89 @@ from loopmill.functions.geo import haversine_km
 
 #: Points of one window partition in the two-level form for very long tracks.
 CHUNK_POINTS = 100_000
+CHUNK = "__chunk"
 
 
-def _along(points: DataFrame, keys: list[str]) -> WindowSpec:
+def along(points: DataFrame, keys: list[str]) -> WindowSpec:
     """The order of a track's points."""
-    return Window.partitionBy(*keys).orderBy("seq", *(c for c in ("lat", "lon", "ele") if c in points.columns))
+    return Window.partitionBy(*keys).orderBy(*_order(points))
+
+
+def _order(points: DataFrame) -> list[str]:
+    return ["seq", *(c for c in ("lat", "lon", "ele") if c in points.columns)]
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join in which null keys are equal; keys come from ``left``."""
+    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [left[k].eqNullSafe(named[f"__{k}"]) for k in keys]
+    return left.join(named, same, how).drop(*(f"__{k}" for k in keys))
+
+
+def cut(points: DataFrame, chunk_points: int | None) -> DataFrame:
+    """``points`` with the number of their chunk, if there are chunks."""
+    return points if chunk_points is None else points.withColumn(CHUNK, F.floor(F.col("seq") / chunk_points))
+
+
+def neighbour(points: DataFrame, keys: list[str], columns: list[str], name: str, chunk_points: int | None, ahead: bool = False) -> DataFrame:
+    """``points`` (from ``cut``) with ``name``: the columns of the point before it, or after it, as a struct; null at the end."""
+    own = F.struct(*columns)
+    step = F.lead if ahead else F.lag
+    if chunk_points is None:
+        return points.withColumn(name, step(own).over(along(points, keys)))
+    pick = F.min_by if ahead else F.max_by
+    ends = points.groupBy(*keys, CHUNK).agg(pick(own, F.struct(*_order(points))).alias("__end"))
+    ends = ends.withColumn("__beside", step("__end").over(Window.partitionBy(*keys).orderBy(CHUNK))).drop("__end")
+    inside = step(own).over(along(points, [*keys, CHUNK]))
+    return null_safe(points, ends, [*keys, CHUNK]).withColumn(name, F.coalesce(inside, "__beside")).drop("__beside")
+
+
+def so_far(points: DataFrame, keys: list[str], values: dict[str, Column], chunk_points: int | None) -> DataFrame:
+    """``points`` (from ``cut``) with the running sum of each value, its own point included."""
+    running = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if chunk_points is None:
+        whole = running(along(points, keys))
+        return points.withColumns({n: F.sum(v).over(whole) for n, v in values.items()})
+    totals = points.groupBy(*keys, CHUNK).agg(*(F.sum(v).alias(f"__{n}") for n, v in values.items()))
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumns({f"__{n}": F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)) for n in values})
+    inside = running(along(points, [*keys, CHUNK]))
+    summed = points.withColumns({n: F.sum(v).over(inside) for n, v in values.items()})
+    added = null_safe(summed, totals, [*keys, CHUNK])
+    return added.withColumns({n: F.col(n) + F.col(f"__{n}") for n in values}).drop(*(f"__{n}" for n in values))
 
 
-def cumulative_distance(points: DataFrame, keys: list[str]) -> DataFrame:
+def step_from(before: str) -> Column:
+    """Kilometres from the point in a struct column; 0 without one, or where a coordinate is missing."""
+    return F.coalesce(haversine_km(F.col(f"{before}.lat"), F.col(f"{before}.lon"), F.col("lat"), F.col("lon")), F.lit(0.0))
+
+
+def _raised(points: DataFrame) -> DataFrame:
+    return points.filter("ele IS NOT NULL AND NOT isnan(ele)")
+
+
+def cumulative_distance(points: DataFrame, keys: list[str], chunk_points: int | None = None) -> DataFrame:
     """Points with an elevation, and ``cum_km`` along them.
 
     Points without elevation go first, so a step leads from the last kept point, across segments too.
     """
-    along = _along(points, keys)
-    kept = points.filter("ele IS NOT NULL")
-    step = haversine_km(F.lag("lat").over(along), F.lag("lon").over(along), F.col("lat"), F.col("lon"))
-    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return kept.withColumn("step_km", F.coalesce(step, F.lit(0.0))).withColumn("cum_km", F.sum("step_km").over(so_far)).drop("step_km")
+    kept = neighbour(cut(_raised(points), chunk_points), keys, ["lat", "lon"], "__before", chunk_points).withColumn("__step", step_from("__before"))
+    return so_far(kept, keys, {"cum_km": F.col("__step")}, chunk_points).drop("__before", "__step", CHUNK)
 
 
 def cumulative_distance_chunked(points: DataFrame, keys: list[str], chunk_points: int = CHUNK_POINTS) -> DataFrame:
-    """``cumulative_distance`` for tracks of any length: windows over chunks of ``seq``, then over chunk totals.
+    """``cumulative_distance`` for tracks of any length."""
+    return cumulative_distance(points, keys, chunk_points)
 
-    Equal to it up to the last digits, as sums are grouped otherwise.
-    """
-    kept = points.filter("ele IS NOT NULL").withColumn("chunk", F.floor(F.col("seq") / chunk_points))
-    inside = _along(kept, [*keys, "chunk"])
-    ends = kept.groupBy(*keys, "chunk").agg(F.max_by(F.struct("lat", "lon"), F.struct("seq", "lat", "lon", "ele")).alias("end"))
-    ends = ends.withColumn("before", F.lag("end").over(Window.partitionBy(*keys).orderBy("chunk"))).drop("end")
-    linked = kept.join(ends, [*keys, "chunk"])
-    lat, lon = (F.coalesce(F.lag(c).over(inside), F.col(f"before.{c}")) for c in ("lat", "lon"))
-    steps = linked.withColumn("step_km", F.coalesce(haversine_km(lat, lon, F.col("lat"), F.col("lon")), F.lit(0.0))).drop("before")
-    totals = steps.groupBy(*keys, "chunk").agg(F.sum("step_km").alias("total"))
-    earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("start_km", F.coalesce(F.sum("total").over(earlier), F.lit(0.0))).drop("total")
-    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = steps.withColumn("in_chunk", F.sum("step_km").over(so_far)).join(totals, [*keys, "chunk"])
-    return summed.withColumn("cum_km", F.col("start_km") + F.col("in_chunk")).drop("step_km", "in_chunk", "start_km", "chunk")
-
-
-def route_distance(points: DataFrame, keys: list[str]) -> DataFrame:
+
+def route_distance(points: DataFrame, keys: list[str], chunk_points: int | None = None) -> DataFrame:
     """keys, distance_km: the sum of consecutive distances; 0 for one point."""
-    along = _along(points, keys)
-    step = haversine_km(F.lag("lat").over(along), F.lag("lon").over(along), F.col("lat"), F.col("lon"))
-    return points.select(*keys, F.coalesce(step, F.lit(0.0)).alias("step_km")).groupBy(*keys).agg(F.sum("step_km").alias("distance_km"))
+    linked = neighbour(cut(points, chunk_points), keys, ["lat", "lon"], "__before", chunk_points)
+    return linked.select(*keys, step_from("__before").alias("step_km")).groupBy(*keys).agg(F.sum("step_km").alias("distance_km"))
 
 
-def _climb(step) -> dict:
+def climb(step: Column) -> dict[str, Column]:
+    """Aggregates of climbed steps and of ``ele``."""
     return {
         "elevation_gain_m": F.round(F.coalesce(F.sum(F.when(step > 0, step).otherwise(0.0)), F.lit(0.0)), 1),
         "elevation_loss_m": F.round(F.coalesce(F.sum(F.when(step > 0, 0.0).otherwise(F.coalesce(F.abs(step), F.lit(0.0)))), F.lit(0.0)), 1),
@@ -70,60 +110,69 @@ def _climb(step) -> dict:
     }
 
 
-def elevation_metrics(points: DataFrame, keys: list[str], routes: DataFrame | None = None) -> DataFrame:
+def elevation_metrics(points: DataFrame, keys: list[str], routes: DataFrame | None = None, chunk_points: int | None = None) -> DataFrame:
     """keys and gain, loss, least and largest elevation, each to 0.1. ``routes`` keeps those without points, as 0."""
-    along = _along(points, keys)
-    steps = points.filter("ele IS NOT NULL").withColumn("climb", F.col("ele") - F.lag("ele").over(along))
-    found = steps.groupBy(*keys).agg(*(c.alias(n) for n, c in _climb(F.col("climb")).items()))
+    steps = neighbour(cut(_raised(points), chunk_points), keys, ["ele"], "__before", chunk_points)
+    found = steps.groupBy(*keys).agg(*(c.alias(n) for n, c in climb(F.col("ele") - F.col("__before.ele")).items()))
     if routes is None:
         return found
     names = [n for n in found.columns if n not in keys]
-    return routes.select(*keys).join(found, keys, "left").select(*keys, *(F.coalesce(n, F.lit(0.0)).alias(n) for n in names))
+    return null_safe(routes.select(*keys), found, keys, "left").select(*keys, *(F.coalesce(n, F.lit(0.0)).alias(n) for n in names))
 
 
-def profile_summary(points: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, distance_km and the four metrics, in one shuffle by the keys."""
-    along = _along(points, keys)
-    walked = cumulative_distance(points, keys).withColumn("climb", F.col("ele") - F.lag("ele").over(along))
-    return walked.groupBy(*keys).agg(F.round(F.max("cum_km"), 3).alias("distance_km"), *(c.alias(n) for n, c in _climb(F.col("climb")).items()))
+def profile_summary(points: DataFrame, keys: list[str], chunk_points: int | None = None) -> DataFrame:
+    """keys, distance_km and the four metrics of points with an elevation, in one shuffle by the keys."""
+    linked = neighbour(cut(_raised(points), chunk_points), keys, ["lat", "lon", "ele"], "__before", chunk_points)
+    steps = linked.select(*keys, "ele", step_from("__before").alias("__step"), (F.col("ele") - F.col("__before.ele")).alias("__climb"))
+    metrics = climb(F.col("__climb"))
+    return steps.groupBy(*keys).agg(F.round(F.sum("__step"), 3).alias("distance_km"), *(c.alias(n) for n, c in metrics.items()))
 
 
-def profile_points(points: DataFrame, keys: list[str]) -> DataFrame:
+def profile_points(points: DataFrame, keys: list[str], chunk_points: int | None = None) -> DataFrame:
     """keys, seq (renumbered from 0), km to 0.001 and ele to 0.1: the elevation profile in long form."""
-    along = _along(points, keys)
-    return cumulative_distance(points, keys).select(*keys, (F.row_number().over(along) - 1).cast("long").alias("seq"), F.round("cum_km", 3).alias("km"), F.round("ele", 1).alias("ele"))
+    kept = neighbour(cut(_raised(points), chunk_points), keys, ["lat", "lon"], "__before", chunk_points).withColumn("__step", step_from("__before"))
+    walked = so_far(kept, keys, {"__km": F.col("__step"), "__nth": F.lit(1)}, chunk_points)
+    return walked.select(*keys, (F.col("__nth") - 1).cast("long").alias("seq"), F.round("__km", 3).alias("km"), F.round("ele", 1).alias("ele"))
+
+
+def _segments(points: DataFrame, keys: list[str], interval_m: float, chunk_points: int | None) -> DataFrame:
+    """Points with a place, the one before (``__from``, null for the first), and ``__wanted`` points between both."""
+    placed = points.select(*keys, "seq", "lat", "lon").filter("NOT (lat IS NULL OR lon IS NULL OR isnan(lat) OR isnan(lon))")
+    linked = neighbour(cut(placed, chunk_points), keys, ["lat", "lon"], "__from", chunk_points)
+    km = haversine_km(F.col("__from.lat"), F.col("__from.lon"), F.col("lat"), F.col("lon"))
+    return linked.withColumns({"__km": km, "__wanted": F.floor(km / (interval_m / 1000)).cast("int")})
 
 
-def interpolate(points: DataFrame, keys: list[str], interval_m: float = 50.0, most_per_segment: int | None = None) -> DataFrame:
+def interpolate(points: DataFrame, keys: list[str], interval_m: float = 50.0, most_per_segment: int | None = None, chunk_points: int | None = None) -> DataFrame:
     """keys, seq, lat, lon: points about every ``interval_m`` along each segment, and the original ones.
 
-    A segment of no length adds nothing, so a repeated point goes. ``most_per_segment`` bounds what one broken
-    coordinate can add; None adds all.
+    A segment of no length adds nothing, so a repeated point goes, and so does a point without a place.
+    ``most_per_segment`` bounds what one broken coordinate can add (``cut_segments`` reports where); None adds all.
     """
-    along = _along(points, keys)
-    lag = {c: F.lag(c).over(along) for c in ("lat", "lon")}
-    segments = points.select(*keys, "seq", "lat", "lon", lag["lat"].alias("from_lat"), lag["lon"].alias("from_lon"), F.row_number().over(along).alias("nth"))
-    segments = segments.withColumn("segment_km", haversine_km(F.col("from_lat"), F.col("from_lon"), F.col("lat"), F.col("lon")))
-    n = F.floor(F.col("segment_km") / (interval_m / 1000)).cast("int")
-    n = n if most_per_segment is None else F.least(n, F.lit(most_per_segment))
-    first = F.col("nth") == 1
-    # the first point is its own end, so one pass makes all rows
-    laid = segments.filter(first | (F.col("segment_km") > 0)).withColumn("n", F.when(first, -1).otherwise(n))
-    laid = laid.withColumn("j", F.explode(F.when(first, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.greatest("n", F.lit(0)) + 1))))
+    segments, first = _segments(points, keys, interval_m, chunk_points), F.col("__from").isNull()
+    n = F.col("__wanted") if most_per_segment is None else F.least("__wanted", F.lit(most_per_segment))
+    # the first point is its own end, so one pass makes all rows; their number so far is the next one's place
+    laid = segments.filter(first | (F.col("__km") > 0)).withColumn("n", F.when(first, 0).otherwise(n))
+    laid = so_far(laid, keys, {"__end": F.col("n") + 1}, chunk_points)
+    laid = laid.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n") + 1)))
     share = F.try_divide(F.col("j"), F.col("n") + 1)
-    at = lambda c: F.when(F.col("j") == F.col("n") + 1, F.col(c)).otherwise(F.col(f"from_{c}") + share * (F.col(c) - F.col(f"from_{c}")))
-    laid = laid.select(*keys, "seq", "j", at("lat").alias("lat"), at("lon").alias("lon"))
-    order = Window.partitionBy(*keys).orderBy("seq", "j")
-    return laid.select(*keys, (F.row_number().over(order) - 1).cast("long").alias("seq"), "lat", "lon")
+    between = lambda c: F.col(f"__from.{c}") + share * (F.col(c) - F.col(f"__from.{c}"))
+    at = lambda c: F.when(F.col("j") == F.col("n") + 1, F.col(c)).otherwise(between(c)).alias(c)
+    return laid.select(*keys, (F.col("__end") - F.col("n") + F.col("j") - 2).cast("long").alias("seq"), at("lat"), at("lon"))
+
+
+def cut_segments(points: DataFrame, keys: list[str], interval_m: float, most_per_segment: int, chunk_points: int | None = None) -> DataFrame:
+    """keys, seq, wanted, kept: ends of segments to which ``interpolate`` adds fewer points for ``most_per_segment``."""
+    found = _segments(points, keys, interval_m, chunk_points).filter(F.col("__wanted") > most_per_segment)
+    return found.select(*keys, "seq", F.col("__wanted").cast("long").alias("wanted"), F.lit(most_per_segment).cast("long").alias("kept"))
 
 
-def build_profile(coordinates: DataFrame, elevations: DataFrame, keys: list[str]) -> DataFrame:
+def build_profile(coordinates: DataFrame, elevations: DataFrame, keys: list[str], chunk_points: int | None = None) -> DataFrame:
     """keys, seq, km, ele from coordinates and elevations of equal ``seq``; the shorter list ends it."""
-    both = coordinates.select(*keys, "seq", "lat", "lon").join(elevations.select(*keys, "seq", "ele"), [*keys, "seq"])
-    along = _along(both, keys)
-    step = F.coalesce(haversine_km(F.lag("lat").over(along), F.lag("lon").over(along), F.col("lat"), F.col("lon")), F.lit(0.0))
-    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("step_km", step).select(*keys, "seq", F.round(F.sum("step_km").over(so_far), 3).alias("km"), F.round("ele", 1).alias("ele"))
+    both = null_safe(coordinates.select(*keys, "seq", "lat", "lon"), elevations.select(*keys, "seq", "ele"), [*keys, "seq"])
+    linked = neighbour(cut(both, chunk_points), keys, ["lat", "lon"], "__before", chunk_points).withColumn("__step", step_from("__before"))
+    walked = so_far(linked, keys, {"__km": F.col("__step")}, chunk_points)
+    return walked.select(*keys, "seq", F.round("__km", 3).alias("km"), F.round("ele", 1).alias("ele"))
 
 
 def route_bounds(points: DataFrame, keys: list[str]) -> DataFrame:

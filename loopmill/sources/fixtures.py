@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = {
     "track_points": ["events"],
+    "broken_points": ["events"],
     "elevation_grid": ["part"],
     "street_elevation": ["customer"],
     "street_nodes": ["customer"],
@@ -26,6 +27,15 @@ SELECT user_id AS track_id,
        CAST(42.36 AS DOUBLE) + ((event_id * 37) % 1000) / CAST(100000 AS DOUBLE) AS lat,
        CAST(-71.06 AS DOUBLE) + ((event_id * 91) % 1000) / CAST(100000 AS DOUBLE) AS lon,
        CASE WHEN event_type <> 'error' THEN floor(value * 8) / CAST(8 AS DOUBLE) END AS ele
+FROM events""",
+    # a track without a key, and points without a place or with NaN
+    "broken_points": """
+SELECT CASE WHEN user_id <> 3 THEN user_id END AS track_id,
+       CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS seq,
+       CASE WHEN event_id % 13 = 7 THEN NULL WHEN event_id % 11 = 5 THEN CAST('NaN' AS DOUBLE)
+            ELSE CAST(42.36 AS DOUBLE) + ((event_id * 37) % 1000) / CAST(100000 AS DOUBLE) END AS lat,
+       CAST(-71.06 AS DOUBLE) + ((event_id * 91) % 1000) / CAST(100000 AS DOUBLE) AS lon,
+       CASE WHEN event_id % 17 = 2 THEN CAST('NaN' AS DOUBLE) WHEN event_type <> 'error' THEN floor(value * 8) / CAST(8 AS DOUBLE) END AS ele
 FROM events""",
     "elevation_grid": """
 SELECT 42360 + CAST(floor(p_partkey / 10) AS BIGINT) AS cell_y,
@@ -98,7 +108,7 @@ SELECT s_suppkey AS place_id,
        CASE WHEN s_suppkey % 5 <> 0 THEN concat('Street ', CAST(s_suppkey % 9 AS VARCHAR(20))) END AS street,
        42 + (s_suppkey % 25) * CAST(0.001 AS DOUBLE) AS lat,
        -71 + floor(s_suppkey / 25) * CAST(0.001 AS DOUBLE) AS lon,
-       s_acctbal AS importance,
+       CASE WHEN s_suppkey % 11 <> 0 THEN s_acctbal END AS importance,
        CASE WHEN s_suppkey % 4 = 0 THEN 'city' WHEN s_suppkey % 4 = 1 THEN '' END AS osm_value,
        CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE 'house' END AS type,
        CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE s_name END AS display_name

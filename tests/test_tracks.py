@@ -122,3 +122,88 @@ def test_equal_places_in_order_do_not_depend_on_the_input(spark):
     found = {str(sorted(tracks.profile_summary(spark.createDataFrame(r, kind), ["track_id"]).collect(), key=str)) for r in (rows, rows[::-1], rows[3:] + rows[:3])}
     assert len(found) == 1
     assert tracks.profile_summary(spark.createDataFrame([], kind), ["track_id"]).count() == 0
+
+
+NAN = float("nan")
+BROKEN = {
+    None: [(42.0, -71.0, 1.0), (42.001, -71.0, 3.0), (42.002, -71.0, 2.0), (42.0025, -71.0, None), (42.003, -71.0, 6.0)],
+    1: [(42.0, -71.0, 1.0), (NAN, -71.0, 2.0), (42.002, -71.0, NAN), (42.003, None, 4.0), (42.004, -71.0, 5.0)],
+    2: [(NAN, NAN, 1.0)],
+    3: [(42.0 + 0.0004 * i, -71.0, float(i % 5)) for i in range(60)],
+}
+
+
+@pytest.fixture(scope="module")
+def broken(spark):
+    rows = [(k, i, a, b, e) for k, p in BROKEN.items() for i, (a, b, e) in enumerate(p)]
+    return spark.createDataFrame(rows, "track_id long, seq long, lat double, lon double, ele double")
+
+
+def test_nan_counts_as_missing(broken):
+    lengths = {r.track_id: r.distance_km for r in tracks.route_distance(broken, ["track_id"]).collect()}
+    assert lengths[1] == 0.0 and lengths[2] == 0.0 and lengths[None] == pytest.approx(haversine((42.0, -71.0), (42.003, -71.0)))
+    dense = [r for r in tracks.interpolate(broken, ["track_id"], 50.0).collect() if r.track_id == 1]
+    assert sorted(r.seq for r in dense) == list(range(len(dense))) and len(dense) < 12 and all(r.lat == r.lat for r in dense)
+    summary = {r.track_id: r for r in tracks.profile_summary(broken, ["track_id"]).collect()}
+    assert summary[1].elevation_gain_m == 4.0 and summary[1].max_elevation_m == 5.0
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 16])
+def test_two_levels_equal_windows(broken, chunk):
+    keys = ["track_id"]
+    profile = tracks.profile_points(broken, keys)
+    forms = [
+        lambda c: tracks.cumulative_distance(broken, keys, c).select("track_id", "seq", "cum_km"),
+        lambda c: tracks.route_distance(broken, keys, c),
+        lambda c: tracks.elevation_metrics(broken, keys, broken.select(*keys).distinct(), c),
+        lambda c: tracks.profile_summary(broken, keys, c),
+        lambda c: tracks.profile_points(broken, keys, c),
+        lambda c: tracks.interpolate(broken, keys, 20.0, chunk_points=c),
+        lambda c: tracks.interpolate(broken, keys, 20.0, 1, chunk_points=c),
+        lambda c: tracks.cut_segments(broken, keys, 20.0, 1, c),
+        lambda c: tracks.build_profile(broken, broken.select(*keys, "seq", "ele"), keys, c),
+        lambda c: profiles.simplify_profile(profile, "track_id", 10, c),
+    ]
+    for form in forms:
+        sides = [sorted(map(tuple, form(c).collect()), key=str) for c in (None, chunk)]
+        assert len(sides[0]) == len(sides[1]) > 0
+        for a, b in zip(*sides):
+            assert [x for x in a if not isinstance(x, float)] == [x for x in b if not isinstance(x, float)]
+            assert [x for x in a if isinstance(x, float)] == pytest.approx([x for x in b if isinstance(x, float)], abs=1e-9, nan_ok=True)
+
+
+def test_routes_over_doubled_cells_go_by_themselves(spark):
+    from loopmill.operators import elevation
+
+    points = spark.createDataFrame([(None, 0, 42.0001, -71.0), (None, 1, 42.0005, -71.0), (2, 0, 42.0101, -71.0), (2, 1, 42.0105, -71.0)], "r long, seq long, lat double, lon double")
+    grid = spark.createDataFrame([(42000, -71000, 5.0), (42010, -71000, 1.0), (42010, -71000, 400.0)], "cell_y long, cell_x long, ele double")
+    metrics, dense, rejects = elevation.enrich_routes(points, grid, ["r"])
+    assert [(r.r, r.max_elevation_m, r.elevation_gain_m) for r in metrics.collect()] == [(None, 5.0, 0.0)]
+    assert {r.r for r in dense.collect()} == {None} and [tuple(r) for r in rejects.collect()] == [(2, elevation.DOUBLED)]
+
+
+def test_scopes_of_threads_are_their_own(spark):
+    import threading
+
+    from loopmill.functions import scratch
+
+    begun, ended, counts = threading.Event(), threading.Event(), []
+
+    def other():
+        with scratch.scope(spark):
+            table = scratch.settle(spark.range(7))
+            begun.set()
+            ended.wait(60)
+            counts.append(table.count())
+
+    thread = threading.Thread(target=other)
+    with scratch.scope(spark):
+        thread.start()
+        assert begun.wait(60)
+        mine = scratch.settle(spark.range(3))
+        path = mine.inputFiles()[0]
+    ended.set()
+    thread.join()
+    assert counts == [7]
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
