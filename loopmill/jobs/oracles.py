@@ -162,6 +162,14 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY similar
 lost AS (SELECT request_id, CASE WHEN request_id % 9 = 8 THEN 'Location not found:  block ' || (request_id + 100000000) END AS reason FROM loop_requests WHERE request_id % 9 = 8
   UNION ALL SELECT request_id, reason FROM without WHERE request_id % 9 <> 8)"""
 
+_SETTLED = """light AS (SELECT u, v, min(length) AS length FROM street_edges GROUP BY u, v),
+        src AS (SELECT block AS request_id, min(node_id) AS source FROM street_nodes GROUP BY block),
+        d(request_id, source, node_id, dist) USING KEY (request_id, node_id) AS (
+          SELECT request_id, source, source, CAST(0 AS DOUBLE) FROM src
+          UNION
+          SELECT * FROM (SELECT x.request_id, x.source, l.v AS node_id, min(x.dist + l.length) AS dist FROM d x JOIN light l ON l.u = x.node_id GROUP BY ALL) n
+          WHERE NOT EXISTS (SELECT 1 FROM recurring.d o WHERE o.request_id = n.request_id AND o.node_id = n.node_id AND o.dist <= n.dist))"""
+
 ORACLES: dict[str, str] = {
     "p1_haversine": with_fixtures(f"SELECT track_id, seq, round({_hav('42.36', '(-71.06)', 'lat', 'lon')}, 6) AS km FROM track_points", "track_points"),
     "p2_destination": with_fixtures(
@@ -343,15 +351,16 @@ ORACLES: dict[str, str] = {
         "place_queries",
         "places",
     ),
-    "g1_shortest_paths": with_fixtures(
-        """WITH light AS (SELECT u, v, min(length) AS length FROM street_edges GROUP BY u, v),
-        src AS (SELECT block AS request_id, min(node_id) AS source FROM street_nodes GROUP BY block),
-        d(request_id, source, node_id, dist) USING KEY (request_id, node_id) AS (
-          SELECT request_id, source, source, CAST(0 AS DOUBLE) FROM src
-          UNION
-          SELECT * FROM (SELECT x.request_id, x.source, l.v AS node_id, min(x.dist + l.length) AS dist FROM d x JOIN light l ON l.u = x.node_id GROUP BY ALL) n
-          WHERE NOT EXISTS (SELECT 1 FROM recurring.d o WHERE o.request_id = n.request_id AND o.node_id = n.node_id AND o.dist <= n.dist))
-        SELECT * FROM d""",
+    "g1_shortest_paths": with_fixtures(f"WITH {_SETTLED} SELECT * FROM d", "street_nodes", "street_edges", recursive=True),
+    "g1_ways": with_fixtures(
+        f"""WITH {_SETTLED},
+        tree AS (SELECT t.request_id, t.source, t.node_id, arg_min(l.u, (s.dist, l.u)) AS before FROM d t JOIN light l ON l.v = t.node_id
+          JOIN d s ON s.request_id = t.request_id AND s.node_id = l.u AND s.dist + l.length = t.dist GROUP BY ALL),
+        back AS (
+          SELECT request_id, source, node_id AS target, CAST(0 AS BIGINT) AS k, node_id FROM d
+          UNION ALL
+          SELECT b.request_id, b.source, b.target, b.k + 1, t.before FROM back b JOIN tree t ON t.request_id = b.request_id AND t.node_id = b.node_id)
+        SELECT request_id, source, target, max(k) OVER (PARTITION BY request_id, source, target) - k AS seq, node_id FROM back""",
         "street_nodes",
         "street_edges",
         recursive=True,

@@ -308,6 +308,15 @@ def g1_shortest_paths(spark, sf_dir):
     return graph.shortest_paths(sources, fixture(spark, sf_dir, "street_edges"), ["request_id"]).select("request_id", "source", "node_id", "dist")
 
 
+@query
+def g1_ways(spark, sf_dir):
+    """The nodes of the least way from the first node of each block to every other, in order."""
+    nodes = fixture(spark, sf_dir, "street_nodes")
+    sources = nodes.groupBy(F.col("block").alias("request_id")).agg(F.min("node_id").alias("source"))
+    paths = settle(graph.shortest_paths(sources, fixture(spark, sf_dir, "street_edges"), ["request_id"]))
+    return graph.ways(paths, paths.withColumn("target", F.col("node_id")), ["request_id"])
+
+
 def _loops(spark: SparkSession, sf_dir: str, strategies: tuple[str, ...]) -> DataFrame:
     r = fixture(spark, sf_dir, "loop_requests")
     nodes, edges = fixture(spark, sf_dir, "street_nodes"), fixture(spark, sf_dir, "street_edges")
@@ -430,7 +439,7 @@ def s6_stream_gpx(spark, sf_dir):
     files.repartition(6, "track_id").write.parquet(f"{folder}/in")
     arrivals = gpx_stream.table_stream(spark, f"{folder}/in", 4)
     gpx_stream.start(arrivals, f"{folder}/profiles", f"{folder}/rejects", f"{folder}/checkpoint").awaitTermination()
-    found = spark.read.parquet(f"{folder}/profiles").drop("batch")
+    found = gpx_stream.read_committed(spark, f"{folder}/profiles", f"{folder}/rejects")[0].drop("batch")
     return found.withColumn("track_id", F.split_part("track_id", F.lit("."), F.lit(1)).cast("long"))
 
 

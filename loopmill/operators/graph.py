@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,10 @@ from loopmill.functions.scratch import settle
 LEAST_NODES = 10
 #: Passes over rings of cells before points far from every node go on by descent.
 RINGS, FINER = 3, 4
+#: A box is covered by cells COARSER times as large until it is at most SIDE of them wide and high.
+SIDE, COARSER = 4, 4
+#: Steps along streets that one round of ``shortest_paths`` takes.
+HOPS = 12
 
 
 def _on_sphere(lat: str, lon: str) -> dict[str, Column]:
@@ -52,10 +57,19 @@ def _nearest_by_descent(points: DataFrame, nodes: DataFrame, finest: float) -> D
         front, size = kept.withColumnsRenamed({f"c{c}": f"p{c}" for c in "xyz"}), size / FINER
 
 
-def _best(pairs: DataFrame) -> DataFrame:
+def _best(pairs: DataFrame, by: tuple[str, ...] = ("lat", "lon")) -> DataFrame:
     distance = haversine_km(F.col("lat"), F.col("lon"), F.col("n_lat"), F.col("n_lon"))
-    best = pairs.groupBy("lat", "lon").agg(F.min(F.struct(distance.alias("distance_km"), F.col("node_id"))).alias("best"))
-    return best.select("lat", "lon", "best.node_id", "best.distance_km")
+    best = pairs.groupBy(*by).agg(F.min(F.struct(distance.alias("distance_km"), F.col("node_id"))).alias("best"))
+    return best.select(*by, "best.node_id", "best.distance_km")
+
+
+def _around(size: float) -> Column:
+    """The cube of a position and the 26 around it."""
+    return F.array(*(F.struct(*_cell(size, i, j, k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    return df.filter("NOT (lat IS NULL OR lon IS NULL OR isnan(lat) OR isnan(lon))")
 
 
 def nearest_node(points: DataFrame, nodes: DataFrame, keys: list[str], cell: float = 0.01) -> DataFrame:
@@ -66,13 +80,11 @@ def nearest_node(points: DataFrame, nodes: DataFrame, keys: list[str], cell: flo
     those still without a sure one by descent. Ties: smaller node id. Points or nodes without a coordinate are
     left out; repeated points have a row each, equal positions are searched once. Longitudes may wrap.
     """
-    there = lambda df: df.filter("NOT (lat IS NULL OR lon IS NULL OR isnan(lat) OR isnan(lon))")
-    asked = there(points.select(*keys, "lat", "lon"))
-    known = there(nodes.select("node_id", "lat", "lon")).withColumns(_on_sphere("lat", "lon")).withColumnsRenamed({"lat": "n_lat", "lon": "n_lon"})
+    asked = _placed(points.select(*keys, "lat", "lon"))
+    known = _placed(nodes.select("node_id", "lat", "lon")).withColumns(_on_sphere("lat", "lon")).withColumnsRenamed({"lat": "n_lat", "lon": "n_lon"})
     left, found, size = asked.select("lat", "lon").distinct().withColumns(_on_sphere("lat", "lon")), None, math.radians(cell)
     for _ in range(RINGS):
-        around = F.array(*(F.struct(*_cell(size, i, j, k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-        rings = left.withColumn("cell", F.explode(around)).select("lat", "lon", "cell.*")
+        rings = left.withColumn("cell", F.explode(_around(size))).select("lat", "lon", "cell.*")
         near = _best(rings.join(known.select("node_id", "n_lat", "n_lon", *_cell(size)), ["cx", "cy", "cz"]))
         # a chord is shorter than its arc: what is within one cube's width by arc is so by chord
         sure = settle(near.filter(F.col("distance_km") <= size * EARTH_RADIUS_KM))
@@ -86,6 +98,33 @@ def nearest_node(points: DataFrame, nodes: DataFrame, keys: list[str], cell: flo
     return asked.join(found, ["lat", "lon"]).select(*keys, "node_id", "distance_km")
 
 
+def nearest_in_box(points: DataFrame, boxes: DataFrame, nodes: DataFrame, keys: list[str], cell: float = 0.01) -> DataFrame:
+    """keys, node_id, distance_km: the nearest node of each point (keys with request_id, lat, lon) among those of its
+    request's box (``boxes`` from ``with_boxes``); none if the box has no node.
+
+    Points meet the nodes of the cubes around them, as in ``nearest_node``, and count those inside the box alone, so
+    what is read follows the nodes near the points. Points without a sure one after some wider cubes meet all
+    nodes of their own box. Ties: smaller node id.
+    """
+    by = (*keys, "lat", "lon")
+    here = _placed(points.select(*by)).join(boxes.select("request_id", *BOX), "request_id").withColumns(_on_sphere("lat", "lon"))
+    known = _placed(nodes.select("node_id", "lat", "lon")).withColumns(_on_sphere("lat", "lon")).withColumnsRenamed({"lat": "n_lat", "lon": "n_lon"})
+    left, found, size = here, None, math.radians(cell)
+    for _ in range(RINGS):
+        rings = left.withColumn("cell", F.explode(_around(size))).select(*by, *BOX, "cell.*")
+        near = _best(rings.join(known.select("node_id", "n_lat", "n_lon", *_cell(size)), ["cx", "cy", "cz"]).filter(_inside("n_lat", "n_lon")), by)
+        sure = settle(near.filter(F.col("distance_km") <= size * EARTH_RADIUS_KM))
+        found = sure if found is None else found.unionByName(sure)
+        left = settle(left.join(sure.select(*keys), keys, "left_anti"))
+        if left.isEmpty():
+            return found.select(*keys, "node_id", "distance_km")
+        size *= FINER
+    rest = boxes.join(left.select("request_id").distinct(), "request_id", "left_semi")
+    own = nodes_in_boxes(rest, nodes).withColumnsRenamed({"lat": "n_lat", "lon": "n_lon"})
+    far = _best(left.select(*by).join(own, "request_id"), by)
+    return found.unionByName(far).select(*keys, "node_id", "distance_km")
+
+
 def node_at_bearing(points: DataFrame, nodes: DataFrame, keys: list[str], bearing: Column, distance_m: Column, start: str, cell: float = 0.01) -> DataFrame:
     """keys, node_id nearest to the place at a bearing and distance; none if that is the node in ``start``."""
     lat, lon = destination(F.col("lat"), F.col("lon"), bearing, distance_m)
@@ -93,52 +132,189 @@ def node_at_bearing(points: DataFrame, nodes: DataFrame, keys: list[str], bearin
     return found.join(points.select(*keys, start), keys).filter(F.col("node_id") != F.col(start)).select(*keys, "node_id")
 
 
-def subgraph(requests: DataFrame, nodes: DataFrame, edges: DataFrame, cell: float = 0.02) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, rejects) of each request (request_id, lat, lon, radius_m): what lies in its square box.
+#: Columns of a box: south and north, west and east (east may pass 180 degrees), and whether it goes round the pole.
+BOX = ("s", "n", "w", "e", "ring")
+NO_NODES, FEW_NODES = "No road network data available", "Not enough road network data in this area"
+
 
-    Boxes are spread over grid cells and meet nodes by equal cells, then by exact bounds. Requests with fewer
-    than ten nodes are rejected with a reason.
+def with_boxes(requests: DataFrame) -> DataFrame:
+    """``requests`` (request_id, lat, lon, radius_m) with the square box around each, as columns BOX.
+
+    A box that passes a pole, or is 360 degrees wide, holds all longitudes of its latitudes. Requests without a
+    place or radius have no row.
     """
     half_lat = F.col("radius_m") / METRES_PER_DEGREE
     half_lon = F.col("radius_m") / (F.lit(METRES_PER_DEGREE) * F.cos(F.radians("lat")))
-    boxes = requests.select("request_id", (F.col("lat") - half_lat).alias("s"), (F.col("lat") + half_lat).alias("n"), (F.col("lon") - half_lon).alias("w"), (F.col("lon") + half_lon).alias("e"))
-    low = lambda c: F.floor(F.col(c) / cell)
-    cells = boxes.withColumn("cy", F.explode(F.sequence(low("s"), low("n")))).withColumn("cx", F.explode(F.sequence(low("w"), low("e"))))
-    placed = nodes.select("node_id", "lat", "lon", F.floor(F.col("lat") / cell).alias("cy"), F.floor(F.col("lon") / cell).alias("cx"))
-    inside = settle(cells.join(placed, ["cy", "cx"]).filter("lat BETWEEN s AND n AND lon BETWEEN w AND e").select("request_id", "node_id", "lat", "lon"))
+    known = _placed(requests).filter("radius_m >= 0 AND NOT isnan(radius_m)")
+    south, north = F.col("lat") - half_lat, F.col("lat") + half_lat
+    ring = (half_lon >= 180) | (half_lon < 0) | (south <= -90) | (north >= 90)
+    return known.withColumns({"s": F.greatest(south, F.lit(-90.0)), "n": F.least(north, F.lit(90.0)), "w": F.col("lon") - half_lon, "e": F.col("lon") + half_lon, "ring": ring})
+
+
+def _inside(lat: str, lon: str) -> Column:
+    """Whether a position is in the box of its row; longitudes count modulo 360."""
+    turned = [F.col(lon).between(F.col("w") + turn, F.col("e") + turn) for turn in (0, 360, -360)]
+    return F.col(lat).between(F.col("s"), F.col("n")) & (F.col("ring") | turned[0] | turned[1] | turned[2])
+
+
+def _turned(lon: Column) -> Column:
+    """A longitude from -180 on, below 180."""
+    return F.pmod(lon + 180, F.lit(360.0)) - 180
+
+
+def _by_cells(boxes: DataFrame, nodes: DataFrame, cell: float) -> DataFrame:
+    """Boxes (columns ``box``, BOX) joined with the nodes in them: box, node_id, lat, lon.
+
+    A box takes cells of such a size (``cell`` degrees times a power of COARSER) that it covers a few, however large
+    it is; nodes stand on the cells of each size in use. Cells of a size are counted round the parallel.
+    """
+    deep = F.ceil(F.log(F.greatest((F.col("n") - F.col("s")) / (SIDE * cell), F.when(F.col("ring"), 0.0).otherwise((F.col("e") - F.col("w")) / (SIDE * cell)), F.lit(1.0))) / math.log(COARSER))
+    sized = boxes.select("box", *BOX, deep.cast("int").alias("level")).withColumn("size", cell * F.pow(F.lit(float(COARSER)), "level"))
+    low = lambda c: F.floor(c / F.col("size"))
+    rows = F.sequence(low(F.col("s")), low(F.col("n")))
+    # a ring of latitude is one cell wide; elsewhere columns start at the west end and are counted modulo the parallel
+    around = F.ceil(F.lit(360.0) / F.col("size"))
+    start = F.floor((_turned(F.col("w")) + 180) / F.col("size"))
+    wide = F.ceil((F.col("e") - F.col("w")) / F.col("size"))
+    columns = F.when(F.col("ring"), F.array(F.lit(-1).cast("long"))).otherwise(F.array_distinct(F.transform(F.sequence(start, start + wide + 1), lambda x: F.pmod(x, around))))
+    cells = sized.withColumn("cy", F.explode(rows)).withColumn("cx", F.explode(columns))
+    # a few numbers, whatever the boxes: levels are logarithms of sizes
+    levels = sorted((r.level, r.ring) for r in sized.select("level", "ring").distinct().collect())
+    none = F.array().cast("array<struct<level:int,cy:bigint,cx:bigint>>")
+    places = []
+    for level, ring in levels:
+        size = cell * float(COARSER) ** level
+        column = F.lit(-1).cast("long") if ring else F.pmod(F.floor((_turned(F.col("lon")) + 180) / size), F.ceil(F.lit(360.0) / size))
+        places.append(F.struct(F.lit(level).alias("level"), F.floor(F.col("lat") / size).alias("cy"), column.alias("cx")))
+    at = F.array(*places) if places else none
+    placed = _placed(nodes.select("node_id", "lat", "lon")).withColumn("at", F.explode(at)).select("node_id", "lat", "lon", "at.*")
+    return cells.join(placed, ["level", "cy", "cx"]).filter(_inside("lat", "lon")).select("box", "node_id", "lat", "lon")
+
+
+def nodes_in_boxes(boxes: DataFrame, nodes: DataFrame, cell: float = 0.02) -> DataFrame:
+    """request_id, node_id, lat, lon of all nodes in each request's box (``boxes`` from ``with_boxes``)."""
+    found = _by_cells(boxes.select(F.col("request_id").alias("box"), *BOX), nodes, cell)
+    return found.withColumnRenamed("box", "request_id")
+
+
+def too_few(nodes: str) -> Column:
+    """Why a network of so many nodes is none; null if it is large enough."""
+    return F.when(F.col(nodes) == 0, NO_NODES).when(F.col(nodes) < LEAST_NODES, FEW_NODES)
+
+
+def subgraph(requests: DataFrame, nodes: DataFrame, edges: DataFrame, cell: float = 0.02) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, rejects) of each request (request_id, lat, lon, radius_m): what lies in its square box.
+
+    Boxes meet nodes by cells in keeping with their size, then by exact bounds, so a box may be of any size, lie across
+    180 degrees or hold a pole. Requests with fewer than ten nodes are rejected with a reason, those without a place
+    too.
+    """
+    inside = settle(nodes_in_boxes(with_boxes(requests), nodes, cell))
     counts = requests.select("request_id").join(inside.groupBy("request_id").agg(F.count("*").alias("nodes")), "request_id", "left").withColumn("nodes", F.coalesce("nodes", F.lit(0)))
-    reason = F.when(F.col("nodes") == 0, "No road network data available").when(F.col("nodes") < LEAST_NODES, "Not enough road network data in this area")
-    judged = settle(counts.select("request_id", reason.alias("reason")))
+    judged = settle(counts.select("request_id", too_few("nodes").alias("reason")))
     kept = inside.join(judged.filter("reason IS NULL").select("request_id"), "request_id", "left_semi")
     ends = kept.select("request_id", "node_id")
     within = edges.join(ends.withColumnRenamed("node_id", "u"), "u").join(ends.withColumnRenamed("node_id", "v"), ["request_id", "v"], "left_semi")
     return kept, within.select("request_id", "u", "v", "key", "length"), judged.filter("reason IS NOT NULL")
 
 
-def shortest_paths(sources: DataFrame, edges: DataFrame, keys: list[str], max_m: float | None = None, most_rounds: int = 10_000) -> DataFrame:
+def _spread(state: DataFrame, out: DataFrame, by: list[str], shared: list[str], bound: float, max_m: float | None) -> DataFrame:
+    """One step: nodes that are new and nearer than ``bound`` offer ways to their neighbours, each node keeps its best.
+
+    Of equal lengths what stands stays; settled nodes take no offer, as theirs is shorter.
+    """
+    keys = [k for k in by if k not in ("source", "node_id")]
+    met = state.join(out.withColumnRenamed("u", "node_id"), [*shared, "node_id"], "left")
+    goes = (F.col("new") == 1) & (F.col("dist") < bound)
+    offer = F.transform("to", lambda t: F.struct(t["v"].alias("node_id"), (F.col("dist") + t["length"]).alias("dist"), F.lit(1).alias("new"), F.col("node_id").alias("before"), F.lit(False).alias("done")))
+    if max_m is not None:
+        offer = F.filter(offer, lambda t: t["dist"] <= max_m)
+    # after its offers a node is new no more
+    own = F.array(F.struct("node_id", "dist", F.when(goes, 0).otherwise(F.col("new")).alias("new"), "before", "done"))
+    rows = F.when(goes & F.col("to").isNotNull(), F.concat(own, offer)).otherwise(own)
+    spread = met.select(*keys, "source", F.explode(rows).alias("x")).select(*keys, "source", "x.*")
+    best = spread.groupBy(*by).agg(F.min(F.struct("dist", "new", "before", "done")).alias("x"))
+    return best.select(*by, "x.*")
+
+
+def shortest_paths(sources: DataFrame, edges: DataFrame, keys: list[str], max_m: float | None = None, hops: int = HOPS, most_rounds: int = 10_000) -> DataFrame:
     """keys, source, node_id, dist, before: least total length from each source (keys, source) over directed edges.
 
-    The lightest of parallel edges is used. Each round relaxes the edges of the nodes that came nearer in the
-    round before and writes the result; it ends when none does. ``edges`` may have the keys or be shared.
+    The lightest of parallel edges is used; lengths must not be negative. Lengths from the sources are cut into
+    buckets of about ``hops`` streets. A round takes the nodes of the nearest bucket with open ones through ``hops``
+    steps in one job; what is settled is written and met again only to drop offers to it, so that rounds are some for
+    each bucket, not one for each street, and carry the rim of what is reached. ``before`` is the node before on a
+    least way: of several the one nearest to the source, then the smallest id. ``edges`` may have the keys or be shared.
+    Rows without a node or length lead nowhere; sources that are null or have a null key have no row.
     """
-    shared = [k for k in keys if k in edges.columns]
-    light = settle(edges.groupBy(*shared, "u", "v").agg(F.min("length").alias("length")))
-    best = settle(sources.select(*keys, "source", F.col("source").alias("node_id"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("before")))
-    front, by = best, [*keys, "source", "node_id"]
+    shared, by = [k for k in keys if k in edges.columns], [*keys, "source", "node_id"]
+    light = settle(edges.filter("length IS NOT NULL AND NOT isnan(length)").groupBy(*shared, "u", "v").agg(F.min("length").alias("length")))
+    sized = light.agg(F.avg("length").alias("mean"), F.max("length").alias("most"), F.min("length").alias("least")).first()
+    if sized.least is not None and sized.least < 0:
+        raise ValueError("lengths must not be negative")
+    width, reach = max((sized.mean or 0.0) * hops * 0.75, 1e-9), sized.most or 0.0
+    out = settle(light.filter("u <> v").groupBy(*shared, "u").agg(F.collect_list(F.struct("v", "length")).alias("to")))
+    start = sources.select(*keys, "source").dropna().distinct()
+    state = settle(start.select(*keys, "source", F.col("source").alias("node_id"), F.lit(0.0).alias("dist"), F.lit(1).alias("new"), F.lit(None).cast(edges.schema["u"].dataType).alias("before"), F.lit(False).alias("done")))
+    settled, bound = [], width
     for _ in range(most_rounds):
-        step = front.withColumnRenamed("node_id", "u").drop("before").join(light, [*shared, "u"]).withColumn("new", F.col("dist") + F.col("length"))
-        if max_m is not None:
-            step = step.filter(F.col("new") <= max_m)
-        near = step.groupBy(*keys, "source", F.col("v").alias("node_id")).agg(F.min(F.struct(F.col("new").alias("dist"), F.col("u").alias("before"))).alias("x"))
-        offers = near.select(*by, F.col("x.dist").alias("new_dist"), F.col("x.before").alias("new_before"))
-        merged = best.join(offers, by, "full")
-        better = F.col("dist").isNull() | (F.col("new_dist") < F.col("dist"))
-        moved = F.coalesce(better & F.col("new_dist").isNotNull(), F.lit(False))
-        merged = settle(merged.select(*by, F.when(moved, F.col("new_dist")).otherwise(F.col("dist")).alias("dist"), F.when(moved, F.col("new_before")).otherwise(F.col("before")).alias("before"), moved.alias("moved")))
-        best, front = merged.drop("moved"), merged.filter("moved").drop("moved")
-        if front.isEmpty():
-            return best
-    raise RuntimeError("shortest paths did not settle")
+        front = state.filter("NOT done").agg(F.min("dist").alias("low"), F.min(F.when((F.col("new") == 1) & (F.col("dist") < bound), F.col("dist"))).alias("open")).first()
+        if front.low is None and front.open is None:
+            break
+        if front.open is None:  # the bucket is settled
+            closed = state.filter(~F.col("done") & (F.col("dist") < bound))
+            settled.append(closed.select(*by, "dist", "before"))
+            # its rim stays for a while to take offers back
+            rim = closed.filter(F.col("dist") >= bound - width - reach).withColumn("done", F.lit(True))
+            ahead = state.filter(~F.col("done") & (F.col("dist") >= bound))
+            low = ahead.agg(F.min("dist").alias("low")).first().low
+            if low is None:
+                break
+            state, bound = ahead.unionByName(rim), low + width
+        step = state
+        for _ in range(hops):
+            step = _spread(step, out, by, shared, bound, max_m)
+        # offers to nodes settled long ago, over streets that lead back
+        if len(settled) > 1:
+            step = step.join(reduce(DataFrame.unionByName, settled[:-1]).select(*by), by, "left_anti")
+        state = settle(step)
+    else:
+        raise RuntimeError("shortest paths did not settle")
+    if not settled:  # no source
+        return state.select(*by, "dist", "before")
+    return _with_least_before(settle(reduce(DataFrame.unionByName, settled)), light, by, shared)
+
+
+def _with_least_before(found: DataFrame, light: DataFrame, by: list[str], shared: list[str]) -> DataFrame:
+    """``before`` chosen among all least ways, alike however the search went; over streets of no length it stays."""
+    group = [*by[:-1], "v"]
+    here = found.select(*by[:-1], F.col("node_id").alias("u"), F.col("dist").alias("dist_u"))
+    tight = here.join(light, [*shared, "u"]).join(found.select(*by[:-1], F.col("node_id").alias("v"), "dist"), group)
+    tight = tight.filter((F.col("dist_u") + F.col("length") == F.col("dist")) & (F.col("dist_u") < F.col("dist")))
+    least = tight.groupBy(*group).agg(F.min(F.struct("dist_u", "u")).alias("x")).select(*by[:-1], F.col("v").alias("node_id"), F.col("x.u").alias("least"))
+    return found.join(least, by, "left").select(*by, "dist", F.coalesce("least", "before").alias("before"))
+
+
+def ways(paths: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, source, target, seq, node_id: the nodes of the least way to each target (keys, source, target), in order.
+
+    ``paths`` is from ``shortest_paths``. Pointers over ``before`` are doubled until none is left; then each way is
+    filled from its end by halves, so there are as many joins as the longest way's number has bits, whatever the ways.
+    A target that is not reached has no row; the source itself is a way of one node.
+    """
+    by = [*keys, "source"]
+    jump = settle(paths.filter("before IS NOT NULL").select(*by, "node_id", F.col("before").alias("to")))
+    jumps = []
+    while not jump.isEmpty():
+        jumps.append(jump)
+        jump = settle(jump.join(jump.select(*by, F.col("node_id").alias("to"), F.col("to").alias("far")), [*by, "to"]).select(*by, "node_id", F.col("far").alias("to")))
+    rows = targets.select(*by, "target").distinct().withColumn("node_id", F.col("target")).join(paths.select(*by, "node_id"), [*by, "node_id"], "left_semi").withColumn("back", F.lit(0).cast("long"))
+    rows = rows.select(*by, "target", "back", "node_id")
+    for k in reversed(range(len(jumps))):
+        further = rows.join(jumps[k], [*by, "node_id"]).select(*by, "target", (F.col("back") + (1 << k)).alias("back"), F.col("to").alias("node_id"))
+        rows = settle(rows.unionByName(further))
+    longest = Window.partitionBy(*by, "target")
+    return rows.select(*by, "target", (F.max("back").over(longest) - F.col("back")).alias("seq"), "node_id")
 
 
 def validate_routes(routes: DataFrame, edges: DataFrame, nodes: DataFrame, keys: list[str], bounds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -158,22 +334,55 @@ def validate_routes(routes: DataFrame, edges: DataFrame, nodes: DataFrame, keys:
     return lengths, kept.join(nodes.select("node_id", "lat", "lon").distinct(), "node_id").select(*keys, "seq", "node_id", "lat", "lon")
 
 
-def dedupe_routes(members: DataFrame, threshold: float = 0.8) -> DataFrame:
+def similar_routes(members: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(routes, pairs): request_id, route_no of routes with different coordinates, the first of equal ones, and
+    request_id, a, b (a < b) of those whose sets of coordinates have a Jaccard similarity above ``threshold``.
+
+    A similar pair shares one of the first coordinates of each, ordered by how many routes of the request have
+    them (prefix filter), so what all routes pass, such as the start, is no key. Pairs are then counted on whole sets.
+    """
+    cells = members.select("request_id", "route_no", F.xxhash64("lat", "lon").alias("place")).distinct()
+    common = cells.groupBy("request_id", "place").agg(F.count("*").alias("routes"))
+    ranked = cells.join(common, ["request_id", "place"])
+    sets = ranked.groupBy("request_id", "route_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("routes", "place"))), lambda x: x["place"]).alias("places"))
+    routes = settle(sets.groupBy("request_id", "places").agg(F.min("route_no").alias("route_no")))
+    n = F.size("places")
+    shown = n - F.ceil(n * threshold).cast("int") + 1
+    keyed = routes.select("request_id", "route_no", n.alias("n"), F.explode(F.slice("places", F.lit(1), F.least(shown, n))).alias("place"))
+    one, two = keyed.withColumnsRenamed({"route_no": "a", "n": "na"}), keyed.withColumnsRenamed({"route_no": "b", "n": "nb"})
+    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") > threshold * F.greatest("na", "nb"))
+    pairs = one.join(two, ["request_id", "place"]).filter(near).select("request_id", "a", "b").distinct()
+    own = lambda side: routes.select("request_id", F.col("route_no").alias(side), F.col("places").alias(f"places_{side}"))
+    both = pairs.join(own("a"), ["request_id", "a"]).join(own("b"), ["request_id", "b"])
+    shared = F.size(F.array_intersect("places_a", "places_b"))
+    alike = shared / (F.size("places_a") + F.size("places_b") - shared) > threshold
+    return routes.select("request_id", "route_no"), both.filter(alike).select("request_id", "a", "b")
+
+
+def dedupe_routes(members: DataFrame, threshold: float = 0.8, most_rounds: int = 10_000) -> DataFrame:
     """request_id, route_no of the routes that stay: in order, each unlike all earlier ones that stayed.
 
-    ``members`` has request_id, route_no, lat, lon. Routes are alike when their sets of coordinates have a
-    Jaccard similarity above ``threshold``. Only pairs that share a coordinate and are near in size are counted.
-    The greedy choice folds a request's few routes in order.
+    ``members`` has request_id, route_no, lat, lon. Routes are alike as by ``similar_routes``; equal ones share their
+    fate with the first. The choice goes in rounds over all requests at once: what has no earlier route like it
+    stays, what is like one that stayed goes, the rest waits; so a request may have any number of routes. Rounds are as
+    many as the longest chain of routes that each wait for the one before. A null request is one group.
     """
-    cells = members.select("request_id", "route_no", "lat", "lon").distinct()
-    sizes = cells.groupBy("request_id", "route_no").agg(F.count("*").alias("n"))
-    sized = cells.join(sizes, ["request_id", "route_no"])
-    a = sized.select("request_id", "lat", "lon", F.col("route_no").alias("a"), F.col("n").alias("na"))
-    b = sized.select("request_id", "lat", "lon", F.col("route_no").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, ["request_id", "lat", "lon"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") > threshold * F.greatest("na", "nb")))
-    both = pairs.groupBy("request_id", "a", "b", "na", "nb").agg(F.count("*").alias("i"))
-    alike = both.filter(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")) > threshold).groupBy("request_id", F.col("b").alias("route_no")).agg(F.collect_list("a").alias("earlier"))
-    routes = sizes.join(alike, ["request_id", "route_no"], "left").withColumn("earlier", F.coalesce("earlier", F.array().cast("array<bigint>")))
-    listed = routes.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("route_no", "earlier"))).alias("routes"))
-    kept = F.aggregate("routes", F.array().cast("array<bigint>"), lambda kept, r: F.when(F.arrays_overlap(kept, r["earlier"]), kept).otherwise(F.array_append(kept, r["route_no"])))
-    return listed.select("request_id", F.explode(kept).alias("route_no"))
+    named = members.select(F.struct("request_id").alias("request_id"), "route_no", "lat", "lon")  # a struct of null is no null
+    routes, pairs = similar_routes(named, threshold)
+    pairs = settle(pairs)
+    gone = None
+    for _ in range(most_rounds):
+        if pairs.isEmpty():
+            break
+        late = pairs.select("request_id", F.col("b").alias("a")).distinct()
+        # of the waiting ones, those like a route that no other holds back
+        dropped = settle(pairs.join(late, ["request_id", "a"], "left_anti").select("request_id", F.col("b").alias("route_no")).distinct())
+        gone = dropped if gone is None else gone.unionByName(dropped)
+        rest = pairs
+        for side in "ab":
+            rest = rest.join(dropped.withColumnRenamed("route_no", side), ["request_id", side], "left_anti")
+        pairs = settle(rest)
+    else:
+        raise RuntimeError("routes were not decided")
+    kept = routes if gone is None else routes.join(gone, ["request_id", "route_no"], "left_anti")
+    return kept.select("request_id.request_id", "route_no")

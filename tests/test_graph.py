@@ -1,5 +1,9 @@
 """Graph, ranking, place and GPX operators on hand-made inputs."""
 
+import heapq
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +24,151 @@ def test_unreachable_and_parallel_edges(spark):
     assert {r.node_id for r in graph.shortest_paths(sources, edges, KEY, max_m=4.0).collect()} == {1, 2}
 
 
+def dijkstra(edges, source):
+    """(dist, before): of several least ways the one over the node nearest to the source, then of smallest id."""
+    out = {}
+    for u, v, _, length in edges:
+        out.setdefault(u, {})
+        out[u][v] = min(length, out[u].get(v, math.inf))
+    dist, before, heap, done = {source: 0.0}, {source: None}, [(0.0, source)], set()
+    while heap:
+        d, u = heapq.heappop(heap)
+        if u not in done:
+            done.add(u)
+            for v, length in out.get(u, {}).items():
+                if d + length < dist.get(v, math.inf):
+                    dist[v], before[v] = d + length, u
+                    heapq.heappush(heap, (d + length, v))
+    return dist, before
+
+
+def lattice(n, seed=1, step=1):
+    draw = random.Random(seed)
+    edges = []
+    for i in range(n):
+        for j in range(n):
+            for di, dj in ((0, 1), (1, 0)):
+                if i + di < n and j + dj < n:
+                    u, v, length = i * n + j, (i + di) * n + j + dj, float(80 + step * draw.randrange(50 // step))
+                    edges += [(u, v, 0, length), (v, u, 0, length)][: 1 if draw.random() < 0.06 else 2]
+    return edges
+
+
+@pytest.mark.parametrize("hops,seed,step", [(12, 1, 1), (5, 2, 25)])
+def test_rounds_take_many_streets_and_ways_are_dijkstras(spark, hops, seed, step):
+    """A lattice of 18 x 18 nodes, with few different lengths (many equal ways) and a street back across all of it."""
+    n = 18
+    edges = [*lattice(n, seed, step), (n * n - 1, 1, 0, 10.0), (n * n - 1, n * n + 5, 0, 0.0), (n * n + 5, n * n - 1, 0, 0.0)]
+    table = spark.createDataFrame(edges, "u long, v long, key long, length double")
+    sources = spark.createDataFrame([(1, 0), (2, n + 3), (2, 10**6), (None, 0)], "request_id long, source long")
+    paths = graph.shortest_paths(sources, table, KEY, hops=hops, most_rounds=2 * 36 // hops + 4).cache()
+    got = {(r.request_id, r.source, r.node_id): (r.dist, r.before) for r in paths.collect() if r.request_id}
+    want = {}
+    for key, source in ((1, 0), (2, n + 3), (2, 10**6)):
+        dist, before = dijkstra(edges, source)
+        want |= {(key, source, v): (dist[v], before[v]) for v in dist}
+    assert got == want
+    targets = spark.createDataFrame([(1, 0, n * n - 1), (1, 0, 0), (2, n + 3, 7), (1, 0, n * n + 5), (1, 0, -4)], "request_id long, source long, target long")
+    made = {}
+    for r in graph.ways(paths, targets, KEY).orderBy("request_id", "target", "seq").collect():
+        made.setdefault((r.request_id, r.source, r.target), []).append(r.node_id)
+    plain = {}
+    for key, source, target in ((1, 0, n * n - 1), (1, 0, 0), (2, n + 3, 7), (1, 0, n * n + 5)):
+        way = [target]
+        while want[(key, source, way[-1])][1] is not None:
+            way.append(want[(key, source, way[-1])][1])
+        plain[(key, source, target)] = way[::-1]
+    assert made == plain
+
+
+def test_paths_of_nothing(spark):
+    edges = spark.createDataFrame([], "u long, v long, key long, length double")
+    none = spark.createDataFrame([], "request_id long, source long")
+    assert graph.shortest_paths(none, edges, KEY).count() == 0
+    one = spark.createDataFrame([(1, 5)], "request_id long, source long")
+    assert [tuple(r) for r in graph.shortest_paths(one, edges, KEY).collect()] == [(1, 5, 5, 0.0, None)]
+    with pytest.raises(ValueError):
+        graph.shortest_paths(one, spark.createDataFrame([(5, 6, 0, -1.0)], edges.schema), KEY)
+
+
+def box_of(lat, lon, radius):
+    """Whether a place is in the box, stated plainly."""
+    half = radius / 111320.0
+    flat = math.cos(math.radians(lat))
+    wide = half / flat if flat > 1e-12 else math.inf
+
+    def holds(a, b):
+        if not lat - half <= a <= lat + half:
+            return False
+        return wide >= 180 or lat + half >= 90 or lat - half <= -90 or any(lon - wide <= b + t <= lon + wide for t in (0, 360, -360))
+
+    return holds
+
+
+def test_boxes_at_the_seam_the_poles_and_of_any_size(spark):
+    draw = random.Random(3)
+    nodes = [(i, draw.uniform(-90, 90), draw.uniform(-180, 180)) for i in range(1500)]
+    nodes += [(2000 + 9 * i + j, 10 + 0.002 * i, (179.992 + 0.002 * j + 180) % 360 - 180) for i in range(9) for j in range(9)]
+    nodes += [(3000 + i, 89.99, -180 + 18.0 * i) for i in range(20)] + [(4000, None, 1.0), (4001, 1.0, float("nan")), (4002, -90.0, 0.0), (4003, 10.0, 180.0)]
+    requests = [(1, 10.008, 180.0, 1500.0), (2, 10.008, -179.999, 1500.0), (3, 90.0, 0.0, 2000.0), (4, -90.0, 7.0, 5e6), (5, 20.0, 170.0, 5e6), (6, 0.0, 0.0, 5e9), (7, 89.995, 100.0, 3000.0), (8, 45.0, -100.0, 9e5)]
+    requests += [(9, None, 1.0, 5.0), (10, 1.0, 1.0, None), (11, -60.0, 0.0, 1.0)]
+    asked = spark.createDataFrame(requests, "request_id long, lat double, lon double, radius_m double")
+    known = spark.createDataFrame(nodes, "node_id long, lat double, lon double")
+    got = {}
+    for r in graph.nodes_in_boxes(graph.with_boxes(asked), known).collect():
+        got.setdefault(r.request_id, []).append(r.node_id)
+    for key, lat, lon, radius in requests[:8]:
+        holds = box_of(lat, lon, radius)
+        assert sorted(got[key]) == [i for i, a, b in nodes if a is not None and b == b and holds(a, b)], key
+    assert len([i for i in got[1] if 2000 <= i < 2100]) == 81 and len(got[6]) == len(nodes) - 2 and not {9, 10, 11} & set(got)
+    edges = spark.createDataFrame([(2000, 2001, 0, 5.0), (2001, 1, 0, 5.0)], "u long, v long, key long, length double")
+    own, within, rejects = graph.subgraph(asked, known, edges)
+    assert {r.request_id: r.reason for r in rejects.collect()} == {8: graph.FEW_NODES, 9: graph.NO_NODES, 10: graph.NO_NODES, 11: graph.NO_NODES}
+    assert {(r.request_id, r.u) for r in within.collect()} >= {(1, 2000), (2, 2000), (6, 2000), (6, 2001)}
+
+
+def test_nearest_in_the_own_box(spark):
+    draw = random.Random(8)
+    nodes = [(i, draw.uniform(42, 42.2), draw.uniform(-71.2, -71)) for i in range(300)] + [(900, 60.0, 179.99)]
+    boxes = [(1, 42.1, -71.1, 4000.0), (2, 42.02, -71.02, 9000.0), (3, 60.0, -179.9, 20000.0), (4, 0.0, 0.0, 100.0)]
+    points = [(k, p, draw.uniform(a - 0.1, a + 0.1), draw.uniform(b - 0.1, b + 0.1)) for k, a, b, _ in boxes for p in range(6)] + [(1, 9, None, 0.0)]
+    asked = graph.with_boxes(spark.createDataFrame(boxes, "request_id long, lat double, lon double, radius_m double"))
+    rows = spark.createDataFrame(points, "request_id long, place long, lat double, lon double")
+    got = {(r.request_id, r.place): r.node_id for r in graph.nearest_in_box(rows, asked, spark.createDataFrame(nodes, "node_id long, lat double, lon double"), ["request_id", "place"], 0.001).collect()}
+    far = lambda a, b, c, d: math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+    want = {}
+    for k, lat, lon, radius in boxes:
+        own = [n for n in nodes if box_of(lat, lon, radius)(n[1], n[2])]
+        want |= {(k, p): min(own, key=lambda n: (far(a, b, n[1], n[2]), n[0]))[0] for q, p, a, b in points if q == k and a is not None and own}
+    assert got == want and {k for k, _ in want} == {1, 2, 3}
+
+
+def test_any_number_of_routes_is_decided(spark):
+    """A request of 2,000 routes that all pass the start, with equal ones, and chains; others beside it are folded plainly."""
+    draw = random.Random(4)
+    routes = {}
+    for k in range(3):
+        base = [{(0, 0)} | {(draw.randrange(40), draw.randrange(40)) for _ in range(draw.choice([12, 30]))} for _ in range(4 + 2 * k)]
+        for no in range(60):
+            own = set(draw.choice(base))
+            for _ in range(draw.randrange(4)):
+                own ^= {(draw.randrange(40), draw.randrange(40))}
+            routes[(k, no)] = own or {(0, 0)}
+    routes |= {(None, no): {(0, no % 2)} for no in range(5)}
+    routes |= {(9, no): {(0, 0), (1, no % 1500), (2, no % 1500), (3, no % 1500)} for no in range(2000)}
+    members = spark.createDataFrame([(k, no, float(x), float(y)) for (k, no), s in routes.items() for x, y in s], "request_id long, route_no long, lat double, lon double")
+    got = sorted(((r.request_id is None, r.request_id or 0, r.route_no) for r in graph.dedupe_routes(members).collect()))
+    want = [(True, 0, 0), (True, 0, 1)] + [(False, 9, no) for no in range(1500)]
+    for k in range(3):
+        kept = []
+        for no in range(60):
+            s = routes[(k, no)]
+            if all(len(s & routes[(k, o)]) / len(s | routes[(k, o)]) <= 0.8 for o in kept):
+                kept.append(no)
+        want += [(False, k, no) for no in kept]
+    assert got == sorted(want)
+
+
 def test_route_length_takes_the_first_parallel_edge(spark):
     edges = spark.createDataFrame([(1, 2, 0, 900.0), (1, 2, 1, 4.0)], "u long, v long, key long, length double")
     nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.1)], "node_id long, lat double, lon double")
@@ -172,6 +321,33 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r.track_id.rpartition("/")[2] for r in bad.filter(F.col("reason") == gpx.BROKEN).collect()} == {"b.gpx", "e.gpx", "f.gpx"}
 
 
+def test_stream_leaves_no_scratch_and_no_half_batch(spark, tmp_path):
+    """Many batches leave outputs alone; a batch that died between its two tables is not read."""
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "loopmill"
+    before = set(shared.glob("*")) if shared.exists() else set()
+    base = spark.createDataFrame(FILES, "track_id string, content string")
+    out = [str(tmp_path / n) for n in ("p", "r")]
+    assert gpx_stream.read_committed(spark, *out) is None
+    for number in range(5):
+        gpx_stream.write_batch(base, number, *out)
+    assert (set(shared.glob("*")) if shared.exists() else set()) == before
+    gpx_stream.write_batch(base, 2, *out)  # runs again
+    half = spark.createDataFrame([("lost.gpx", 1.0, 0.0, 0.0, 0.0, 0.0)], spark.read.parquet(f"{out[0]}/batch=0").schema)
+    half.write.parquet(f"{out[0]}/batch=9")
+    profiles_, rejects_ = gpx_stream.read_committed(spark, *out)
+    assert sorted(r.batch for r in profiles_.collect()) == [0, 1, 2, 3, 4] and rejects_.count() == 20
+    assert profiles_.filter("track_id = 'lost.gpx'").count() == 0
+
+
+def test_a_place_without_importance_comes_last(spark):
+    rows = [(1, "Town", 1.0, 1.0, None), (2, "town ", 2.0, 2.0, 0.9), (3, "Town", 3.0, 3.0, float("nan")), (4, "Else", 4.0, 4.0, None)]
+    known = spark.createDataFrame(rows, "place_id long, name string, lat double, lon double, importance double")
+    found, missed = places.geocode(spark.createDataFrame([(1, " TOWN"), (2, "else"), (3, None)], "request_id long, location string"), known)
+    assert {r.request_id: r.place_id for r in found.collect()} == {1: 2, 2: 4} and missed.count() == 1
+
+
 def test_write_results(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0), (2, 0)], "request_id long, route_no long")
     ranking.write_results(rows, str(tmp_path / "out"), 4)
