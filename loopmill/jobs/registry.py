@@ -321,8 +321,7 @@ def _loops(spark: SparkSession, sf_dir: str, strategies: tuple[str, ...]) -> Dat
     r = fixture(spark, sf_dir, "loop_requests")
     nodes, edges = fixture(spark, sf_dir, "street_nodes"), fixture(spark, sf_dir, "street_edges")
     asked = r.select("request_id", "lat", "lon", "target_distance_km", geo.search_bounds(F.col("target_distance_km"))["radius_m"].alias("radius_m"))
-    own_nodes, own_edges, _ = graph.subgraph(asked, nodes, edges)
-    return candidates.generate(candidates.with_starts(asked, own_nodes), own_nodes, own_edges, strategies)
+    return candidates.loops(asked, nodes, edges, strategies)[0]
 
 
 @query

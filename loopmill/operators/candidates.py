@@ -1,4 +1,8 @@
-"""Candidate loops for many requests at once: stops are drawn and placed by joins, ways between them found by request.
+"""Candidate loops for many requests at once, on networks that requests of one place share.
+
+Requests near each other, with like radii, form a group: its network is read and packed once, and slices of its
+requests meet it. A request uses what lies in its own box alone. Starts and stops are placed by joins over cells; ways
+between stops come from a helper that holds one network, or, for networks beyond a bound, from joins alone.
 
 All draws are digests of (seed, request, strategy, attempt, draw), so that a task that runs again draws alike.
 """
@@ -7,14 +11,16 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loopmill.functions.geo import destination, haversine_km, search_bounds
+from loopmill.functions.geo import METRES_PER_DEGREE, destination, search_bounds
 from loopmill.functions.scratch import settle
-from loopmill.operators.graph import dedupe_routes, subgraph, validate_routes
+from loopmill.operators import graph
+from loopmill.operators.graph import BOX, dedupe_routes, nearest_in_box, nodes_in_boxes, subgraph, too_few, validate_routes, with_boxes
 
 # Bearings of each strategy, attempts, stops, and routes kept before similar ones go.
 LOOP_BEARINGS, LOOP_SPREAD = (0, 90, 180, 270), 45
@@ -25,7 +31,13 @@ STRATEGIES = ("directional", "out_and_back", "random", "figure_eight")
 BEARINGS = {"directional": LOOP_BEARINGS, "out_and_back": RETURN_BEARINGS, "random": (0,) * RANDOM_ATTEMPTS, "figure_eight": (0,)}
 #: Random stops are the first different ones of so many draws.
 STOP_DRAWS = 16
-WAYS = "request_id long, route_no long, strategy string, seq long, node_id long"
+#: Streets of a network that one task holds (some 100 bytes each); larger networks are searched by joins.
+MOST_EDGES = 1_000_000
+#: Requests that meet their network in one task, on average.
+SLICE = 64
+KEYS = ["request_id", "route_no"]
+#: Width in degrees of the first cells in which starts and stops are looked for.
+STOP_CELL = 0.005
 
 
 def draw(low: float, high: float, number: int | Column, seed: int = 0) -> Column:
@@ -60,120 +72,256 @@ def figure_eight(metres: Column, seed: int = 0) -> Column:
     return F.array(*(F.struct((F.col("bearing") + turn).alias("turn"), (metres / 8).alias("metres")) for turn in (0, 90, 180, 270)))
 
 
-def random_stops(tried: DataFrame, nodes: DataFrame, seed: int = 0) -> DataFrame:
+def random_draws(tried: DataFrame, seed: int = 0) -> DataFrame:
+    """Random tries with stops (how many) and draws: STOP_DRAWS - 1 numbers from 0 to 1 that choose among other nodes."""
+    stops = (LEAST_STOPS + F.floor(draw(0, MOST_STOPS - LEAST_STOPS + 1, 1, seed))).cast("int")
+    draws = F.transform(F.sequence(F.lit(2), F.lit(STOP_DRAWS + 1)), lambda k: draw(0, 1, k, seed))
+    return tried.filter("strategy = 'random'").select(*KEYS, stops.alias("stops"), draws.alias("draws"))
+
+
+def random_stops(tried: DataFrame, own_nodes: DataFrame, seed: int = 0) -> DataFrame:
     """request_id, route_no, place, node_id: two to five nodes other than the start, by number among the request's.
 
-    A try that draws too few different nodes, or whose request has too few, has none.
+    A try that draws too few different nodes, or whose request has too few, has none. By joins; ``Network.pick`` is the
+    same for a network that a task holds.
     """
-    starts = tried.select("request_id", "start").distinct()
-    own = nodes.join(starts, "request_id").filter("node_id <> start")
+    own = own_nodes.join(tried.select("request_id", "start").distinct(), "request_id").filter("node_id <> start")
     numbered = own.select("request_id", "node_id", F.row_number().over(Window.partitionBy("request_id").orderBy("node_id")).alias("number"))
     counts = own.groupBy("request_id").agg(F.count("*").alias("others"))
-    asked = tried.filter("strategy = 'random'").join(counts, "request_id")
-    stops = (LEAST_STOPS + F.floor(draw(0, MOST_STOPS - LEAST_STOPS + 1, 1, seed))).cast("int")
-    drawn = F.array_distinct(F.transform(F.sequence(F.lit(2), F.lit(STOP_DRAWS + 1)), lambda k: F.floor(draw(0, 1, k, seed) * F.col("others")) + 1))
-    picked = asked.withColumns({"stops": stops, "drawn": drawn}).filter("others >= 2 AND size(drawn) >= stops")
-    placed = picked.select("request_id", "route_no", F.posexplode(F.slice("drawn", 1, F.col("stops"))).alias("place", "number"))
-    return placed.join(numbered, ["request_id", "number"]).select("request_id", "route_no", "place", "node_id")
+    drawn = F.array_distinct(F.transform("draws", lambda x: F.floor(x * F.col("others")) + 1))
+    picked = random_draws(tried, seed).join(counts, "request_id").withColumn("drawn", drawn).filter("others >= 2 AND size(drawn) >= stops")
+    placed = picked.select(*KEYS, F.posexplode(F.slice("drawn", 1, F.col("stops"))).alias("place", "number"))
+    return placed.join(numbered, ["request_id", "number"]).select(*KEYS, "place", "node_id")
 
 
-def aimed_stops(tried: DataFrame, nodes: DataFrame, seed: int = 0) -> DataFrame:
-    """request_id, route_no, place, node_id: the request's own node nearest to each aim, ties to the smaller id."""
+def aimed_stops(tried: DataFrame, boxes: DataFrame, nodes: DataFrame, seed: int = 0) -> DataFrame:
+    """request_id, route_no, place, node_id: the node nearest to each aim in the request's box, ties to the smaller id."""
     metres = F.col("target_distance_km") * 1000
     of = {"directional": directional, "out_and_back": out_and_back, "figure_eight": figure_eight}
     aims = F.coalesce(*(F.when(F.col("strategy") == name, make(metres, seed)) for name, make in of.items()))
-    rows = tried.filter("strategy <> 'random'").select("request_id", "route_no", "start_lat", "start_lon", F.posexplode(aims).alias("place", "aim"))
+    rows = tried.filter("strategy <> 'random'").select(*KEYS, "start_lat", "start_lon", F.posexplode(aims).alias("place", "aim"))
     lat, lon = destination(F.col("start_lat"), F.col("start_lon"), F.col("aim.turn"), F.col("aim.metres"))
-    placed = rows.select("request_id", "route_no", "place", lat.alias("to_lat"), lon.alias("to_lon"))
-    met = placed.join(nodes.select("request_id", "node_id", "lat", "lon"), "request_id")
-    best = met.groupBy("request_id", "route_no", "place").agg(F.min(F.struct(haversine_km(F.col("to_lat"), F.col("to_lon"), F.col("lat"), F.col("lon")), F.col("node_id"))).alias("best"))
-    return best.select("request_id", "route_no", "place", "best.node_id")
+    aimed = rows.select(*KEYS, "place", lat.alias("lat"), lon.alias("lon"))
+    return nearest_in_box(aimed, boxes, nodes, [*KEYS, "place"], STOP_CELL).select(*KEYS, "place", "node_id")
 
 
-def chains(requests: DataFrame, nodes: DataFrame, strategies: tuple[str, ...] = STRATEGIES[:3], seed: int = 0) -> DataFrame:
-    """request_id, route_no, strategy, stops (nodes from the start on) of each try.
+def listed(tried: DataFrame, stops: DataFrame) -> DataFrame:
+    """request_id, route_no, strategy, stops: the nodes that each try goes through, from the start on, in order.
 
     Tries of the first two strategies end where a stop is the start itself.
     """
-    tried = tries(requests.select("request_id", "start", "start_lat", "start_lon", "target_distance_km"), strategies)
-    stops = aimed_stops(tried, nodes, seed).unionByName(random_stops(tried, nodes, seed))
-    listed = stops.groupBy("request_id", "route_no").agg(F.array_sort(F.collect_list(F.struct("place", "node_id"))).alias("s"))
-    known = tried.select("request_id", "route_no", "strategy", "start").join(listed, ["request_id", "route_no"]).withColumn("s", F.transform("s", lambda x: x["node_id"]))
+    by_place = stops.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("place", "node_id"))).alias("s"))
+    known = tried.select(*KEYS, "strategy", "start").join(by_place, KEYS).withColumn("s", F.transform("s", lambda x: x["node_id"]))
     known = known.filter(~(F.col("strategy").isin("directional", "out_and_back") & F.array_contains("s", F.col("start"))))
     start = F.array("start")
-    loop = F.when(F.col("strategy") == "out_and_back", F.concat(start, "s")).when(F.col("strategy") == "figure_eight", F.concat(start, F.slice("s", 1, 2), start, F.slice("s", 3, 2), start)).otherwise(F.concat(start, "s", start))
-    return known.select("request_id", "route_no", "strategy", loop.alias("stops"))
-
-
-class Streets:
-    """One request's network, neighbours by the lightest edge."""
-
-    def __init__(self, edges: pd.DataFrame):
-        self.out: dict[int, dict[int, float]] = {}
-        for u, v, length in zip(edges["u"].tolist(), edges["v"].tolist(), edges["length"].tolist()):
-            to = self.out.setdefault(u, {})
-            to[v] = min(length, to.get(v, length))
-        self.trees: dict[int, dict[int, int]] = {}
-
-    def tree(self, source: int) -> dict[int, int]:
-        """Predecessors on least-length paths from a node; among equals the one nearest to the source, then by id."""
-        if source not in self.trees:
-            dist, before, heap, done = {source: 0.0}, {source: source}, [(0.0, source)], set()
-            while heap:
-                d, u = heapq.heappop(heap)
-                if u in done:
-                    continue
-                done.add(u)
-                for v, length in self.out.get(u, {}).items():
-                    if d + length < dist.get(v, float("inf")):
-                        dist[v], before[v] = d + length, u
-                        heapq.heappush(heap, (d + length, v))
-            self.trees[source] = before
-        return self.trees[source]
-
-    def path(self, stops: list[int]) -> list[int] | None:
-        """Nodes of the least-length way over all stops; None if a leg has none."""
-        out = stops[:1]
-        for a, b in zip(stops, stops[1:]):
-            before, leg = self.tree(a), [b]
-            if b not in before:
-                return None
-            while leg[-1] != a:
-                leg.append(before[leg[-1]])
-            out += leg[::-1][1:]
+    eight = F.concat(start, F.slice("s", 1, 2), start, F.slice("s", 3, 2), start)
+    loop = F.when(F.col("strategy") == "out_and_back", F.concat(start, "s")).when(F.col("strategy") == "figure_eight", eight).otherwise(F.concat(start, "s", start))
+    return known.select(*KEYS, "strategy", loop.alias("stops"))
+
+
+class Tree:
+    """Least-length ways from one node of a network, found as far as they are asked for; among equals over the node
+    nearest to the source, then by id (nodes are numbered in order of their ids)."""
+
+    def __init__(self, source: int, out: dict[int, list[tuple[int, float]]]):
+        self.out, self.dist, self.before, self.done, self.heap = out, {source: 0.0}, {source: source}, set(), [(0.0, source)]
+
+    def way(self, target: int) -> list[int] | None:
+        while target not in self.done and self.heap:
+            d, u = heapq.heappop(self.heap)
+            if u in self.done:
+                continue
+            self.done.add(u)
+            for v, length in self.out.get(u, ()):
+                if d + length < self.dist.get(v, float("inf")):
+                    self.dist[v], self.before[v] = d + length, u
+                    heapq.heappush(self.heap, (d + length, v))
+        if target not in self.done:
+            return None
+        back = [target]
+        while self.before[back[-1]] != back[-1]:
+            back.append(self.before[back[-1]])
+        return back[::-1]
+
+
+class Network:
+    """A group's network as arrays: nodes in order of id, streets by the node they leave (compressed rows)."""
+
+    def __init__(self, ids: np.ndarray, lat: np.ndarray, lon: np.ndarray, u: np.ndarray, v: np.ndarray, length: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.lat, self.lon = ids[order], lat[order], lon[order]
+        u, v = np.searchsorted(self.ids, u), np.searchsorted(self.ids, v)
+        order = np.argsort(u, kind="stable")
+        self.v, self.length = v[order], length[order]
+        self.first = np.searchsorted(u[order], np.arange(len(ids) + 1))
+
+    def own(self, box: dict) -> np.ndarray:
+        """Which nodes lie in a request's box."""
+        inside = (self.lat >= box["s"]) & (self.lat <= box["n"])
+        if box["ring"]:
+            return inside
+        turned = [(self.lon >= box["w"] + t) & (self.lon <= box["e"] + t) for t in (0, 360, -360)]
+        return inside & (turned[0] | turned[1] | turned[2])
+
+    def streets(self, own: np.ndarray) -> dict[int, list[tuple[int, float]]]:
+        """Streets between own nodes, by the node they leave."""
+        u = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
+        at = np.flatnonzero(own[u] & own[self.v])
+        out: dict[int, list[tuple[int, float]]] = {}
+        for a, b, metres in zip(u[at].tolist(), self.v[at].tolist(), self.length[at].tolist()):
+            out.setdefault(a, []).append((b, metres))
         return out
 
-
-def generate(requests: DataFrame, nodes: DataFrame, edges: DataFrame, strategies: tuple[str, ...] = STRATEGIES[:3], seed: int = 0) -> DataFrame:
-    """request_id, route_no, strategy, seq, node_id: all tries of each request, in order of strategy and attempt.
-
-    ``requests`` has request_id, start, start_lat, start_lon and target_distance_km; nodes and edges have the
-    request_id of the subgraph, which the search radius bounds. A try without a way has no row. Only the search
-    for least-length ways is a Python helper, for one request's edges and stops at a time.
+    def pick(self, own: np.ndarray, start: int, draws: list[float], stops: int) -> list[int] | None:
+        """The first different nodes that the draws choose among the own ones other than the start."""
+        others = np.flatnonzero(own)
+        others = others[others != start]
+        drawn = list(dict.fromkeys(int(x * len(others)) for x in draws))
+        return [int(others[k]) for k in drawn[:stops]] if len(others) >= 2 and len(drawn) >= stops else None
+
+
+_FOUND = "request_id long, route_no long, strategy string, seq long, node_id long, nodes long"
+
+
+def _search(key: tuple, asked: pa.Table, packed: pa.Table) -> pa.Table:
+    """Ways of all tries of one slice of requests; and a row without route for each request, with its number of nodes."""
+    rows: list[tuple] = []
+    if packed.num_rows:
+        array = lambda name: packed.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        network = Network(*(array(c) for c in ("ids", "lats", "lons", "us", "vs", "lengths")))
+        by_request: dict[int, list[dict]] = {}
+        for row in asked.to_pylist():
+            by_request.setdefault(row["request_id"], []).append(row)
+        for request, tries_ in by_request.items():
+            own = network.own(tries_[0])
+            rows.append((request, None, None, None, None, int(own.sum())))
+            if own.sum() < graph.LEAST_NODES:
+                continue
+            out, trees = network.streets(own), {}
+            for row in sorted(tries_, key=lambda r: r["route_no"]):
+                if row["draws"] is None:
+                    stops = np.searchsorted(network.ids, row["loop"]).tolist()
+                else:
+                    start = int(np.searchsorted(network.ids, row["start"]))
+                    chosen = network.pick(own, start, row["draws"], row["stops"])
+                    stops = [start, *chosen, start] if chosen else []
+                way = stops[:1]
+                for a, b in zip(stops, stops[1:]):
+                    leg = trees.setdefault(a, Tree(a, out)).way(b)
+                    way = way + leg[1:] if leg and way else []
+                if row["strategy"] == "out_and_back":
+                    way += way[-2::-1]
+                rows += [(request, row["route_no"], row["strategy"], k, int(network.ids[n]), None) for k, n in enumerate(way)]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    return pa.table([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in _FOUND.split(", ")])
+
+
+def grouped(boxes: DataFrame) -> DataFrame:
+    """``boxes`` with ``network``: one name for requests whose centres share a cell, of about the size of their radii."""
+    band = F.ceil(F.log2(F.greatest("radius_m", F.lit(1.0))))
+    size = F.pow(F.lit(2.0), band) / METRES_PER_DEGREE
+    row = F.floor(F.col("lat") / size)
+    # cells are about square; those that hold or touch a pole are whole rings
+    middle = F.cos(F.radians((row + 0.5) * size))
+    column = F.when(F.col("ring"), F.lit(-1).cast("long")).otherwise(F.floor((F.col("w") + F.col("e") + 360) / 2 * F.greatest(middle, F.lit(0.01)) / size))
+    return boxes.withColumn("network", F.concat_ws("/", band.cast("string"), row.cast("string"), column.cast("string")))
+
+
+def networks(boxes: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(network, node_id, lat, lon; network, u, v, length): what lies in the boxes of each group of requests.
+
+    ``boxes`` is from ``grouped``. A group's box holds all of its requests' boxes; of parallel streets the lightest counts.
     """
-
-    def run(key: tuple, asked: pd.DataFrame, own_edges: pd.DataFrame) -> pd.DataFrame:
-        streets, rows = Streets(own_edges), []
-        for no, name, stops in zip(asked["route_no"].tolist(), asked["strategy"].tolist(), asked["stops"].tolist()):
-            way = streets.path([int(x) for x in stops]) or []
-            if name == "out_and_back":
-                way += way[-2::-1]
-            rows += [(key[0], no, name, k, n) for k, n in enumerate(way)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in WAYS.split(", ")])
-
-    asked, edges = chains(requests, nodes, strategies, seed), edges.select("request_id", "u", "v", "length")
-    asked, edges = asked.toDF(*asked.columns), edges.toDF(*edges.columns)  # columns of their own, whatever they come from
-    return asked.groupBy("request_id").cogroup(edges.groupBy("request_id")).applyInPandas(run, WAYS)
-
-
-def with_starts(requests: DataFrame, own_nodes: DataFrame) -> DataFrame:
-    """``requests`` with start, the nearest node of the request's own network, and its own place as start_lat, start_lon."""
-    near = own_nodes.select("request_id", "node_id", F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon")).join(requests.select("request_id", "lat", "lon"), "request_id")
-    best = near.groupBy("request_id").agg(F.min(F.struct(haversine_km(F.col("lat"), F.col("lon"), F.col("n_lat"), F.col("n_lon")), F.col("node_id"))).alias("best"))
-    return requests.join(best.select("request_id", F.col("best.node_id").alias("start")), "request_id").withColumnsRenamed({"lat": "start_lat", "lon": "start_lon"})
-
-
-def candidate_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, tolerance: float = 0.3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    outer = boxes.groupBy(F.col("network").alias("box")).agg(F.min("s").alias("s"), F.max("n").alias("n"), F.min("w").alias("w"), F.max("e").alias("e"), F.max("ring").alias("ring"))
+    inside = settle(graph._by_cells(outer, nodes, 0.02).withColumnRenamed("box", "network"))
+    ends = inside.select("network", "node_id")
+    between = edges.join(ends.withColumnRenamed("node_id", "u"), "u").join(ends.withColumnRenamed("node_id", "v"), ["network", "v"], "left_semi")
+    return inside, settle(between.groupBy("network", "u", "v").agg(F.min("length").alias("length")))
+
+
+def _by_helper(asked: DataFrame, own_nodes: DataFrame, own_edges: DataFrame) -> DataFrame:
+    """Rows of ``_search``: tries (with network and slice) meet their network, packed once, in slices."""
+    packed = own_nodes.groupBy("network").agg(F.collect_list(F.struct("node_id", "lat", "lon")).alias("n"))
+    streets = own_edges.groupBy("network").agg(F.collect_list(F.struct("u", "v", "length")).alias("e"))
+    none = F.array().cast("array<struct<u:bigint,v:bigint,length:double>>")
+    packed = packed.join(streets, "network", "left").withColumn("e", F.coalesce("e", none))
+    packed = packed.select("network", F.col("n.node_id").alias("ids"), F.col("n.lat").alias("lats"), F.col("n.lon").alias("lons"), F.col("e.u").alias("us"), F.col("e.v").alias("vs"), F.col("e.length").alias("lengths"))
+    wanted = asked.select("network", "slice").distinct()
+    both = wanted.join(packed, "network")
+    asked, both = asked.toDF(*asked.columns), both.toDF(*both.columns)  # columns of their own, whatever they come from
+    return asked.groupBy("network", "slice").cogroup(both.groupBy("network", "slice")).applyInArrow(_search, _FOUND)
+
+
+def _by_joins(tried: DataFrame, aimed: DataFrame, boxes: DataFrame, nodes: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
+    """The same rows without a helper: legs are ways of ``shortest_paths`` on each request's own streets."""
+    own_nodes, own_edges, rejects = subgraph(boxes.select("request_id", "lat", "lon", "radius_m"), nodes, edges)
+    tried = tried.join(own_nodes.select("request_id").distinct(), "request_id", "left_semi")
+    stops = aimed.join(tried.select(*KEYS), KEYS, "left_semi").unionByName(random_stops(tried, own_nodes, seed).withColumn("place", F.col("place")))
+    loops_ = settle(listed(tried, stops))
+    legs = loops_.select(*KEYS, "strategy", F.posexplode(F.slice("stops", F.lit(1), F.size("stops") - 1)).alias("leg", "source"), "stops")
+    legs = settle(legs.select(*KEYS, "strategy", "leg", "source", F.get("stops", F.col("leg") + 1).alias("target"), (F.size("stops") - 1).alias("legs")))
+    paths = graph.shortest_paths(legs.select("request_id", "source"), own_edges, ["request_id"])
+    found = settle(graph.ways(paths, legs.select("request_id", "source", "target"), ["request_id"]))
+    sizes = found.groupBy("request_id", "source", "target").agg(F.max("seq").alias("steps"))
+    along = Window.partitionBy(*KEYS)
+    ordered = along.orderBy("leg").rowsBetween(Window.unboundedPreceding, -1)
+    whole = legs.join(sizes, ["request_id", "source", "target"]).withColumns({"known": F.count("*").over(along), "begins": F.coalesce(F.sum("steps").over(ordered), F.lit(0)), "all": F.sum("steps").over(along)}).filter("known = legs")
+    placed = whole.join(found, ["request_id", "source", "target"]).filter("seq > 0 OR leg = 0").withColumn("seq", F.col("begins") + F.col("seq"))
+    out = placed.select(*KEYS, "strategy", "seq", "node_id", "all")
+    back = out.filter("strategy = 'out_and_back' AND seq < all").withColumn("seq", 2 * F.col("all") - F.col("seq"))
+    counts = own_nodes.groupBy("request_id").agg(F.count("*").alias("nodes"))
+    few = rejects.select("request_id", F.when(F.col("reason") == graph.NO_NODES, 0).otherwise(1).cast("long").alias("nodes"))
+    return out.unionByName(back).drop("all").unionByName(counts.unionByName(few), allowMissingColumns=True)
+
+
+def with_starts(requests: DataFrame, boxes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``requests`` with start, the nearest node in the request's own box, and its own place as start_lat, start_lon."""
+    near = nearest_in_box(requests.select("request_id", "lat", "lon"), boxes, nodes, ["request_id"], STOP_CELL)
+    return requests.join(near.select("request_id", F.col("node_id").alias("start")), "request_id").withColumnsRenamed({"lat": "start_lat", "lon": "start_lon"})
+
+
+def loops(
+    requests: DataFrame,
+    nodes: DataFrame,
+    edges: DataFrame,
+    strategies: tuple[str, ...] = STRATEGIES[:3],
+    seed: int = 0,
+    most_edges: int = MOST_EDGES,
+) -> tuple[DataFrame, DataFrame]:
+    """(request_id, route_no, strategy, seq, node_id; request_id, nodes) of ``requests``: all tries, in order of strategy
+    and attempt, and how many nodes each request's box has.
+
+    ``requests`` has request_id, lat, lon, radius_m and target_distance_km. A try without a way has no row, nor has a
+    request with fewer than ten nodes. Networks of more than ``most_edges`` streets are searched by joins. Requests
+    without a place or radius have no row; ids must be unique.
+    """
+    boxes = settle(grouped(with_boxes(requests.select("request_id", "lat", "lon", "radius_m", "target_distance_km"))))
+    own_nodes, own_edges = networks(boxes, nodes, edges)
+    tried = settle(tries(with_starts(boxes.select("request_id", "lat", "lon", "target_distance_km"), boxes, nodes), strategies))
+    aimed = settle(aimed_stops(tried, boxes, nodes, seed))
+    sizes = own_edges.groupBy("network").agg(F.count("*").alias("edges"))
+    asks = boxes.groupBy("network").agg(F.count("*").alias("asks"))
+    sized = asks.join(sizes, "network", "left").select("network", "asks", (F.coalesce("edges", F.lit(0)) > most_edges).alias("large"))
+    dealt = settle(boxes.join(sized, "network").withColumn("slice", F.pmod(F.xxhash64("request_id"), F.ceil(F.col("asks") / SLICE)).cast("int")))
+    aimed_loops = listed(tried, aimed).select(*KEYS, F.col("stops").alias("loop"))
+    random = tried.select(*KEYS, "strategy", "start").join(random_draws(tried, seed), KEYS, "left").join(aimed_loops, KEYS, "left")
+    small = dealt.filter("NOT large").select("network", "slice", "request_id", *BOX)
+    asked = small.join(random.filter("loop IS NOT NULL OR draws IS NOT NULL"), "request_id")
+    # a request whose every try fell out still has its number of nodes
+    idle = small.join(asked.select("request_id").distinct(), "request_id", "left_anti")
+    found = _by_helper(asked.unionByName(idle.withColumn("route_no", F.lit(-1).cast("long")), allowMissingColumns=True), own_nodes, own_edges)
+    large = settle(dealt.filter("large"))
+    if not large.isEmpty():
+        ids = large.select("request_id")
+        found = found.unionByName(_by_joins(tried.join(ids, "request_id", "left_semi"), aimed.join(ids, "request_id", "left_semi"), large, nodes, edges, seed).select(found.columns))
+    found = settle(found)
+    return found.filter("route_no >= 0").drop("nodes"), found.filter("route_no IS NULL").select("request_id", "nodes")
+
+
+def candidate_routes(
+    requests: DataFrame, nodes: DataFrame, edges: DataFrame, tolerance: float = 0.3, seed: int = 0, most_edges: int = MOST_EDGES
+) -> tuple[DataFrame, DataFrame]:
     """(points, rejects): candidates of each request (request_id, lat, lon, target_distance_km).
 
     points: request_id, candidate_no, strategy, seq, node_id, lat, lon. Tries of a wrong length go, the first
@@ -181,16 +329,15 @@ def candidate_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, to
     """
     bounds = search_bounds(F.col("target_distance_km"), tolerance)
     asked = requests.select("request_id", "lat", "lon", "target_distance_km", *(c.alias(n) for n, c in bounds.items()))
-    own_nodes, own_edges, rejects = subgraph(asked, nodes, edges)
-    found = settle(generate(with_starts(asked, own_nodes), own_nodes, own_edges, seed=seed))
-    keys = ["request_id", "route_no"]
-    _, points = validate_routes(found, own_edges, nodes, keys, asked.select("request_id", "min_km", "max_km"))
+    found, counted = loops(asked, nodes, edges, seed=seed, most_edges=most_edges)
+    _, points = validate_routes(found, edges, nodes, KEYS, asked.select("request_id", "min_km", "max_km"))
     points = settle(points)
     order = Window.partitionBy("request_id").orderBy("route_no")
-    first = points.select(*keys).distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= MOST_ROUTES).select(*keys)
-    kept = dedupe_routes(points.join(first, keys, "left_semi"))
+    first = points.select(*KEYS).distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= MOST_ROUTES).select(*KEYS)
+    kept = dedupe_routes(points.join(first, KEYS, "left_semi"))
     numbered = settle(kept.withColumn("candidate_no", (F.row_number().over(order) - 1).cast("long")))
-    named = found.filter("seq = 0").select(*keys, "strategy")
-    out = points.join(numbered, keys).join(named, keys).select("request_id", "candidate_no", "strategy", "seq", "node_id", "lat", "lon")
-    without = asked.select("request_id").join(rejects, "request_id", "left_anti").join(numbered.select("request_id").distinct(), "request_id", "left_anti")
-    return out, rejects.unionByName(without.withColumn("reason", F.lit(NO_ROUTES)))
+    named = found.filter("seq = 0").select(*KEYS, "strategy")
+    out = points.join(numbered, KEYS).join(named, KEYS).select("request_id", "candidate_no", "strategy", "seq", "node_id", "lat", "lon")
+    without = asked.select("request_id").join(numbered.select("request_id").distinct(), "request_id", "left_anti").join(counted, "request_id", "left")
+    reason = F.coalesce(too_few("nodes"), F.when(F.col("nodes").isNull(), graph.NO_NODES), F.lit(NO_ROUTES))
+    return out, without.select("request_id", reason.alias("reason"))

@@ -146,6 +146,7 @@ def with_boxes(requests: DataFrame) -> DataFrame:
     half_lat = F.col("radius_m") / METRES_PER_DEGREE
     half_lon = F.col("radius_m") / (F.lit(METRES_PER_DEGREE) * F.cos(F.radians("lat")))
     known = _placed(requests).filter("radius_m >= 0 AND NOT isnan(radius_m)")
+    known = known.withColumn("lon", F.when((F.col("lon") >= -180) & (F.col("lon") < 180), F.col("lon")).otherwise(_turned(F.col("lon"))))
     south, north = F.col("lat") - half_lat, F.col("lat") + half_lat
     ring = (half_lon >= 180) | (half_lon < 0) | (south <= -90) | (north >= 90)
     return known.withColumns({"s": F.greatest(south, F.lit(-90.0)), "n": F.least(north, F.lit(90.0)), "w": F.col("lon") - half_lon, "e": F.col("lon") + half_lon, "ring": ring})

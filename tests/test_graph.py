@@ -243,8 +243,36 @@ def test_start_lies_in_the_requests_own_network(spark):
     edges = spark.createDataFrame(steps, "u long, v long, key long, length double")
     request = spark.createDataFrame([(1, 42.0 - 0.0134, -71.018, 1.0)], "request_id long, lat double, lon double, target_distance_km double")
     assert graph.nearest_node(request, nodes, ["request_id"]).first().node_id == 999
-    own, _, _ = graph.subgraph(request.withColumn("radius_m", F.lit(2000.0)), nodes, edges)
-    assert candidates.with_starts(request, own).first().start == 1
+    boxes = graph.with_boxes(request.withColumn("radius_m", F.lit(2000.0)))
+    assert candidates.with_starts(request, boxes, nodes).first().start == 1
+
+
+def test_requests_of_one_town_share_a_network_and_joins_find_the_same(spark):
+    """Many requests in one cell, bad ones beside them; helper and joins alike."""
+    draw = random.Random(6)
+    nodes = [(10 * i + j + 1, 42.0 + 0.001 * i, -71.0 + 0.00125 * j) for i in range(10) for j in range(10)]
+    ids = {n for n, _, _ in nodes}
+    steps = [(n, n + d, 0, 80.0 + draw.randrange(5) * 10) for n in sorted(ids) for d in (1, 10, -1, -10) if n + d in ids and not (d in (1, -1) and (n - 1) // 10 != (n + d - 1) // 10)]
+    across = [(5000 + 10 * i + j, -17.0 + 0.001 * i, (179.996 + 0.001 * j + 180) % 360 - 180) for i in range(8) for j in range(8)]
+    known = {n for n, _, _ in across}
+    steps += [(n, n + d, 0, 105.0) for n in sorted(known) for d in (1, 10, -1, -10) if n + d in known]
+    requests = [(k, 42.003 + draw.random() * 0.002, -70.997 + draw.random() * 0.002, draw.choice([1.0, 1.25, 1.5])) for k in range(70)]
+    requests += [(100, -16.9965, 180.0, 1.2), (101, 90.0, 0.0, 1.0), (102, 10.0, 10.0, 5000.0), (103, None, 0.0, 1.0), (104, 42.0, -71.0, 1e7)]
+    asked = spark.createDataFrame(requests, "request_id long, lat double, lon double, target_distance_km double")
+    tables = [spark.createDataFrame(nodes + across, "node_id long, lat double, lon double"), spark.createDataFrame(steps, "u long, v long, key long, length double")]
+    town = graph.with_boxes(asked.filter("request_id < 70").withColumn("radius_m", F.lit(1500.0)))
+    assert candidates.grouped(town).select("network").distinct().count() <= 2
+    small = asked.filter("request_id IN (1, 2, 3) OR request_id BETWEEN 100 AND 103")
+    sides = []
+    for most in (candidates.MOST_EDGES, 0):
+        points, rejects = candidates.candidate_routes(small, *tables, most_edges=most)
+        sides.append((sorted(map(tuple, points.collect())), sorted(map(tuple, rejects.collect()))))
+    assert sides[0] == sides[1] and {r[0] for r in sides[0][0]} == {1, 2, 3, 100}
+    assert dict(sides[0][1]) == {101: graph.NO_NODES, 102: graph.NO_NODES, 103: graph.NO_NODES}
+    points, rejects = candidates.candidate_routes(asked, *tables)
+    rows = sorted(map(tuple, points.collect()))
+    assert [r for r in rows if r[0] in (1, 2, 3, 100)] == sides[0][0]
+    assert {r[0] for r in rows} == {*range(70), 100} and {r.request_id for r in rejects.collect()} == {101, 102, 103, 104}
 
 
 def test_figure_eight_passes_the_start_three_times(spark, sf):
