@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loopmill.functions.scratch import settle
 from loopmill.operators.tracks import cut, neighbour, null_safe
 
 SAMPLES = 50
+#: Profiles of a block that meets others as a matrix: 1 MB, and 32 MB of scores for two blocks.
+BLOCK = 2000
 
 
 def simplify_profile(profile: DataFrame, key: str, num_points: int = 100, chunk_points: int | None = None) -> DataFrame:
@@ -67,14 +72,61 @@ def correlate(pairs: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     return joined.select(*pairs.columns, value.alias("correlation"))
 
 
-def profile_knn(profile: DataFrame, summary: DataFrame, key: str, k: int = 3, km_band: float = 1.0, gain_band: float = 100.0) -> DataFrame:
+def _best_of_blocks(k: int, key: str):
+    """For two blocks of profiles, the k of either most like each of the other, from one matrix product."""
+
+    def sides(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        rows = table.column("rows").combine_chunks().flatten()
+        ids, n, norm, c = (rows.field(i) for i in range(4))
+        scale = np.where((n.to_numpy() >= 2) & (norm.to_numpy() > 0), norm.to_numpy(), np.inf)
+        return ids, scale, c.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+    def best(near: np.ndarray, own: pa.Array, others: pa.Array) -> list[pa.Array]:
+        """The first k of each row by score to nine digits, then by id (blocks are sorted by id)."""
+        score = np.rint(near * 1e9)
+        score[np.isnan(score)] = -2e9  # a profile and itself
+        rank = score.astype(np.int64) * near.shape[1] - np.arange(near.shape[1])
+        first = np.argpartition(-rank, min(k, near.shape[1]) - 1, axis=1)[:, :k]
+        row, col = np.repeat(np.arange(len(own)), first.shape[1]), first.ravel()
+        kept = score[row, col] > -2e9
+        row, col = row[kept], col[kept]
+        return [own.take(pa.array(row)), others.take(pa.array(col)), pa.array(near[row, col]), pa.array(score[row, col].astype(np.int64))]
+
+    def run(of: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        (ids_a, scale_a, a), (ids_b, scale_b, b) = sides(left), sides(right)
+        near = (a @ b.T) / scale_a[:, None] / scale_b[None, :]
+        same = ids_a.equals(ids_b)
+        if same:
+            np.fill_diagonal(near, np.nan)
+        parts = [best(near, ids_a, ids_b)] + ([] if same else [best(near.T, ids_b, ids_a)])
+        return pa.table([pa.concat_arrays([p[i] for p in parts]) for i in range(4)], names=["id_a", "id_b", "correlation", "sorted"])
+
+    return run
+
+
+def profile_knn(profile: DataFrame, summary: DataFrame, key: str, k: int = 3, km_band: float = 1.0, gain_band: float = 100.0, block: int = BLOCK) -> DataFrame:
     """id_a, id_b, correlation, rank: the k profiles most like each one, among those in its own and the
-    neighbouring distance and gain bands. Ties go to the smaller id."""
+    neighbouring distance and gain bands. Ties (nine digits) go to the smaller id.
+
+    Bands are cut into blocks of about ``block`` profiles, chosen by hash; each two blocks of neighbouring bands meet
+    once, as one matrix product, and give k rows for each of their profiles. No pair of profiles is a row, so a band may
+    hold many: rows are profiles times blocks. A profile without a summary, or with a null one, is like none.
+    """
     vectors = profile_vectors(profile, key)
+    padded = F.concat("c", F.array_repeat(F.lit(0.0), SAMPLES - F.size("c")))
     bands = summary.select(key, F.floor(F.col("distance_km") / km_band).alias("kb"), F.floor(F.col("elevation_gain_m") / gain_band).alias("gb"))
-    around = F.array(*(F.struct((F.col("kb") + i).alias("kb"), (F.col("gb") + j).alias("gb")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    asked = bands.select(F.col(key).alias("id_a"), F.explode(around).alias("cell")).select("id_a", "cell.kb", "cell.gb")
-    pairs = asked.join(bands.select(F.col(key).alias("id_b"), "kb", "gb"), ["kb", "gb"]).filter("id_a <> id_b").select("id_a", "id_b")
+    held = settle(bands.filter("kb IS NOT NULL AND gb IS NOT NULL").join(vectors.select(key, "n", "norm", padded.alias("c")), key))
+    counts = held.groupBy("kb", "gb").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = held.join(counts, ["kb", "gb"]).withColumn("block", F.struct("kb", "gb", F.pmod(F.xxhash64(key), "blocks").alias("no")))
+    packed = settle(dealt.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(key, "n", "norm", "c"))).alias("rows")))
+    around = F.array(*(F.struct((F.col("block.kb") + i).alias("kb"), (F.col("block.gb") + j).alias("gb")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    names = packed.select("block")
+    asked = names.select(F.col("block").alias("a"), F.explode(around).alias("band"))
+    pairs = settle(asked.join(names.select(F.col("block").alias("b"), F.struct("block.kb", "block.gb").alias("band")), "band").filter("a <= b").select("a", "b"))
+    side = lambda x: pairs.join(packed.withColumnRenamed("block", x), x).select("a", "b", "rows")
+    left, right = side("a"), side("b")
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    kind = held.schema[key].dataType.simpleString()
+    scored = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_best_of_blocks(k, key), f"id_a {kind}, id_b {kind}, correlation double, sorted long")
     best = Window.partitionBy("id_a").orderBy(F.desc("sorted"), "id_b")
-    scored = correlate(pairs, vectors, key).withColumn("sorted", F.round("correlation", 9))
     return scored.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k).drop("sorted")

@@ -10,18 +10,24 @@ from loopmill.functions.geo import grade_band, grade_pct
 
 # Limits of a request, and the weights of a score.
 DEFAULT_RESULTS, MOST_RESULTS = 5, 20
+#: Longest distance asked for, in kilometres: the search box of a longer one is a continent.
+MOST_KM = 1000.0
 DISTANCE_WEIGHT, GAIN_WEIGHT = 0.4, 0.6
 #: The number at the beginning of a text, after blanks.
 NUMBER_PREFIX = r"^\s*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))"
 
 
-def validate_requests(requests: DataFrame) -> DataFrame:
-    """``requests`` with num_results filled and ``reason``: null if valid, else the first rule that it breaks."""
+def validate_requests(requests: DataFrame, most_km: float = MOST_KM) -> DataFrame:
+    """``requests`` with num_results filled and ``reason``: null if valid, else the first rule that it breaks.
+
+    The service has no upper limit of a distance; ``most_km`` is one, and infinity takes it away.
+    """
     filled = requests.withColumn("num_results", F.coalesce("num_results", F.lit(DEFAULT_RESULTS)))
     blank = F.coalesce(F.trim("location"), F.lit("")) == ""
     reason = (
         F.when(blank, "location is blank")
         .when(~F.coalesce(F.col("target_distance_km") > 0, F.lit(False)), "distance must be positive")
+        .when((F.col("target_distance_km") > most_km) | F.isnan("target_distance_km"), F.lit(f"distance must be at most {most_km:g} km"))
         .when(~F.coalesce(F.col("target_elevation_gain_m") >= 0, F.lit(False)), "gain must not be negative")
         .when(~F.col("num_results").between(1, MOST_RESULTS), "num_results must be from 1 to 20")
     )

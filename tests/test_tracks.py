@@ -207,3 +207,33 @@ def test_scopes_of_threads_are_their_own(spark):
     assert counts == [7]
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
+
+
+@pytest.mark.parametrize("block", [7, 40, 2000])
+def test_nearest_profiles_from_blocks(spark, block):
+    """All pairs written plainly; flat, short and equal profiles, and one without a summary."""
+    import random
+
+    draw = random.Random(2)
+    shapes = {k: [float(draw.randrange(0, 60)) for _ in range(draw.choice([2, 5, 30, 49]))] for k in range(60)}
+    shapes |= {100 + k: shapes[3] for k in range(9)} | {200: [5.0] * 20, 201: [7.0], 202: shapes[1]}
+    rows = [(k, i, 0.1 * i, e) for k, s in shapes.items() for i, e in enumerate(s)]
+    bands = {k: (float(k % 4), float(k % 3) * 100) for k in shapes if k != 202}
+    summary = spark.createDataFrame([(k, *b) for k, b in bands.items()] + [(203, 1.0, None)], "id long, distance_km double, elevation_gain_m double")
+    got = {}
+    for r in profiles.profile_knn(spark.createDataFrame(rows, "id long, seq long, km double, ele double"), summary, "id", 4, block=block).collect():
+        got[(r.id_a, r.rank)] = (r.id_b, round(r.correlation, 6))
+
+    def like(a, b):
+        x, y = ([v - sum(s) / len(s) for v in s] for s in (shapes[a], shapes[b]))
+        size = math.sqrt(sum(v * v for v in x) * sum(v * v for v in y))
+        return sum(p * q for p, q in zip(x, y)) / size if size and len(x) > 1 and len(y) > 1 else 0.0
+
+    want = {}
+    for a, (km, gain) in bands.items():
+        near = [b for b, (x, y) in bands.items() if b != a and abs(x - km) <= 1 and abs(y - gain) <= 100]
+        for rank, b in enumerate(sorted(near, key=lambda b: (-round(like(a, b), 9), b))[:4], 1):
+            want[(a, rank)] = (b, round(like(a, b), 6))
+    assert got.keys() == want.keys()
+    for at, (b, value) in want.items():
+        assert got[at][0] == b and got[at][1] == pytest.approx(value, abs=2e-6)
