@@ -28,7 +28,9 @@ SUBSUMED_PERCENT = 50
 SCALE = 1_000_000
 UNKNOWN = "und"
 #: Text that is summed up at once.
-STRETCH_BYTES = 16 << 20
+STRETCH_BYTES = 4 << 20
+#: Rows that a task hands over at once.
+SENT_ROWS = 1 << 16
 #: Frequent keys sent as they are, 8 bytes each; more become a bitmap of 2 ** BITMAP_BITS bits (32 MB).
 BROADCAST_KEYS, BITMAP_BITS = 2_000_000, 28
 
@@ -121,7 +123,10 @@ def _count(size: int, shorter):
                 lang, phrases = np.concatenate([lang, np.arange(len(names))]), [*phrases, *[b""] * len(names)]
                 unique, n = np.concatenate([unique, np.zeros(len(names), dtype=np.uint64)]), np.concatenate([n, total])
             lang = pa.DictionaryArray.from_arrays(pa.array(lang, type=pa.int32()), pa.array(names, type=pa.string())).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([lang, pa.array(unique.view(np.int64)), pa.array(phrases, type=pa.binary()).cast(pa.string()), pa.array(n, type=pa.int64())], names=["lang", "key", "phrase", "n"])
+            columns = [lang, pa.array(unique.view(np.int64)), pa.array(phrases, type=pa.binary()).cast(pa.string()), pa.array(n, type=pa.int64())]
+            counted = pa.RecordBatch.from_arrays(columns, names=["lang", "key", "phrase", "n"])
+            for row in range(0, counted.num_rows, SENT_ROWS):
+                yield counted.slice(row, SENT_ROWS)
 
     return run
 
@@ -130,7 +135,9 @@ def levels(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST_COU
     """(level tables lang, key, phrase, n for 1, 2, ... words; lang, n of all words). ``docs`` has lang and text."""
     tables, totals, sent = [], None, None
     for size in range(1, most_words + 1):
-        summed = docs.mapInArrow(_count(size, sent), _COUNTED).groupBy("lang", "key", "phrase").agg(F.sum("n").alias("n"))
+        # summed up once more only after the exchange: another table before it would hold as many rows
+        counted = docs.mapInArrow(_count(size, sent), _COUNTED).repartition("lang", "key", "phrase")
+        summed = counted.groupBy("lang", "key", "phrase").agg(F.sum("n").alias("n"))
         level = materialize(summed.filter((F.col("n") >= least) | (F.col("phrase") == "")))
         if size == 1:
             totals, level = level.filter("phrase = ''").select("lang", "n"), level.filter("phrase <> ''")
