@@ -343,6 +343,19 @@ ORACLES: dict[str, str] = {
         "street_nodes",
         "street_edges",
     ),
+    "j7_wide_boxes": with_fixtures(
+        """WITH half AS (SELECT *, radius_m / 111320.0 AS h, radius_m / (111320.0 * cos(radians(lat))) AS wide FROM wide_requests),
+        box AS (SELECT *, wide >= 180 OR wide < 0 OR lat - h <= -90 OR lat + h >= 90 AS ring FROM half),
+        own AS (SELECT request_id, n.node_id FROM box b JOIN world_nodes n ON n.lat BETWEEN b.lat - h AND b.lat + h
+          AND (ring OR n.lon BETWEEN b.lon - wide AND b.lon + wide OR n.lon + 360 BETWEEN b.lon - wide AND b.lon + wide OR n.lon - 360 BETWEEN b.lon - wide AND b.lon + wide)),
+        n AS (SELECT b.request_id, count(o.node_id) AS nodes, sum(o.node_id) AS node_sum FROM box b LEFT JOIN own o USING (request_id) GROUP BY b.request_id),
+        e AS (SELECT a.request_id, count(*) AS edges, sum(length) AS metres FROM town_edges JOIN own a ON a.node_id = u JOIN own b ON b.node_id = v AND a.request_id = b.request_id GROUP BY a.request_id)
+        SELECT request_id, CASE WHEN nodes >= 10 THEN nodes END AS nodes, CASE WHEN nodes >= 10 THEN CAST(node_sum AS BIGINT) END AS node_sum, CASE WHEN nodes >= 10 THEN edges END AS edges, CASE WHEN nodes >= 10 THEN metres END AS metres,
+          CASE WHEN nodes = 0 THEN 'No road network data available' WHEN nodes < 10 THEN 'Not enough road network data in this area' END AS reason FROM n LEFT JOIN e USING (request_id)""",
+        "wide_requests",
+        "world_nodes",
+        "town_edges",
+    ),
     "j8_place_suggest": with_fixtures(
         f"""WITH {_DISPLAY}, q AS (SELECT query_id, lower(trim(query)) AS q FROM place_queries WHERE length(query) >= 2 AND length(trim(query)) > 0),
         hits AS (SELECT q.query_id, s.*, row_number() OVER (PARTITION BY q.query_id ORDER BY importance DESC, place_id) AS hit FROM q JOIN shown s ON starts_with(lower(trim(s.name)), q.q)),
@@ -352,6 +365,20 @@ ORACLES: dict[str, str] = {
         "places",
     ),
     "g1_shortest_paths": with_fixtures(f"WITH {_SETTLED} SELECT * FROM d", "street_nodes", "street_edges", recursive=True),
+    "g1_town_ways": with_fixtures(
+        """WITH light AS (SELECT u, v, min(length) AS length FROM town_edges GROUP BY u, v),
+        d(request_id, source, node_id, dist) USING KEY (request_id, node_id) AS (
+          SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(0 AS DOUBLE)
+          UNION
+          SELECT * FROM (SELECT x.request_id, x.source, l.v AS node_id, min(x.dist + l.length) AS dist FROM d x JOIN light l ON l.u = x.node_id GROUP BY ALL) n
+          WHERE NOT EXISTS (SELECT 1 FROM recurring.d o WHERE o.request_id = n.request_id AND o.node_id = n.node_id AND o.dist <= n.dist)),
+        tree AS (SELECT t.node_id, arg_min(l.u, (s.dist, l.u)) AS before FROM d t JOIN light l ON l.v = t.node_id JOIN d s ON s.node_id = l.u AND s.dist + l.length = t.dist GROUP BY ALL),
+        back AS (SELECT node_id AS target, CAST(0 AS BIGINT) AS k, node_id FROM d UNION ALL SELECT b.target, b.k + 1, t.before FROM back b JOIN tree t ON t.node_id = b.node_id),
+        placed AS (SELECT target, max(k) OVER (PARTITION BY target) - k AS seq, node_id FROM back)
+        SELECT request_id, target, dist, nodes, way_sum FROM (SELECT target, count(*) AS nodes, CAST(sum(seq * node_id) AS BIGINT) AS way_sum FROM placed GROUP BY target) JOIN d ON d.node_id = target""",
+        "town_edges",
+        recursive=True,
+    ),
     "g1_ways": with_fixtures(
         f"""WITH {_SETTLED},
         tree AS (SELECT t.request_id, t.source, t.node_id, arg_min(l.u, (s.dist, l.u)) AS before FROM d t JOIN light l ON l.v = t.node_id
@@ -375,6 +402,13 @@ ORACLES: dict[str, str] = {
         *_STREETS,
         recursive=True,
     ),
+    "g8_town_routes": with_fixtures(
+        f"""WITH {_CANDIDATES} SELECT request_id, candidate_no, strategy, seq, node_id, lat, lon, NULL AS reason FROM candidates
+        UNION ALL SELECT request_id, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM without""",
+        *_STREETS,
+        recursive=True,
+        instead={"loop_requests": "town_requests", "street_nodes": "town_nodes", "street_edges": "town_edges"},
+    ),
     "find_routes": with_fixtures(
         f"""WITH {_FOUND} SELECT request_id, rank, 'Route ' || rank AS name, candidate_no, distance_km, elevation_gain_m, elevation_loss_m, min_elevation_m, max_elevation_m, similarity_score, NULL AS reason FROM ranked WHERE rank <= 5
         UNION ALL SELECT request_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM lost""",

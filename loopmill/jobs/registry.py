@@ -295,6 +295,16 @@ def j7_subgraph(spark, sf_dir):
     return nodes.join(edges, "request_id", "left").unionByName(rejects, allowMissingColumns=True)
 
 
+@query
+def j7_wide_boxes(spark, sf_dir):
+    """Boxes across 180 degrees, around the pole, of the size of a continent, and without a place, beside plain ones."""
+    nodes = fixture(spark, sf_dir, "world_nodes")
+    own_nodes, own_edges, rejects = graph.subgraph(fixture(spark, sf_dir, "wide_requests"), nodes, fixture(spark, sf_dir, "town_edges"))
+    counted = own_nodes.groupBy("request_id").agg(F.count("*").alias("nodes"), F.sum("node_id").alias("node_sum"))
+    edges = own_edges.groupBy("request_id").agg(F.count("*").alias("edges"), F.sum("length").alias("metres"))
+    return counted.join(edges, "request_id", "left").unionByName(rejects, allowMissingColumns=True)
+
+
 @query
 def j8_place_suggest(spark, sf_dir):
     return places.place_suggest(fixture(spark, sf_dir, "place_queries"), fixture(spark, sf_dir, "places"))
@@ -317,6 +327,16 @@ def g1_ways(spark, sf_dir):
     return graph.ways(paths, paths.withColumn("target", F.col("node_id")), ["request_id"])
 
 
+@query
+def g1_town_ways(spark, sf_dir):
+    """From the corner of one large town: the length and number of nodes of the least way to every node."""
+    sources = fixture(spark, sf_dir, "town_nodes").select(F.lit(1).cast("long").alias("request_id"), F.lit(1).cast("long").alias("source")).distinct()
+    paths = settle(graph.shortest_paths(sources, fixture(spark, sf_dir, "town_edges"), ["request_id"]))
+    ways = graph.ways(paths, paths.withColumn("target", F.col("node_id")), ["request_id"])
+    sums = ways.groupBy("request_id", "target").agg(F.count("*").alias("nodes"), F.sum(F.col("seq") * F.col("node_id")).alias("way_sum"))
+    return paths.select("request_id", F.col("node_id").alias("target"), "dist").join(sums, ["request_id", "target"])
+
+
 def _loops(spark: SparkSession, sf_dir: str, strategies: tuple[str, ...]) -> DataFrame:
     r = fixture(spark, sf_dir, "loop_requests")
     nodes, edges = fixture(spark, sf_dir, "street_nodes"), fixture(spark, sf_dir, "street_edges")
@@ -364,6 +384,13 @@ def g8_candidate_routes(spark, sf_dir):
     return points.unionByName(rejects, allowMissingColumns=True)
 
 
+@query
+def g8_town_routes(spark, sf_dir):
+    """Candidates of many requests in one town, which share its network."""
+    points, rejects = candidates.candidate_routes(*(fixture(spark, sf_dir, n) for n in ("town_requests", "town_nodes", "town_edges")))
+    return points.unionByName(rejects, allowMissingColumns=True)
+
+
 @query
 def r1_enrich_routes(spark, sf_dir):
     nodes = fixture(spark, sf_dir, "street_nodes")

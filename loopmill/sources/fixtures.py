@@ -17,6 +17,11 @@ TABLES = {
     "candidate_metrics": ["lineitem"],
     "places": ["supplier", "nation", "region"],
     "loop_requests": ["customer"],
+    "town_nodes": ["customer"],
+    "town_edges": ["customer"],
+    "town_requests": ["customer"],
+    "world_nodes": ["customer"],
+    "wide_requests": ["customer"],
     "place_queries": ["supplier"],
 }
 
@@ -121,6 +126,47 @@ SELECT CAST(floor(c_custkey / 100) AS BIGINT) AS request_id,
        CAST(1 + (c_custkey % 7) * CAST(0.25 AS DOUBLE) AS DOUBLE) AS target_distance_km,
        CAST(c_custkey % 50 AS DOUBLE) AS target_elevation_gain_m
 FROM customer WHERE c_custkey % 100 = 44""",
+    # one connected town, as wide as it is high, that grows with the table
+    "town_nodes": """
+SELECT c_custkey + 1 AS node_id,
+       42 + floor(c_custkey / w.w) * CAST(0.001 AS DOUBLE) AS lat,
+       -71 + (c_custkey % w.w) * CAST(0.00125 AS DOUBLE) AS lon
+FROM customer CROSS JOIN (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS w FROM customer) w""",
+    "town_edges": """
+WITH n AS (SELECT c_custkey AS k, t.total, t.w FROM customer
+           CROSS JOIN (SELECT count(*) AS total, CAST(ceil(sqrt(count(*))) AS BIGINT) AS w FROM customer) t),
+fwd AS (
+  SELECT k + 1 AS u, k + 2 AS v, 0 AS key, CAST(80 + (k * 37) % 50 AS DOUBLE) AS length, k FROM n WHERE k % w < w - 1 AND k + 1 < total
+  UNION ALL
+  SELECT k + 1, k + 1 + w, 0, CAST(80 + (k * 53) % 50 AS DOUBLE), k FROM n WHERE k + w < total)
+SELECT u, v, key, length FROM fwd
+UNION ALL
+SELECT v, u, key, length FROM fwd WHERE k % 17 <> 0""",
+    # many searches in the one town
+    "town_requests": """
+SELECT c_custkey AS request_id, n.lat + CAST(0.0002 AS DOUBLE) AS lat, n.lon + CAST(0.0003 AS DOUBLE) AS lon,
+       CAST(1 + (c_custkey % 7) * CAST(0.25 AS DOUBLE) AS DOUBLE) AS target_distance_km
+FROM customer JOIN (SELECT c_custkey + 1 AS node_id, 42 + floor(c_custkey / w.w) * CAST(0.001 AS DOUBLE) AS lat, -71 + (c_custkey % w.w) * CAST(0.00125 AS DOUBLE) AS lon
+  FROM customer CROSS JOIN (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS w FROM customer) w) n ON n.node_id = c_custkey + 1
+WHERE c_custkey % 50 = 7""",
+    # the same nodes by Boston, across 180 degrees, and around the north pole
+    "world_nodes": """
+WITH n AS (SELECT c_custkey AS k, floor(c_custkey / w.w) * CAST(0.001 AS DOUBLE) AS up, (c_custkey % w.w) * CAST(0.00125 AS DOUBLE) AS right_
+           FROM customer CROSS JOIN (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS w FROM customer) w)
+SELECT k + 1 AS node_id, 42 + up AS lat, -71 + right_ AS lon FROM n
+UNION ALL
+SELECT k + 10000001, -17 + up, CASE WHEN right_ < CAST(0.01 AS DOUBLE) THEN CAST(179.99 AS DOUBLE) + right_ ELSE CAST(-180.01 AS DOUBLE) + right_ END FROM n
+UNION ALL
+SELECT k + 20000001, CAST(89.9 AS DOUBLE) + (k % 100) * CAST(0.001 AS DOUBLE), CAST(k % 360 - 180 AS DOUBLE) FROM n""",
+    # of each kind some: in the town, at the seam from both sides, near and at the pole, of the size of a continent, without a place
+    "wide_requests": """
+SELECT c_custkey AS request_id,
+       CASE c_custkey % 8 WHEN 0 THEN CAST(42.005 AS DOUBLE) WHEN 1 THEN CAST(-16.995 AS DOUBLE) WHEN 2 THEN CAST(-16.993 AS DOUBLE) WHEN 3 THEN CAST(90 AS DOUBLE)
+         WHEN 4 THEN CAST(89.95 AS DOUBLE) WHEN 5 THEN CAST(40 AS DOUBLE) WHEN 6 THEN NULL ELSE CAST(-60 AS DOUBLE) END AS lat,
+       CASE c_custkey % 8 WHEN 0 THEN CAST(-70.995 AS DOUBLE) WHEN 1 THEN CAST(180 AS DOUBLE) WHEN 2 THEN CAST(-179.999 AS DOUBLE) WHEN 4 THEN CAST(c_custkey AS DOUBLE)
+         WHEN 5 THEN CAST(-100 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS lon,
+       CASE c_custkey % 8 WHEN 3 THEN CAST(3000 AS DOUBLE) WHEN 5 THEN CAST(5000000 AS DOUBLE) ELSE CAST(500 + (c_custkey % 5) * 300 AS DOUBLE) END AS radius_m
+FROM customer WHERE c_custkey < 40""",
     "place_queries": """
 SELECT s_suppkey AS query_id,
        CASE WHEN s_suppkey % 3 = 0 THEN concat('town ', CAST(s_suppkey % 30 AS VARCHAR(20)))
@@ -137,9 +183,10 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(SQL[name])
 
 
-def with_fixtures(sql: str, *names: str, recursive: bool = False) -> str:
-    """``sql`` (a SELECT, or WITH and a SELECT) for DuckDB, with derived tables as common table expressions."""
-    tables = ", ".join(f"{n} AS ({SQL[n]})" for n in names)
+def with_fixtures(sql: str, *names: str, recursive: bool = False, instead: dict[str, str] | None = None) -> str:
+    """``sql`` (a SELECT, or WITH and a SELECT) for DuckDB, with derived tables as common table expressions; ``instead``
+    has the tables that stand under other names."""
+    tables = ", ".join(f"{n} AS ({SQL[(instead or {}).get(n, n)]})" for n in names)
     body = sql.strip()
     rest = f", {body.removeprefix('WITH ')}" if body.startswith("WITH ") else f" {body}"
     return f"WITH {'RECURSIVE ' if recursive else ''}{tables}{rest}"
