@@ -94,15 +94,22 @@ def random_stops(tried: DataFrame, own_nodes: DataFrame, seed: int = 0) -> DataF
     return placed.join(numbered, ["request_id", "number"]).select(*KEYS, "place", "node_id")
 
 
-def aimed_stops(tried: DataFrame, boxes: DataFrame, nodes: DataFrame, seed: int = 0) -> DataFrame:
-    """request_id, route_no, place, node_id: the node nearest to each aim in the request's box, ties to the smaller id."""
+def aims(tried: DataFrame, seed: int = 0) -> DataFrame:
+    """request_id, route_no, place, lat, lon: where the stops of each try that is not random should be."""
     metres = F.col("target_distance_km") * 1000
     of = {"directional": directional, "out_and_back": out_and_back, "figure_eight": figure_eight}
-    aims = F.coalesce(*(F.when(F.col("strategy") == name, make(metres, seed)) for name, make in of.items()))
-    rows = tried.filter("strategy <> 'random'").select(*KEYS, "start_lat", "start_lon", F.posexplode(aims).alias("place", "aim"))
-    lat, lon = destination(F.col("start_lat"), F.col("start_lon"), F.col("aim.turn"), F.col("aim.metres"))
-    aimed = rows.select(*KEYS, "place", lat.alias("lat"), lon.alias("lon"))
-    return nearest_in_box(aimed, boxes, nodes, [*KEYS, "place"], STOP_CELL).select(*KEYS, "place", "node_id")
+    all_ = F.coalesce(*(F.when(F.col("strategy") == name, make(metres, seed)) for name, make in of.items()))
+    rows = tried.filter("strategy <> 'random'").select(*KEYS, "lat", "lon", F.posexplode(all_).alias("place", "aim"))
+    lat, lon = destination(F.col("lat"), F.col("lon"), F.col("aim.turn"), F.col("aim.metres"))
+    return rows.select(*KEYS, "place", lat.alias("lat"), lon.alias("lon"))
+
+
+def placed(requests: DataFrame, tried: DataFrame, boxes: DataFrame, nodes: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(request_id, start; request_id, route_no, place, node_id): the node nearest to each request and to each aim, both
+    in the request's own box; ties to the smaller id. One search serves both."""
+    own = requests.select("request_id", F.lit(-1).cast("long").alias("route_no"), F.lit(-1).alias("place"), "lat", "lon")
+    near = settle(nearest_in_box(own.unionByName(aims(tried, seed)), boxes, nodes, [*KEYS, "place"], STOP_CELL).select(*KEYS, "place", "node_id"))
+    return near.filter("place < 0").select("request_id", F.col("node_id").alias("start")), near.filter("place >= 0")
 
 
 def listed(tried: DataFrame, stops: DataFrame) -> DataFrame:
@@ -198,7 +205,7 @@ def _search(key: tuple, asked: pa.Table, packed: pa.Table) -> pa.Table:
             if own.sum() < graph.LEAST_NODES:
                 continue
             out, trees = network.streets(own), {}
-            for row in sorted(tries_, key=lambda r: r["route_no"]):
+            for row in sorted((r for r in tries_ if r["route_no"] >= 0), key=lambda r: r["route_no"]):
                 if row["draws"] is None:
                     stops = np.searchsorted(network.ids, row["loop"]).tolist()
                 else:
@@ -275,12 +282,6 @@ def _by_joins(tried: DataFrame, aimed: DataFrame, boxes: DataFrame, nodes: DataF
     return out.unionByName(back).drop("all").unionByName(counts.unionByName(few), allowMissingColumns=True)
 
 
-def with_starts(requests: DataFrame, boxes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``requests`` with start, the nearest node in the request's own box, and its own place as start_lat, start_lon."""
-    near = nearest_in_box(requests.select("request_id", "lat", "lon"), boxes, nodes, ["request_id"], STOP_CELL)
-    return requests.join(near.select("request_id", F.col("node_id").alias("start")), "request_id").withColumnsRenamed({"lat": "start_lat", "lon": "start_lon"})
-
-
 def loops(
     requests: DataFrame,
     nodes: DataFrame,
@@ -298,23 +299,23 @@ def loops(
     """
     boxes = settle(grouped(with_boxes(requests.select("request_id", "lat", "lon", "radius_m", "target_distance_km"))))
     own_nodes, own_edges = networks(boxes, nodes, edges)
-    tried = settle(tries(with_starts(boxes.select("request_id", "lat", "lon", "target_distance_km"), boxes, nodes), strategies))
-    aimed = settle(aimed_stops(tried, boxes, nodes, seed))
-    sizes = own_edges.groupBy("network").agg(F.count("*").alias("edges"))
-    asks = boxes.groupBy("network").agg(F.count("*").alias("asks"))
-    sized = asks.join(sizes, "network", "left").select("network", "asks", (F.coalesce("edges", F.lit(0)) > most_edges).alias("large"))
-    dealt = settle(boxes.join(sized, "network").withColumn("slice", F.pmod(F.xxhash64("request_id"), F.ceil(F.col("asks") / SLICE)).cast("int")))
-    aimed_loops = listed(tried, aimed).select(*KEYS, F.col("stops").alias("loop"))
-    random = tried.select(*KEYS, "strategy", "start").join(random_draws(tried, seed), KEYS, "left").join(aimed_loops, KEYS, "left")
-    small = dealt.filter("NOT large").select("network", "slice", "request_id", *BOX)
-    asked = small.join(random.filter("loop IS NOT NULL OR draws IS NOT NULL"), "request_id")
+    asks = tries(boxes.select("request_id", "lat", "lon", "target_distance_km"), strategies)
+    starts, aimed = placed(boxes, asks, boxes, nodes, seed)
+    tried = settle(asks.join(starts, "request_id"))
+    # names of networks beyond the bound alone
+    large = own_edges.groupBy("network").agg(F.count("*").alias("edges")).filter(F.col("edges") > most_edges).select("network")
+    sizes = boxes.groupBy("network").agg(F.count("*").alias("asks"))
+    sliced = boxes.join(sizes, "network").withColumn("slice", F.pmod(F.xxhash64("request_id"), F.ceil(F.col("asks") / SLICE)).cast("int"))
+    small = sliced.join(large, "network", "left_anti").select("network", "slice", "request_id", *BOX)
+    loop = listed(tried, aimed).select(*KEYS, F.col("stops").alias("loop"))
+    whole = tried.select(*KEYS, "strategy", "start").join(random_draws(tried, seed), KEYS, "left").join(loop, KEYS, "left")
     # a request whose every try fell out still has its number of nodes
-    idle = small.join(asked.select("request_id").distinct(), "request_id", "left_anti")
-    found = _by_helper(asked.unionByName(idle.withColumn("route_no", F.lit(-1).cast("long")), allowMissingColumns=True), own_nodes, own_edges)
-    large = settle(dealt.filter("large"))
+    asked = small.join(whole.filter("loop IS NOT NULL OR draws IS NOT NULL"), "request_id", "left").withColumn("route_no", F.coalesce("route_no", F.lit(-1)))
+    found = _by_helper(asked, own_nodes, own_edges)
     if not large.isEmpty():
-        ids = large.select("request_id")
-        found = found.unionByName(_by_joins(tried.join(ids, "request_id", "left_semi"), aimed.join(ids, "request_id", "left_semi"), large, nodes, edges, seed).select(found.columns))
+        rest = settle(boxes.join(large, "network", "left_semi"))
+        ids = rest.select("request_id")
+        found = found.unionByName(_by_joins(tried.join(ids, "request_id", "left_semi"), aimed.join(ids, "request_id", "left_semi"), rest, nodes, edges, seed).select(found.columns))
     found = settle(found)
     return found.filter("route_no >= 0").drop("nodes"), found.filter("route_no IS NULL").select("request_id", "nodes")
 

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from loopmill.functions.geo import EARTH_RADIUS_KM, METRES_PER_DEGREE, destination, haversine_km
@@ -14,9 +15,11 @@ from loopmill.functions.scratch import settle
 
 LEAST_NODES = 10
 #: Passes over rings of cells before points far from every node go on by descent.
-RINGS, FINER = 3, 4
+RINGS, BOX_RINGS, FINER = 3, 2, 4
 #: A box is covered by cells COARSER times as large until it is at most SIDE of them wide and high.
 SIDE, COARSER = 4, 4
+#: Similar routes of a request that are decided in one pass; more are in rounds.
+FOLD = 64
 #: Steps along streets that one round of ``shortest_paths`` takes.
 HOPS = 12
 
@@ -107,22 +110,23 @@ def nearest_in_box(points: DataFrame, boxes: DataFrame, nodes: DataFrame, keys:
     nodes of their own box. Ties: smaller node id.
     """
     by = (*keys, "lat", "lon")
-    here = _placed(points.select(*by)).join(boxes.select("request_id", *BOX), "request_id").withColumns(_on_sphere("lat", "lon"))
+    left = _placed(points.select(*by)).join(boxes.select("request_id", *BOX), "request_id").withColumns(_on_sphere("lat", "lon"))
     known = _placed(nodes.select("node_id", "lat", "lon")).withColumns(_on_sphere("lat", "lon")).withColumnsRenamed({"lat": "n_lat", "lon": "n_lon"})
-    left, found, size = here, None, math.radians(cell)
-    for _ in range(RINGS):
+    found, size = [], math.radians(cell)
+    for _ in range(BOX_RINGS):
         rings = left.withColumn("cell", F.explode(_around(size))).select(*by, *BOX, "cell.*")
         near = _best(rings.join(known.select("node_id", "n_lat", "n_lon", *_cell(size)), ["cx", "cy", "cz"]).filter(_inside("n_lat", "n_lon")), by)
-        sure = settle(near.filter(F.col("distance_km") <= size * EARTH_RADIUS_KM))
-        found = sure if found is None else found.unionByName(sure)
-        left = settle(left.join(sure.select(*keys), keys, "left_anti"))
+        sure = F.coalesce(F.col("distance_km") <= size * EARTH_RADIUS_KM, F.lit(False))
+        judged = settle(left.join(near.select(*keys, "node_id", "distance_km"), keys, "left").withColumn("sure", sure))
+        found.append(judged.filter("sure").select(*keys, "node_id", "distance_km"))
+        left = judged.filter("NOT sure").drop("node_id", "distance_km", "sure")
         if left.isEmpty():
-            return found.select(*keys, "node_id", "distance_km")
+            return reduce(DataFrame.unionByName, found)
         size *= FINER
     rest = boxes.join(left.select("request_id").distinct(), "request_id", "left_semi")
     own = nodes_in_boxes(rest, nodes).withColumnsRenamed({"lat": "n_lat", "lon": "n_lon"})
-    far = _best(left.select(*by).join(own, "request_id"), by)
-    return found.unionByName(far).select(*keys, "node_id", "distance_km")
+    far = _best(left.select(*by).join(own, "request_id"), by).select(*keys, "node_id", "distance_km")
+    return reduce(DataFrame.unionByName, [*found, far])
 
 
 def node_at_bearing(points: DataFrame, nodes: DataFrame, keys: list[str], bearing: Column, distance_m: Column, start: str, cell: float = 0.01) -> DataFrame:
@@ -364,26 +368,42 @@ def dedupe_routes(members: DataFrame, threshold: float = 0.8, most_rounds: int =
     """request_id, route_no of the routes that stay: in order, each unlike all earlier ones that stayed.
 
     ``members`` has request_id, route_no, lat, lon. Routes are alike as by ``similar_routes``; equal ones share their
-    fate with the first. The choice goes in rounds over all requests at once: what has no earlier route like it
-    stays, what is like one that stayed goes, the rest waits; so a request may have any number of routes. Rounds are as
-    many as the longest chain of routes that each wait for the one before. A null request is one group.
+    fate with the first. A request of up to FOLD different routes that are like others is folded in order in one pass. For
+    larger ones the choice goes in rounds over all requests at once: what is like a route that no other holds back
+    goes, the rest waits; so a request may have any number of routes, and rounds are as many as the longest chain of
+    routes that each wait for the one before. A null request is one group.
     """
     named = members.select(F.struct("request_id").alias("request_id"), "route_no", "lat", "lon")  # a struct of null is no null
     routes, pairs = similar_routes(named, threshold)
     pairs = settle(pairs)
-    gone = None
+    sizes = pairs.select("request_id", F.explode(F.array("a", "b")).alias("route_no")).groupBy("request_id").agg(F.count_distinct("route_no").alias("n"))
+    many = settle(sizes.filter(F.col("n") > FOLD).select("request_id"))
+    gone = [_folded(pairs.join(many, "request_id", "left_anti"))]
+    if not many.isEmpty():
+        gone += _dropped_in_rounds(settle(pairs.join(many, "request_id", "left_semi")), most_rounds)
+    kept = routes.join(reduce(DataFrame.unionByName, gone), ["request_id", "route_no"], "left_anti")
+    return kept.select("request_id.request_id", "route_no")
+
+
+def _folded(pairs: DataFrame) -> DataFrame:
+    """request_id, route_no of routes that go, by one pass in order over each request's similar routes."""
+    kind = pairs.schema["b"].dataType
+    earlier = pairs.groupBy("request_id", F.col("b").alias("route_no")).agg(F.collect_list("a").alias("earlier"))
+    listed = earlier.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("route_no", "earlier"))).alias("routes"))
+    none = F.array().cast(ArrayType(kind))
+    # a route goes if one of its earlier ones is not among those that went
+    goes = F.aggregate("routes", none, lambda out, r: F.when(F.size(F.array_except(r["earlier"], out)) > 0, F.array_append(out, r["route_no"])).otherwise(out))
+    return listed.select("request_id", F.explode(goes).alias("route_no"))
+
+
+def _dropped_in_rounds(pairs: DataFrame, most_rounds: int) -> list[DataFrame]:
+    gone = []
     for _ in range(most_rounds):
         if pairs.isEmpty():
-            break
+            return gone
         late = pairs.select("request_id", F.col("b").alias("a")).distinct()
-        # of the waiting ones, those like a route that no other holds back
-        dropped = settle(pairs.join(late, ["request_id", "a"], "left_anti").select("request_id", F.col("b").alias("route_no")).distinct())
-        gone = dropped if gone is None else gone.unionByName(dropped)
-        rest = pairs
+        gone.append(settle(pairs.join(late, ["request_id", "a"], "left_anti").select("request_id", F.col("b").alias("route_no")).distinct()))
         for side in "ab":
-            rest = rest.join(dropped.withColumnRenamed("route_no", side), ["request_id", side], "left_anti")
-        pairs = settle(rest)
-    else:
-        raise RuntimeError("routes were not decided")
-    kept = routes if gone is None else routes.join(gone, ["request_id", "route_no"], "left_anti")
-    return kept.select("request_id.request_id", "route_no")
+            pairs = pairs.join(gone[-1].withColumnRenamed("route_no", side), ["request_id", side], "left_anti")
+        pairs = settle(pairs)
+    raise RuntimeError("routes were not decided")
