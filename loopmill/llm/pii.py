@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopmill.llm import tagger
@@ -145,7 +145,18 @@ def _other(draw: np.random.Generator) -> str:
     """Something with digits that is no personal data."""
     digits = lambda a, b: "".join(draw.choice(list("0123456789"), int(draw.integers(a, b))))
     hexed = "".join(draw.choice(list("0123456789abcdef"), 40))
-    forms = (digits(1, 6), digits(1, 9), f"{digits(1, 4)}.{digits(1, 3)}", f"{digits(2, 3)}:{digits(2, 3)}", f"20{digits(2, 3)}-0{digits(1, 2)}-1{digits(1, 2)}", f"{digits(1, 2)}.{digits(1, 2)}.{digits(1, 2)}", f'token = "{hexed}"', f"${digits(1, 4)},{digits(3, 4)}", f"@{digits(1, 3)}", "@")
+    forms = (
+        digits(1, 6),
+        digits(1, 9),
+        f"{digits(1, 4)}.{digits(1, 3)}",
+        f"{digits(2, 3)}:{digits(2, 3)}",
+        f"20{digits(2, 3)}-0{digits(1, 2)}-1{digits(1, 2)}",
+        f"{digits(1, 2)}.{digits(1, 2)}.{digits(1, 2)}",
+        f'token = "{hexed}"',
+        f"${digits(1, 4)},{digits(3, 4)}",
+        f"@{digits(1, 3)}",
+        "@",
+    )
     return str(forms[int(draw.integers(len(forms)))])
 
 
@@ -334,7 +345,8 @@ def find_spans(docs: DataFrame, weights: dict[str, np.ndarray] | None, doc_id: s
             more = tagged(texts, weights) if weights is not None else [[] for _ in texts]
             counts = [pa.array([sum(s[0] == k for s in b) for b in base], type=pa.int64()) for k in range(len(KINDS))]
             spans = [_listed(b + reconcile(m, b)) if m else _listed(b) for b, m in zip(base, more)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array([_listed(b) for b in base], type=pa.string()), pa.array(spans, type=pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_spans", "spans"])
+            both = [pa.array(x, type=pa.string()) for x in ([_listed(b) for b in base], spans)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, *both], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_spans", "spans"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string")
 
@@ -345,11 +357,17 @@ def redact(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str
     Of overlapping spans the one that begins first goes in, the longer of equals. Ids must be unique; null ids match.
     """
     spans = found.select(F.col("doc_id").alias("own_id"), F.split(F.col("spans"), ",").alias("parts")).filter("parts[0] <> ''")
-    at = F.array_sort(F.transform("parts", lambda p: F.struct(F.split_part(p, F.lit(":"), F.lit(2)).cast("int").alias("a"), (-F.split_part(p, F.lit(":"), F.lit(3)).cast("int")).alias("b"), F.split_part(p, F.lit(":"), F.lit(1)).alias("k"))))
+    part = lambda p, k: F.split_part(p, F.lit(":"), F.lit(k))
+    span = lambda p: F.struct(part(p, 2).cast("int").alias("a"), (-part(p, 3).cast("int")).alias("b"), part(p, 1).alias("k"))
+    at = F.array_sort(F.transform("parts", span))
     names = docs.columns
     joined = docs.select(F.struct(*names).alias("row")).join(spans.select("own_id", at.alias("at")), F.col("row")[doc_id].eqNullSafe(F.col("own_id")), "left")
     own = F.col("row")[text].cast("string")
     start = F.struct(F.lit(0).alias("done"), F.lit("").alias("out"))
-    step = lambda s, x: F.when(x["a"] < s["done"], s).otherwise(F.struct((-x["b"]).alias("done"), F.concat(s["out"], F.substr(own, s["done"] + 1, x["a"] - s["done"]), F.lit("["), x["k"], F.lit("]")).alias("out")))
+
+    def step(s: Column, x: Column) -> Column:
+        said = F.concat(s["out"], F.substr(own, s["done"] + 1, x["a"] - s["done"]), F.lit("["), x["k"], F.lit("]"))
+        return F.when(x["a"] < s["done"], s).otherwise(F.struct((-x["b"]).alias("done"), said.alias("out")))
+
     clean = F.aggregate("at", start, step, lambda s: F.concat(s["out"], F.substr(own, s["done"] + 1)))
     return joined.select(*[F.when(F.col("at").isNull(), own).otherwise(clean).alias(c) if c == text else F.col("row")[c].alias(c) for c in names])

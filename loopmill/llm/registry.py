@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopmill.llm import chat, collocations, decontaminate, langid, line_dedup, lm_score, media, near_dedup, packing, pii, token_counts, warc, whitening
-from loopmill.llm.common import crc_bucket
+from loopmill.llm.common import crc_bucket, materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(table(spark, sf_dir, "documents")))
 
 
+def token_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each context limit from 128 to 1,048,576 tokens: documents that are longer, and tokens left when all are cut there."""
+    sums = token_counts.suffix_sums(token_counts.length_histogram(table(spark, sf_dir, "documents")))
+    limits = spark.range(7, 21).select(F.pow(F.lit(2.0), "id").cast("long").alias("context_limit"))
+    return token_counts.answer_limits(materialize(sums), limits)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     hit = decontaminate.span_words("spans")
@@ -95,6 +102,7 @@ QUERIES = (
     op11_pii,
     op12_whitening,
     op13_collocations,
+    token_limits,
 )
 
 
