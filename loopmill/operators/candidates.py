@@ -42,14 +42,16 @@ STOP_CELL = 0.005
 
 def draw(low: float, high: float, number: int | Column, seed: int = 0) -> Column:
     """A number from ``low`` to ``high`` for a try: 48 bits of a digest of what it is for."""
-    of = F.concat_ws("|", F.lit(str(seed)), F.col("request_id").cast("string"), "strategy", F.col("attempt").cast("string"), (F.lit(number) if isinstance(number, int) else number).cast("string"))
+    text = lambda c: (F.lit(c) if isinstance(c, int) else c).cast("string")
+    of = F.concat_ws("|", F.lit(str(seed)), text(F.col("request_id")), "strategy", text(F.col("attempt")), text(number))
     return low + (high - low) * (F.conv(F.substr(F.md5(of), F.lit(1), F.lit(12)), 16, 10).cast("double") / float(2**48))
 
 
 def tries(requests: DataFrame, strategies: tuple[str, ...] = STRATEGIES[:3]) -> DataFrame:
     """``requests`` with strategy, attempt, bearing and route_no: a row for each try, in order of strategies."""
     listed = [(s, k, b) for s in strategies for k, b in enumerate(BEARINGS[s])]
-    rows = F.array(*(F.struct(F.lit(no).cast("long").alias("route_no"), F.lit(s).alias("strategy"), F.lit(k).alias("attempt"), F.lit(float(b)).alias("bearing")) for no, (s, k, b) in enumerate(listed)))
+    one = lambda no, s, k, b: {"route_no": F.lit(no).cast("long"), "strategy": F.lit(s), "attempt": F.lit(k), "bearing": F.lit(float(b))}
+    rows = F.array(*(F.struct(*(c.alias(n) for n, c in one(no, *x).items())) for no, x in enumerate(listed)))
     return requests.withColumn("try", F.explode(rows)).select("*", "try.*").drop("try")
 
 
@@ -240,7 +242,8 @@ def networks(boxes: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[Data
 
     ``boxes`` is from ``grouped``. A group's box holds all of its requests' boxes; of parallel streets the lightest counts.
     """
-    outer = boxes.groupBy(F.col("network").alias("box")).agg(F.min("s").alias("s"), F.max("n").alias("n"), F.min("w").alias("w"), F.max("e").alias("e"), F.max("ring").alias("ring"))
+    ends = {"s": F.min("s"), "n": F.max("n"), "w": F.min("w"), "e": F.max("e"), "ring": F.max("ring")}
+    outer = boxes.groupBy(F.col("network").alias("box")).agg(*(c.alias(n) for n, c in ends.items()))
     inside = settle(graph._by_cells(outer, nodes, 0.02).withColumnRenamed("box", "network"))
     ends = inside.select("network", "node_id")
     between = edges.join(ends.withColumnRenamed("node_id", "u"), "u").join(ends.withColumnRenamed("node_id", "v"), ["network", "v"], "left_semi")
@@ -253,7 +256,8 @@ def _by_helper(asked: DataFrame, own_nodes: DataFrame, own_edges: DataFrame) ->
     streets = own_edges.groupBy("network").agg(F.collect_list(F.struct("u", "v", "length")).alias("e"))
     none = F.array().cast("array<struct<u:bigint,v:bigint,length:double>>")
     packed = packed.join(streets, "network", "left").withColumn("e", F.coalesce("e", none))
-    packed = packed.select("network", F.col("n.node_id").alias("ids"), F.col("n.lat").alias("lats"), F.col("n.lon").alias("lons"), F.col("e.u").alias("us"), F.col("e.v").alias("vs"), F.col("e.length").alias("lengths"))
+    fields = {"ids": "n.node_id", "lats": "n.lat", "lons": "n.lon", "us": "e.u", "vs": "e.v", "lengths": "e.length"}
+    packed = packed.select("network", *(F.col(c).alias(n) for n, c in fields.items()))
     wanted = asked.select("network", "slice").distinct()
     both = wanted.join(packed, "network")
     asked, both = asked.toDF(*asked.columns), both.toDF(*both.columns)  # columns of their own, whatever they come from
@@ -273,7 +277,8 @@ def _by_joins(tried: DataFrame, aimed: DataFrame, boxes: DataFrame, nodes: DataF
     sizes = found.groupBy("request_id", "source", "target").agg(F.max("seq").alias("steps"))
     along = Window.partitionBy(*KEYS)
     ordered = along.orderBy("leg").rowsBetween(Window.unboundedPreceding, -1)
-    whole = legs.join(sizes, ["request_id", "source", "target"]).withColumns({"known": F.count("*").over(along), "begins": F.coalesce(F.sum("steps").over(ordered), F.lit(0)), "all": F.sum("steps").over(along)}).filter("known = legs")
+    steps = {"known": F.count("*").over(along), "begins": F.coalesce(F.sum("steps").over(ordered), F.lit(0)), "all": F.sum("steps").over(along)}
+    whole = legs.join(sizes, ["request_id", "source", "target"]).withColumns(steps).filter("known = legs")
     placed = whole.join(found, ["request_id", "source", "target"]).filter("seq > 0 OR leg = 0").withColumn("seq", F.col("begins") + F.col("seq"))
     out = placed.select(*KEYS, "strategy", "seq", "node_id", "all")
     back = out.filter("strategy = 'out_and_back' AND seq < all").withColumn("seq", 2 * F.col("all") - F.col("seq"))

@@ -173,7 +173,8 @@ def _by_cells(boxes: DataFrame, nodes: DataFrame, cell: float) -> DataFrame:
     A box takes cells of such a size (``cell`` degrees times a power of COARSER) that it covers a few, however large
     it is; nodes stand on the cells of each size in use. Cells of a size are counted round the parallel.
     """
-    deep = F.ceil(F.log(F.greatest((F.col("n") - F.col("s")) / (SIDE * cell), F.when(F.col("ring"), 0.0).otherwise((F.col("e") - F.col("w")) / (SIDE * cell)), F.lit(1.0))) / math.log(COARSER))
+    high, wide = F.col("n") - F.col("s"), F.when(F.col("ring"), 0.0).otherwise(F.col("e") - F.col("w"))
+    deep = F.ceil(F.log(F.greatest(high / (SIDE * cell), wide / (SIDE * cell), F.lit(1.0))) / math.log(COARSER))
     sized = boxes.select("box", *BOX, deep.cast("int").alias("level")).withColumn("size", cell * F.pow(F.lit(float(COARSER)), "level"))
     low = lambda c: F.floor(c / F.col("size"))
     rows = F.sequence(low(F.col("s")), low(F.col("n")))
@@ -215,7 +216,8 @@ def subgraph(requests: DataFrame, nodes: DataFrame, edges: DataFrame, cell: floa
     too.
     """
     inside = settle(nodes_in_boxes(with_boxes(requests), nodes, cell))
-    counts = requests.select("request_id").join(inside.groupBy("request_id").agg(F.count("*").alias("nodes")), "request_id", "left").withColumn("nodes", F.coalesce("nodes", F.lit(0)))
+    counted = inside.groupBy("request_id").agg(F.count("*").alias("nodes"))
+    counts = requests.select("request_id").join(counted, "request_id", "left").withColumn("nodes", F.coalesce("nodes", F.lit(0)))
     judged = settle(counts.select("request_id", too_few("nodes").alias("reason")))
     kept = inside.join(judged.filter("reason IS NULL").select("request_id"), "request_id", "left_semi")
     ends = kept.select("request_id", "node_id")
@@ -231,7 +233,8 @@ def _spread(state: DataFrame, out: DataFrame, by: list[str], shared: list[str],
     keys = [k for k in by if k not in ("source", "node_id")]
     met = state.join(out.withColumnRenamed("u", "node_id"), [*shared, "node_id"], "left")
     goes = (F.col("new") == 1) & (F.col("dist") < bound)
-    offer = F.transform("to", lambda t: F.struct(t["v"].alias("node_id"), (F.col("dist") + t["length"]).alias("dist"), F.lit(1).alias("new"), F.col("node_id").alias("before"), F.lit(False).alias("done")))
+    fresh = [F.lit(1).alias("new"), F.col("node_id").alias("before"), F.lit(False).alias("done")]
+    offer = F.transform("to", lambda t: F.struct(t["v"].alias("node_id"), (F.col("dist") + t["length"]).alias("dist"), *fresh))
     if max_m is not None:
         offer = F.filter(offer, lambda t: t["dist"] <= max_m)
     # after its offers a node is new no more
@@ -260,7 +263,9 @@ def shortest_paths(sources: DataFrame, edges: DataFrame, keys: list[str], max_m:
     width, reach = max((sized.mean or 0.0) * hops * 0.75, 1e-9), sized.most or 0.0
     out = settle(light.filter("u <> v").groupBy(*shared, "u").agg(F.collect_list(F.struct("v", "length")).alias("to")))
     start = sources.select(*keys, "source").dropna().distinct()
-    state = settle(start.select(*keys, "source", F.col("source").alias("node_id"), F.lit(0.0).alias("dist"), F.lit(1).alias("new"), F.lit(None).cast(edges.schema["u"].dataType).alias("before"), F.lit(False).alias("done")))
+    none = F.lit(None).cast(edges.schema["u"].dataType)
+    first = {"node_id": F.col("source"), "dist": F.lit(0.0), "new": F.lit(1), "before": none, "done": F.lit(False)}
+    state = settle(start.select(*keys, "source", *(c.alias(n) for n, c in first.items())))
     settled, bound = [], width
     for _ in range(most_rounds):
         front = state.filter("NOT done").agg(F.min("dist").alias("low"), F.min(F.when((F.col("new") == 1) & (F.col("dist") < bound), F.col("dist"))).alias("open")).first()
@@ -313,8 +318,8 @@ def ways(paths: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     while not jump.isEmpty():
         jumps.append(jump)
         jump = settle(jump.join(jump.select(*by, F.col("node_id").alias("to"), F.col("to").alias("far")), [*by, "to"]).select(*by, "node_id", F.col("far").alias("to")))
-    rows = targets.select(*by, "target").distinct().withColumn("node_id", F.col("target")).join(paths.select(*by, "node_id"), [*by, "node_id"], "left_semi").withColumn("back", F.lit(0).cast("long"))
-    rows = rows.select(*by, "target", "back", "node_id")
+    asked = targets.select(*by, "target").distinct().withColumn("node_id", F.col("target"))
+    rows = asked.join(paths.select(*by, "node_id"), [*by, "node_id"], "left_semi").select(*by, "target", F.lit(0).cast("long").alias("back"), "node_id")
     for k in reversed(range(len(jumps))):
         further = rows.join(jumps[k], [*by, "node_id"]).select(*by, "target", (F.col("back") + (1 << k)).alias("back"), F.col("to").alias("node_id"))
         rows = settle(rows.unionByName(further))

@@ -27,7 +27,8 @@ def geocode(requests: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFram
     """
     asked = requests.select("request_id", "location", normal(F.col("location")).alias("key"))
     named = places.select("place_id", "lat", "lon", "importance", normal(F.col("name")).alias("key"))
-    best = named.groupBy("key").agg(F.min_by(F.struct("place_id", "lat", "lon"), F.struct(F.coalesce(-F.nanvl("importance", F.lit(None)), F.lit(float("inf"))), F.col("place_id"))).alias("place"))
+    last = F.coalesce(-F.nanvl("importance", F.lit(None)), F.lit(float("inf")))
+    best = named.groupBy("key").agg(F.min_by(F.struct("place_id", "lat", "lon"), F.struct(last, F.col("place_id"))).alias("place"))
     found = asked.join(best, "key").select("request_id", "place.place_id", "place.lat", "place.lon")
     rejects = asked.join(best, "key", "left_anti").select("request_id", F.concat(F.lit("Location not found: "), F.coalesce("location", F.lit(""))).alias("reason"))
     return found, rejects

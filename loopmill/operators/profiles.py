@@ -47,7 +47,8 @@ def simplify_profile(profile: DataFrame, key: str, num_points: int = 100, chunk_
     at, span = F.col("i") * F.col("step"), F.col("next_km") - F.col("km")
     ele = F.when(is_last | (span <= 0), F.col("ele")).otherwise(F.col("ele") + F.try_divide(at - F.col("km"), span) * (F.col("next_ele") - F.col("ele")))
     kept = F.col("i") == -1
-    return found.select(key, F.when(kept, F.col("seq")).otherwise(F.col("i")).cast("long").alias("idx"), F.when(kept, F.col("km")).otherwise(F.round(at, 3)).alias("km"), F.when(kept, F.col("ele")).otherwise(F.round(ele, 1)).alias("ele"))
+    made = {"idx": F.col("i").cast("long"), "km": F.round(at, 3), "ele": F.round(ele, 1)}
+    return found.select(key, *(F.when(kept, F.col("seq" if n == "idx" else n)).otherwise(c).alias(n) for n, c in made.items()))
 
 
 def profile_vectors(profile: DataFrame, key: str, num_points: int = SAMPLES) -> DataFrame:
