@@ -84,7 +84,7 @@ def add_products(hi: np.ndarray, lo: np.ndarray, y_hi: np.ndarray, y_lo: np.ndar
 
 
 def whole_vectors(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """vec_id, x (whole numbers) of rows whose vector has as many entries as the table's longest and only finite ones."""
+    """vec_id, x (whole numbers) of rows whose vector has only finite entries."""
     c = F.col(vector).cast("array<double>")
     known = rows.select(F.col(vec_id).alias("vec_id"), c.alias("c")).filter(F.col("c").isNotNull())
     known = known.filter(F.forall("c", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < LARGEST)))
