@@ -21,6 +21,8 @@ from loopmill.llm.wordscan import Words, mix, scan
 BATCH_BYTES = 4 << 20
 #: 36 bands of 5 values: a pair at 0.85 is missed once in 10**9, at 0.8 once in a million.
 BANDS, ROWS = 36, 5
+#: Members of a hub that stand beside one copy of its text.
+PART_ROWS = 1_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,42 +102,67 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, r
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary, bands array<bigint>")
 
 
+def beside_hubs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of ``pairs`` (node, hub, others) with the node's text, and the hub's own text before them.
+
+    Sorted within partitions by hub and part: first rows with member = false and the hub's text, which has no
+    node, then those of its members. A hub of more than PART_ROWS members is in several parts, so that the rows
+    stay in proportion to the pairs, no task has all of a hub, and a hub's text is there once for each part.
+    ``texts`` has node and text.
+    """
+    wanted = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).distinct()
+    needed = materialize(texts.join(small_side(wanted), "node", "left_semi"))
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PART_ROWS).cast("long").alias("parts"))
+    sized = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("node"), "parts")).drop("parts")
+    members = sized.join(needed, "node").withColumn("member", F.lit(True))
+    hubs = needed.withColumnRenamed("node", "hub").join(parts, "hub").select("hub", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"))
+    rows = members.unionByName(hubs, allowMissingColumns=True)
+    return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "member")
+
+
+def _against_hubs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, np.ndarray, np.ndarray]]]]:
+    """Batches of ``beside_hubs``, each with (row, its set, its hub's set) of its members, in order.
+
+    Where rows repeat the hub's id with other texts, a member comes once for each different text.
+    """
+    key, held = None, {}
+    for batch in grouped_slices(batches, "text", BATCH_BYTES):
+        texts = utf8(batch.column("text"))
+        value, bounds = shingles(scan(texts), size)
+        found = []
+        for i, (hub, part, member) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("hub", "part", "member")))):
+            own = value[bounds[i] : bounds[i + 1]]
+            if key != (hub, part):
+                key, held = (hub, part), {}
+            if member:
+                found += [(i, own, hub_set) for hub_set in held.values()]
+            else:
+                held[hashlib.blake2b(texts[i], digest_size=16).digest()] = own.copy()
+        yield batch, found
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those with 100 * |A & B| >= percent * |A | B| on full shingle sets.
+    """Of the pairs (node, hub), those with 100 * |A & B| >= percent * |A | B| on full shingle sets, as (a, b).
 
-    ``texts`` has node and text. Sets are built anew from the texts of the pairs alone.
+    ``texts`` has node and text. Sets are built anew from the texts of the pairs alone, a hub's once for each part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, None
-        for batch in grouped_slices(batches, "text_a", BATCH_BYTES):
-            mine, bounds = shingles(scan(utf8(batch.column("text_a"))), size)
-            hubs = utf8(batch.column("text_b"))
+        for batch, found in _against_hubs(batches, size):
             keep = np.zeros(batch.num_rows, dtype=bool)
-            for i, hub in enumerate(hubs):
-                if hub != last:
-                    last, last_set = hub, shingles(scan([hub]), size)[0]
-                own = mine[bounds[i] : bounds[i + 1]]
-                at = np.minimum(np.searchsorted(last_set, own), max(len(last_set) - 1, 0))
-                both = int((last_set[at] == own).sum()) if len(last_set) and len(own) else 0
-                keep[i] = both > 0 and 100 * both >= percent * (len(own) + len(last_set) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    both = with_texts(pairs, texts)
-    kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) with text_a and text_b, from ``texts`` (node, text)."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = materialize(texts.join(small_side(wanted), "node", "left_semi"))
-    left = pairs.join(needed.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return left.join(needed.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+            for i, own, hub_set in found:
+                at = np.minimum(np.searchsorted(hub_set, own), max(len(hub_set) - 1, 0))
+                both = int((hub_set[at] == own).sum()) if len(hub_set) and len(own) else 0
+                keep[i] |= both > 0 and 100 * both >= percent * (len(own) + len(hub_set) - both)
+            linked = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([linked.column("node"), linked.column("hub")], names=["a", "b"])
+
+    kind = pairs.schema["node"].dataType.simpleString()
+    return beside_hubs(pairs, texts).select("node", "hub", "part", "member", "text").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def across_components(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) to confirm among ``members`` (node, component, hub) of one hub and different components.
+    """Pairs (node, hub) to confirm among ``members`` (node, component, hub) of one hub and different components.
 
     Sets that are similar to one hub are far too alike for a prefix filter on themselves, so it works on what
     tells each from the hub: the symmetric difference E of a set A with the hub's. For linked sets A and B,
@@ -146,35 +173,32 @@ def across_components(members: DataFrame, texts: DataFrame, size: int, percent:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub_set = None, np.zeros(0, dtype=np.uint64)
-        for batch in grouped_slices(batches, "text_a", BATCH_BYTES):
-            mine, bounds = shingles(scan(utf8(batch.column("text_a"))), size)
-            tokens, sizes, differences = [], np.diff(bounds), []
-            for i, hub in enumerate(utf8(batch.column("text_b"))):
-                if hub != last:
-                    last, hub_set = hub, shingles(scan([hub]), size)[0]
-                own = mine[bounds[i] : bounds[i + 1]]
+        for batch, found in _against_hubs(batches, size):
+            tokens, sizes, differences = [np.zeros(0, dtype=np.int64)], [], []
+            for _, own, hub_set in found:
                 both = np.concatenate([np.setdiff1d(own, hub_set, assume_unique=True), np.setdiff1d(hub_set, own, assume_unique=True)])
-                differences.append(len(both))
                 most = (100 - percent) * (len(own) + len(own) * 100 // percent + 1) // (100 + percent)
                 tokens.append(both[: most + 1].view(np.int64))
-            n = np.array([len(x) for x in tokens])
-            row = np.repeat(np.arange(batch.num_rows), n)
-            at = pa.array(row)
+                differences.append(len(both))
+                sizes.append(len(own))
+            n = np.array([len(x) for x in tokens[1:]], dtype=np.int64)
+            nth = np.repeat(np.arange(len(n)), n)
+            at = pa.array(np.array([i for i, _, _ in found], dtype=np.int64)[nth])
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(c).take(at) for c in ("a", "b", "component")),
-                    pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *tokens])),
-                    pa.array(np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)),
-                    pa.array(np.array(differences, dtype=np.int64)[row]),
-                    pa.array(sizes[row]),
+                    *(batch.column(c).take(at) for c in ("node", "hub", "component")),
+                    pa.array(np.concatenate(tokens)),
+                    pa.array(np.arange(len(nth)) - np.repeat(np.cumsum(n) - n, n)),
+                    pa.array(np.array(differences, dtype=np.int64)[nth]),
+                    pa.array(np.array(sizes, dtype=np.int64)[nth]),
                 ],
                 names=["node", "hub", "component", "token", "place", "e", "n"],
             )
 
     kind = members.schema["node"].dataType.simpleString()
-    named = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "component").distinct()
-    rows = materialize(with_texts(materialize(named), texts).select("a", "b", "component", "text_a", "text_b").mapInArrow(run, f"node {kind}, hub {kind}, component {kind}, token long, place long, e long, n long"))
+    named = materialize(members.filter("node <> hub").select("node", "hub", "component").distinct())
+    rows = beside_hubs(named, texts).select("node", "hub", "component", "part", "member", "text")
+    rows = materialize(rows.mapInArrow(run, f"node {kind}, hub {kind}, component {kind}, token long, place long, e long, n long"))
     # what a hub has by itself all others lack alike: its largest component is therefore met by the others alone
     kinds = rows.filter("place = 0").groupBy("hub", "component").agg(F.count("*").alias("many"))
     largest = kinds.groupBy("hub").agg(F.max_by("component", F.struct("many", "component")).alias("main"))
@@ -186,7 +210,8 @@ def across_components(members: DataFrame, texts: DataFrame, size: int, percent:
     others = side("a").filter("a_component <> main").drop("main")
     once = (F.col("b_component") == F.col("main")) | (F.col("a_node") < F.col("b_node"))
     pairs = others.join(side("b"), ["hub", "token"]).filter((F.col("a_component") != F.col("b_component")) & once & close & enough)
-    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+    # the smaller id, named hub here, is the side whose text stands once for each part
+    return pairs.select(F.greatest("a_node", "b_node").alias("node"), F.least("a_node", "b_node").alias("hub")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -209,7 +234,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sizes = crowd.groupBy("bucket").agg(F.count("*").alias("n"))
     central = crowd.join(sizes, "bucket").groupBy("node").agg((-F.sum("n")).alias("rank"))
     ranked = crowd.join(central, "node")
-    rough = stars(crowd).unionByName(stars(ranked, "rank")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    rough = stars(crowd).unionByName(stars(ranked, "rank"))
+    # each pair once, even if either side is a hub of the other
+    rough = rough.groupBy(F.least("node", "hub").alias("low"), F.greatest("node", "hub").alias("high")).agg(F.max("hub").alias("hub"))
+    rough = rough.select(F.when(F.col("hub") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("node"), "hub")
     first = materialize(confirm(materialize(rough), texts, size, percent))
     # what is still apart in some bucket: its most central member has been compared with all others there
     hubs = ranked.groupBy("bucket").agg(F.min_by("node", F.struct("rank", "node")).alias("hub"))

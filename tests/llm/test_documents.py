@@ -273,6 +273,35 @@ def test_cluster_around_the_threshold(spark):
     assert len(set(got.values())) > 5 and got == {i: find(i) for i in sets}
 
 
+def test_many_copies_of_one_hub(spark):
+    """10,000 copies of one text, each edited by itself: one component, and the hub's text once for each part."""
+    draw = random.Random(5)
+    base = [f"w{draw.randint(0, 10**6)}" for _ in range(60)]
+    rows = [(0, " ".join(base), None)]
+    for i in range(1, 10_001):
+        w = list(base)
+        w[draw.randrange(60)] = f"own{i}"
+        rows.append((i, " ".join(w), None))
+    docs = documents(spark, rows)
+    got = near_dedup.near_duplicates(docs, size=3, percent=85).agg(F.max("component_id"), F.sum(F.col("kept").cast("int")), F.count("*")).first()
+    assert tuple(got) == (0, 1, 10_001)
+    pairs = docs.filter("doc_id > 0").select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("hub"))
+    beside = near_dedup.beside_hubs(pairs, docs.select(F.col("doc_id").alias("node"), "text"))
+    counts = beside.groupBy("part").agg(F.count_if("member").alias("members"), F.count_if(~F.col("member")).alias("hubs"), F.sum(F.length("text")).alias("chars")).collect()
+    assert sum(r.members for r in counts) == 10_000 and [r.hubs for r in counts] == [1] * 10
+    assert max(r.members for r in counts) < 1.2 * near_dedup.PART_ROWS
+    assert sum(r.chars for r in counts) == sum(len(t) for _, t, _ in rows) + 9 * len(rows[0][1])
+
+
+def test_a_hub_id_with_other_texts(spark):
+    """A member is compared with every text of its hub's id, repeated rows or not."""
+    one, two = (" ".join(f"{c}{k}" for k in range(30)) for c in "pq")
+    texts = documents(spark, [(1, one, None), (1, two, None), (1, two, None), (2, one + " more", None), (3, two + " more", None), (4, "", None)])
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (4, 1)], "node long, hub long")
+    found = near_dedup.confirm(pairs, texts.select(F.col("doc_id").alias("node"), "text"), 3, 85)
+    assert sorted(tuple(r) for r in found.collect()) == [(2, 1), (3, 1)]
+
+
 def test_line_dedup_equals_all_pairs(spark, empty):
     draw = random.Random(9)
     lines = [text(draw, 8, 14, [f"wort{i}" for i in range(60)]) for _ in range(30)]
