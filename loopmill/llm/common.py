@@ -38,6 +38,13 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+def _sizes(column: pa.Array) -> pa.Array:
+    """Bytes of each text, from the offsets alone; null counts as empty."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most`` bytes of ``column`` at most, and one row at least."""
     import numpy as np
@@ -45,8 +52,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.array([len(x) for x in utf8(batch.column(column))], dtype=np.int64)
-        part = np.cumsum(sizes) // most
+        part = np.cumsum(_sizes(batch.column(column)).to_numpy(zero_copy_only=False)) // most
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):
             yield batch.slice(lo, hi - lo)
@@ -57,7 +63,7 @@ def grouped_slices(batches: Iterator[pa.RecordBatch], column: str, most: int) ->
     held: list[pa.RecordBatch] = []
     size = 0
     for piece in slices(batches, column, most):
-        own = sum(len(x) for x in utf8(piece.column(column)))
+        own = int(_sizes(piece.column(column)).to_numpy(zero_copy_only=False).sum())
         if held and size + own > most:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held, size = [], 0

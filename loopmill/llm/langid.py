@@ -44,7 +44,7 @@ SWITCH_PENALTY = 8.0
 #: A word in a script that a language's training texts hardly have (under this share) is not of that language.
 SCRIPT_SHARE, FOREIGN = 0.001, -30.0
 #: Text labelled at a time: working memory is some 60 times as much.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 UNDETERMINED = "und"
 
 _FIRST = np.array([a for _, a, _ in SCRIPTS])
