@@ -45,6 +45,13 @@ def _sizes(column: pa.Array) -> pa.Array:
     return pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())
 
 
+def give_back() -> None:
+    """Hand free memory back to the system. Idle Python workers would keep what a finished task's batches took, beside
+    the stages that run in the JVM afterwards."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most`` bytes of ``column`` at most, and one row at least."""
     import numpy as np
@@ -56,6 +63,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):
             yield batch.slice(lo, hi - lo)
+        del batch
+    give_back()
 
 
 def grouped_slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
@@ -71,6 +80,8 @@ def grouped_slices(batches: Iterator[pa.RecordBatch], column: str, most: int) ->
         size += own
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    held = []
+    give_back()
 
 
 def task_count(df: DataFrame, payload_bytes: int | None, task_bytes: int) -> int:
