@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loopmill.functions.geo import METRES_PER_DEGREE, destination, search_bounds
-from loopmill.functions.scratch import settle
+from loopmill.functions.scratch import settle, unbroadcast
 from loopmill.operators import graph
 from loopmill.operators.graph import BOX, dedupe_routes, nearest_in_box, nodes_in_boxes, subgraph, too_few, validate_routes, with_boxes
 
@@ -246,7 +246,7 @@ def networks(boxes: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[Data
     outer = boxes.groupBy(F.col("network").alias("box")).agg(*(c.alias(n) for n, c in ends.items()))
     inside = settle(graph._by_cells(outer, nodes, 0.02).withColumnRenamed("box", "network"))
     ends = inside.select("network", "node_id")
-    between = edges.join(ends.withColumnRenamed("node_id", "u"), "u").join(ends.withColumnRenamed("node_id", "v"), ["network", "v"], "left_semi")
+    between = unbroadcast(edges).join(ends.withColumnRenamed("node_id", "u"), "u").join(ends.withColumnRenamed("node_id", "v"), ["network", "v"], "left_semi")
     return inside, settle(between.groupBy("network", "u", "v").agg(F.min("length").alias("length")))
 
 

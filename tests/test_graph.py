@@ -401,3 +401,47 @@ def test_routes_have_elevations(spark, sf):
     assert {(r.y, r.x) for r in nodes} <= cells
     rows = [r for r in registry.find_routes(spark, sf).collect() if r.reason is None]
     assert rows and min(r.min_elevation_m for r in rows) >= 10 and len({r.elevation_gain_m for r in rows}) > 1
+
+
+def _broadcast_nodes(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_points_around_cubes_are_not_broadcast(spark, monkeypatch):
+    """Rows of a small file, times 27 cubes each, stay off the driver whatever Spark takes the file for."""
+    from loopmill.operators import graph as module
+
+    seen = []
+    plain = module._best
+    monkeypatch.setattr(module, "_best", lambda pairs, *rest: (seen.append(_broadcast_nodes(pairs)), plain(pairs, *rest))[1])
+    nodes = spark.range(50).selectExpr("id AS node_id", "42 + id * 0.001D AS lat", "-71D AS lon")
+    points = spark.range(50).selectExpr("id AS point_id", "42 + id * 0.001D AS lat", "-71.0001D AS lon")
+    assert module.nearest_node(points, nodes, ["point_id"]).count() == 50
+    boxes = module.with_boxes(points.selectExpr("point_id AS request_id", "lat", "lon", "500D AS radius_m"))
+    asked = points.selectExpr("point_id AS request_id", "0 AS place", "lat", "lon")
+    assert module.nearest_in_box(asked, boxes, nodes, ["request_id", "place"]).count() == 50
+    assert seen and not any(seen)
+
+
+def test_box_beyond_a_pole_has_no_cells(spark, monkeypatch):
+    """A box whose south end is above 90 degrees holds nothing; it once took every row of cells back to the pole."""
+    from pyspark.sql import functions as F
+
+    from loopmill.operators import graph as module
+
+    boxes = module.with_boxes(spark.createDataFrame([(1, 150.0, -71.0, 500.0), (2, 42.0, -71.0, 500.0)], "request_id long, lat double, lon double, radius_m double"))
+    nodes = spark.createDataFrame([(1, 150.0, -71.0), (2, 42.0, -71.0), (3, 120.0, -71.0)], "node_id long, lat double, lon double")
+    made, plain = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: (made.append(df.count()), plain(df))[1])
+    assert [tuple(r) for r in module.nodes_in_boxes(boxes, nodes).select("request_id", "node_id").collect()] == [(2, 2)]
+    assert made and sum(made) < 50
+
+
+def test_many_boxes_and_few_give_the_same(spark, monkeypatch):
+    from loopmill.operators import graph as module
+
+    nodes = spark.range(400).selectExpr("id AS node_id", "42 + floor(id / 20) * 0.001D AS lat", "-71 + id % 20 * 0.001D AS lon")
+    boxes = module.with_boxes(nodes.selectExpr("node_id AS request_id", "lat", "lon", "150D + node_id * 20 AS radius_m"))
+    few = sorted(map(tuple, module.nodes_in_boxes(boxes, nodes).collect()))
+    monkeypatch.setattr(module, "FEW_BOXES", 0)
+    assert sorted(map(tuple, module.nodes_in_boxes(boxes, nodes).collect())) == few
