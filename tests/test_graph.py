@@ -445,3 +445,25 @@ def test_many_boxes_and_few_give_the_same(spark, monkeypatch):
     few = sorted(map(tuple, module.nodes_in_boxes(boxes, nodes).collect()))
     monkeypatch.setattr(module, "FEW_BOXES", 0)
     assert sorted(map(tuple, module.nodes_in_boxes(boxes, nodes).collect())) == few
+
+
+def test_far_points_meet_few_of_many_near_nodes(spark, monkeypatch):
+    """Points far from a crowd of nodes, beside the pole and opposite to it, find the right one among a few."""
+    import math
+
+    from loopmill.operators import graph as module
+
+    met, plain = [], module._best
+    monkeypatch.setattr(module, "_best", lambda pairs, *rest: (met.append(pairs.count()), plain(pairs, *rest))[1])
+    nodes = spark.range(2000).selectExpr("id AS node_id", "42 + id % 25 * 0.001D AS lat", "-71 + floor(id / 25) * 0.001D AS lon")
+    points = spark.createDataFrame([(1, 132.0, -71.0), (2, 60.0, -70.97), (3, 89.999, 10.0), (4, 222.0013, -71.004), (5, 42.0123, -70.95)], "point_id long, lat double, lon double")
+    got = {r.point_id: (r.node_id, r.distance_km) for r in module.nearest_node(points, nodes, ["point_id"]).collect()}
+
+    def km(a, b):
+        p, q, d = math.radians(a[0]), math.radians(b[0]), math.radians(b[1] - a[1])
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(d / 2) ** 2)))
+
+    known = [(r.lat, r.lon) for r in nodes.orderBy("node_id").collect()]
+    for p in points.collect():
+        assert abs(got[p.point_id][1] - min(km((p.lat, p.lon), n) for n in known)) < 1e-3 * max(1.0, got[p.point_id][1] / 1000)
+    assert sum(met) < 5 * 400
