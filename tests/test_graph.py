@@ -467,3 +467,17 @@ def test_far_points_meet_few_of_many_near_nodes(spark, monkeypatch):
     for p in points.collect():
         assert abs(got[p.point_id][1] - min(km((p.lat, p.lon), n) for n in known)) < 1e-3 * max(1.0, got[p.point_id][1] / 1000)
     assert sum(met) < 5 * 400
+
+
+def test_sums_of_ways_are_those_of_written_ways(spark):
+    """The same numbers as from the ways themselves, with a few rows for each node instead of a row for each step."""
+    from pyspark.sql import functions as F
+
+    from loopmill.operators import graph as module
+
+    first = "CASE WHEN node_id = 0 THEN NULL WHEN node_id % 7 = 3 THEN floor(node_id / 2) ELSE node_id - 1 END"
+    paths = spark.range(60).selectExpr("id % 2 AS request_id", "0L AS source", "id DIV 2 AS node_id").selectExpr("*", f"CAST({first} AS BIGINT) AS before")
+    ways = module.ways(paths, paths.withColumn("target", F.col("node_id")), ["request_id"])
+    want = ways.groupBy("request_id", "source", "target").agg(F.count("*").alias("nodes"), F.sum(F.col("seq") * F.col("node_id")).alias("way_sum"))
+    got = module.way_sums(paths, ["request_id"]).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 60
