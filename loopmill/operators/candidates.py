@@ -120,7 +120,7 @@ def listed(tried: DataFrame, stops: DataFrame) -> DataFrame:
     Tries of the first two strategies end where a stop is the start itself.
     """
     by_place = stops.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("place", "node_id"))).alias("s"))
-    known = tried.select(*KEYS, "strategy", "start").join(by_place, KEYS).withColumn("s", F.transform("s", lambda x: x["node_id"]))
+    known = tried.select(*KEYS, "strategy", "start").join(unbroadcast(by_place), KEYS).withColumn("s", F.transform("s", lambda x: x["node_id"]))
     known = known.filter(~(F.col("strategy").isin("directional", "out_and_back") & F.array_contains("s", F.col("start"))))
     start = F.array("start")
     eight = F.concat(start, F.slice("s", 1, 2), start, F.slice("s", 3, 2), start)
@@ -259,7 +259,7 @@ def _by_helper(asked: DataFrame, own_nodes: DataFrame, own_edges: DataFrame) ->
     fields = {"ids": "n.node_id", "lats": "n.lat", "lons": "n.lon", "us": "e.u", "vs": "e.v", "lengths": "e.length"}
     packed = packed.select("network", *(F.col(c).alias(n) for n, c in fields.items()))
     wanted = asked.select("network", "slice").distinct()
-    both = wanted.join(packed, "network")
+    both = unbroadcast(wanted).join(packed, "network")
     asked, both = asked.toDF(*asked.columns), both.toDF(*both.columns)  # columns of their own, whatever they come from
     return asked.groupBy("network", "slice").cogroup(both.groupBy("network", "slice")).applyInArrow(_search, _FOUND)
 
@@ -311,9 +311,10 @@ def loops(
     large = own_edges.groupBy("network").agg(F.count("*").alias("edges")).filter(F.col("edges") > most_edges).select("network")
     sizes = boxes.groupBy("network").agg(F.count("*").alias("asks"))
     sliced = boxes.join(sizes, "network").withColumn("slice", F.pmod(F.xxhash64("request_id"), F.ceil(F.col("asks") / SLICE)).cast("int"))
-    small = sliced.join(large, "network", "left_anti").select("network", "slice", "request_id", *BOX)
-    loop = listed(tried, aimed).select(*KEYS, F.col("stops").alias("loop"))
-    whole = tried.select(*KEYS, "strategy", "start").join(random_draws(tried, seed), KEYS, "left").join(loop, KEYS, "left")
+    small = sliced.join(unbroadcast(large), "network", "left_anti").select("network", "slice", "request_id", *BOX)
+    loop = unbroadcast(listed(tried, aimed).select(*KEYS, F.col("stops").alias("loop")))
+    # a row for each try, which would else be sent through the driver while its compressed bytes are few
+    whole = unbroadcast(tried.select(*KEYS, "strategy", "start").join(random_draws(tried, seed), KEYS, "left").join(loop, KEYS, "left"))
     # a request whose every try fell out still has its number of nodes
     asked = small.join(whole.filter("loop IS NOT NULL OR draws IS NOT NULL"), "request_id", "left").withColumn("route_no", F.coalesce("route_no", F.lit(-1)))
     found = _by_helper(asked, own_nodes, own_edges)

@@ -481,3 +481,30 @@ def test_sums_of_ways_are_those_of_written_ways(spark):
     want = ways.groupBy("request_id", "source", "target").agg(F.count("*").alias("nodes"), F.sum(F.col("seq") * F.col("node_id")).alias("way_sum"))
     got = module.way_sums(paths, ["request_id"]).select(want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 60
+
+
+@pytest.mark.parametrize("strategy", ["directional", "out_and_back", "random", "figure_eight"])
+def test_tries_are_not_broadcast(spark, sf, monkeypatch, strategy):
+    """Tries with their draws and stops, some 20 a request, stay off the driver however few their bytes are."""
+    seen, plain = [], candidates._by_helper
+
+    def watched(asked, *rest):
+        asked.collect()
+        seen.append(_broadcast_nodes(asked))
+        return plain(asked, *rest)
+
+    monkeypatch.setattr(candidates, "_by_helper", watched)
+    tables = [fixture(spark, sf, n) for n in ("loop_requests", "street_nodes", "street_edges")]
+    asked = tables[0].withColumn("radius_m", geo.search_bounds(F.col("target_distance_km"))["radius_m"])
+    assert candidates.loops(asked, *tables[1:], (strategy,))[0].count() and seen == [0]
+
+
+def test_places_of_routes_and_found_stops_are_not_broadcast(spark, monkeypatch):
+    seen, plain = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df: (df.collect(), seen.append(_broadcast_nodes(df)), plain(df))[2])
+    members = spark.range(60).selectExpr("id % 3 AS request_id", "floor(id / 12) AS route_no", "42D + id % 7 * 0.001D AS lat", "-71D AS lon")
+    assert graph.similar_routes(members)[0].count()
+    nodes = spark.range(50).selectExpr("id AS node_id", "42 + id * 0.001D AS lat", "-71D AS lon")
+    boxes = graph.with_boxes(nodes.selectExpr("node_id AS request_id", "lat", "lon", "500D AS radius_m"))
+    assert graph.nearest_in_box(nodes.selectExpr("node_id AS request_id", "0 AS place", "lat", "lon"), boxes, nodes, ["request_id", "place"]).count() == 50
+    assert seen and not any(seen)
