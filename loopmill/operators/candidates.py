@@ -10,6 +10,7 @@ All draws are digests of (seed, request, strategy, attempt, draw), so that a tas
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,10 @@ STOP_DRAWS = 16
 MOST_EDGES = 1_000_000
 #: Requests that meet their network in one task, on average.
 SLICE = 64
+#: Ways from all stops of a request are found together up to so many nodes times stops, streets to a node, and passes.
+MOST_CELLS, MOST_STREETS, MOST_PASSES = 200_000, 16, 128
+#: Requests of one task, on average, at most.
+TASK = 256
 KEYS = ["request_id", "route_no"]
 #: Width in degrees of the first cells in which starts and stops are looked for.
 STOP_CELL = 0.005
@@ -153,16 +158,64 @@ class Tree:
         return back[::-1]
 
 
+class Trees:
+    """The ways of ``Tree`` from several nodes of a small network, all at once by passes over its streets.
+
+    ``known`` is false where such passes are no help: many nodes times sources, long ways, nodes with many streets,
+    and streets that are too short to change a sum.
+    """
+
+    def __init__(self, nodes: int, u: np.ndarray, v: np.ndarray, length: np.ndarray, sources: list[int]):
+        self.known, self.column = False, {s: k for k, s in enumerate(sources)}
+        counted = length == length  # a street of no known length leads nowhere
+        u, v, length = u[counted], v[counted], length[counted]
+        held = np.bincount(v, minlength=nodes)
+        if nodes * len(sources) > MOST_CELLS or held.max(initial=0) > MOST_STREETS or length.min(initial=0) < 0:
+            return
+        # streets by the node they lead to, and of a node by the id they come from
+        order = np.lexsort((u, v))
+        u, v, length = u[order], v[order], length[order]
+        place = np.arange(len(v)) - (np.cumsum(held) - held)[v]
+        before, metres = np.zeros((held.max(initial=0), nodes), dtype=np.int64), np.full((held.max(initial=0), nodes, 1), np.inf)
+        before[place, v], metres[place, v, 0] = u, length
+        dist = np.full((nodes, len(sources)), np.inf)
+        dist[sources, range(len(sources))] = 0.0
+        for _ in range(MOST_PASSES):
+            old = dist.copy()
+            for k in range(len(before)):
+                np.minimum(dist, dist[before[k]] + metres[k], out=dist)
+            if np.array_equal(old, dist):
+                break
+        else:
+            return
+        near, self.before = np.full(dist.shape, np.inf), np.full(dist.shape, -1)
+        for k in range(len(before)):
+            d = dist[before[k]]
+            better = (d + metres[k] == dist) & (d < near) & (d < dist)
+            near[better] = d[better]
+            self.before[better] = np.broadcast_to(before[k][:, None], dist.shape)[better]
+        self.dist = dist
+        self.known = not ((self.before < 0) & np.isfinite(dist) & (dist > 0)).any() and (dist == 0).sum() == len(sources)
+
+    def way(self, source: int, target: int) -> list[int] | None:
+        column = self.column[source]
+        if not np.isfinite(self.dist[target, column]):
+            return None
+        back, before = [target], self.before[:, column]
+        while back[-1] != source:
+            back.append(int(before[back[-1]]))
+        return back[::-1]
+
+
 class Network:
-    """A group's network as arrays: nodes in order of id, streets by the node they leave (compressed rows)."""
+    """A group's network as arrays: nodes in order of id, streets in order of the node they leave."""
 
     def __init__(self, ids: np.ndarray, lat: np.ndarray, lon: np.ndarray, u: np.ndarray, v: np.ndarray, length: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.lat, self.lon = ids[order], lat[order], lon[order]
         u, v = np.searchsorted(self.ids, u), np.searchsorted(self.ids, v)
         order = np.argsort(u, kind="stable")
-        self.v, self.length = v[order], length[order]
-        self.first = np.searchsorted(u[order], np.arange(len(ids) + 1))
+        self.u, self.v, self.length = u[order], v[order], length[order]
 
     def own(self, box: dict) -> np.ndarray:
         """Which nodes lie in a request's box."""
@@ -172,12 +225,17 @@ class Network:
         turned = [(self.lon >= box["w"] + t) & (self.lon <= box["e"] + t) for t in (0, 360, -360)]
         return inside & (turned[0] | turned[1] | turned[2])
 
-    def streets(self, own: np.ndarray) -> dict[int, list[tuple[int, float]]]:
-        """Streets between own nodes, by the node they leave."""
-        u = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
-        at = np.flatnonzero(own[u] & own[self.v])
+    def between(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Streets (from, to, length) between own nodes, which are numbered among themselves."""
+        at = np.flatnonzero(own[self.u] & own[self.v])
+        number = np.cumsum(own) - 1
+        return number[self.u[at]], number[self.v[at]], self.length[at]
+
+    @staticmethod
+    def streets(u: np.ndarray, v: np.ndarray, length: np.ndarray) -> dict[int, list[tuple[int, float]]]:
+        """The same by the node they leave."""
         out: dict[int, list[tuple[int, float]]] = {}
-        for a, b, metres in zip(u[at].tolist(), self.v[at].tolist(), self.length[at].tolist()):
+        for a, b, metres in zip(u.tolist(), v.tolist(), length.tolist()):
             out.setdefault(a, []).append((b, metres))
         return out
 
@@ -189,6 +247,15 @@ class Network:
         return [int(others[k]) for k in drawn[:stops]] if len(others) >= 2 and len(drawn) >= stops else None
 
 
+def _ways(nodes: int, streets: tuple[np.ndarray, np.ndarray, np.ndarray], sources: list[int]) -> Callable[[int, int], list[int] | None]:
+    """A function of (source, target) that has the way between them, or none."""
+    all_ = Trees(nodes, *streets, sources)
+    if all_.known:
+        return all_.way
+    out, trees = Network.streets(*streets), {}
+    return lambda a, b: trees.setdefault(a, Tree(a, out)).way(b)
+
+
 _FOUND = "request_id long, route_no long, strategy string, seq long, node_id long, nodes long"
 
 
@@ -206,21 +273,25 @@ def _search(key: tuple, asked: pa.Table, packed: pa.Table) -> pa.Table:
             rows.append((request, None, None, None, None, int(own.sum())))
             if own.sum() < graph.LEAST_NODES:
                 continue
-            out, trees = network.streets(own), {}
+            number, ids = np.cumsum(own) - 1, network.ids[own]
+            loops_ = []
             for row in sorted((r for r in tries_ if r["route_no"] >= 0), key=lambda r: r["route_no"]):
                 if row["draws"] is None:
-                    stops = np.searchsorted(network.ids, row["loop"]).tolist()
+                    stops = np.searchsorted(network.ids, row["loop"])
                 else:
                     start = int(np.searchsorted(network.ids, row["start"]))
                     chosen = network.pick(own, start, row["draws"], row["stops"])
-                    stops = [start, *chosen, start] if chosen else []
+                    stops = np.array([start, *chosen, start] if chosen else [], dtype=np.int64)
+                loops_.append((row, number[stops].tolist()))
+            way_of = _ways(len(ids), network.between(own), list(dict.fromkeys(a for _, stops in loops_ for a in stops[:-1])))
+            for row, stops in loops_:
                 way = stops[:1]
                 for a, b in zip(stops, stops[1:]):
-                    leg = trees.setdefault(a, Tree(a, out)).way(b)
+                    leg = way_of(a, b)
                     way = way + leg[1:] if leg and way else []
                 if row["strategy"] == "out_and_back":
                     way += way[-2::-1]
-                rows += [(request, row["route_no"], row["strategy"], k, int(network.ids[n]), None) for k, n in enumerate(way)]
+                rows += [(request, row["route_no"], row["strategy"], k, n, None) for k, n in enumerate(ids[way].tolist() if way else [])]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
     columns = list(zip(*rows)) if rows else [()] * len(kinds)
     return pa.table([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in _FOUND.split(", ")])
@@ -250,8 +321,8 @@ def networks(boxes: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[Data
     return inside, settle(between.groupBy("network", "u", "v").agg(F.min("length").alias("length")))
 
 
-def _by_helper(asked: DataFrame, own_nodes: DataFrame, own_edges: DataFrame) -> DataFrame:
-    """Rows of ``_search``: tries (with network and slice) meet their network, packed once, in slices."""
+def _by_helper(asked: DataFrame, own_nodes: DataFrame, own_edges: DataFrame, asks: int) -> DataFrame:
+    """Rows of ``_search``: tries (with network and slice) of ``asks`` requests meet their network, packed once, in slices."""
     packed = own_nodes.groupBy("network").agg(F.collect_list(F.struct("node_id", "lat", "lon")).alias("n"))
     streets = own_edges.groupBy("network").agg(F.collect_list(F.struct("u", "v", "length")).alias("e"))
     none = F.array().cast("array<struct<u:bigint,v:bigint,length:double>>")
@@ -261,6 +332,9 @@ def _by_helper(asked: DataFrame, own_nodes: DataFrame, own_edges: DataFrame) ->
     wanted = asked.select("network", "slice").distinct()
     both = unbroadcast(wanted).join(packed, "network")
     asked, both = asked.toDF(*asked.columns), both.toDF(*both.columns)  # columns of their own, whatever they come from
+    # small in bytes and long in time: a number of tasks that Spark does not merge by their bytes
+    tasks = max(-(-asks // TASK), asked.sparkSession.sparkContext.defaultParallelism)
+    asked, both = (x.repartition(tasks, "network", "slice") for x in (asked, both))
     return asked.groupBy("network", "slice").cogroup(both.groupBy("network", "slice")).applyInArrow(_search, _FOUND)
 
 
@@ -317,7 +391,7 @@ def loops(
     whole = unbroadcast(tried.select(*KEYS, "strategy", "start").join(random_draws(tried, seed), KEYS, "left").join(loop, KEYS, "left"))
     # a request whose every try fell out still has its number of nodes
     asked = small.join(whole.filter("loop IS NOT NULL OR draws IS NOT NULL"), "request_id", "left").withColumn("route_no", F.coalesce("route_no", F.lit(-1)))
-    found = _by_helper(asked, own_nodes, own_edges)
+    found = _by_helper(asked, own_nodes, own_edges, boxes.count())
     if not large.isEmpty():
         rest = settle(boxes.join(large, "network", "left_semi"))
         ids = rest.select("request_id")

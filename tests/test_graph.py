@@ -499,6 +499,35 @@ def test_tries_are_not_broadcast(spark, sf, monkeypatch, strategy):
     assert candidates.loops(asked, *tables[1:], (strategy,))[0].count() and seen == [0]
 
 
+@pytest.mark.parametrize("step,odd", [(1, []), (25, []), (25, [(7, 8, 0, 0.0), (8, 7, 0, 0.0)]), (1, [(3, 90, 0, float("nan")), (90, 3, 0, 1e-300)])])
+def test_ways_of_all_stops_at_once_are_those_of_each(step, odd):
+    import numpy as np
+
+    n = 12
+    streets = [(u, v, length) for u, v, _, length in [*lattice(n, 4, step), *odd] if u != 17]
+    u, v, length = (np.array(c) for c in zip(*streets))
+    sources = [0, 50, n * n - 1]
+    trees = candidates.Trees(n * n + 1, u, v, length, sources)
+    assert trees.known == (not odd)  # streets that change no sum are left to the search from each
+    way_of = candidates._ways(n * n + 1, (u, v, length), sources)
+    out = candidates.Network.streets(u, v, length)
+    for s in sources:
+        tree = candidates.Tree(s, out)
+        assert all(way_of(s, t) == tree.way(t) for t in range(n * n + 1))
+
+
+def test_searches_are_dealt_to_tasks_by_their_number(spark, sf, monkeypatch):
+    """Slices are few bytes and long work: Spark does not merge their partitions."""
+    monkeypatch.setattr(candidates, "SLICE", 1)
+    monkeypatch.setattr(candidates, "TASK", 1)
+    made, plain = [], candidates._by_helper
+    monkeypatch.setattr(candidates, "_by_helper", lambda *a: (made.append(plain(*a)), made[0])[1])
+    asked, nodes, edges = (fixture(spark, sf, n) for n in ("town_requests", "town_nodes", "town_edges"))
+    many = asked.crossJoin(spark.range(8)).withColumn("request_id", F.col("request_id") * 8 + F.col("id")).drop("id")
+    candidates.candidate_routes(many, nodes, edges)
+    assert made[0].rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
 def test_places_of_routes_and_found_stops_are_not_broadcast(spark, monkeypatch):
     seen, plain = [], graph.settle
     monkeypatch.setattr(graph, "settle", lambda df: (df.collect(), seen.append(_broadcast_nodes(df)), plain(df))[2])
