@@ -537,3 +537,14 @@ def test_places_of_routes_and_found_stops_are_not_broadcast(spark, monkeypatch):
     boxes = graph.with_boxes(nodes.selectExpr("node_id AS request_id", "lat", "lon", "500D AS radius_m"))
     assert graph.nearest_in_box(nodes.selectExpr("node_id AS request_id", "0 AS place", "lat", "lon"), boxes, nodes, ["request_id", "place"]).count() == 50
     assert seen and not any(seen)
+
+
+def test_ways_are_not_broadcast(spark, monkeypatch):
+    """Nor is any table of pointers that ways are filled from: their compressed files are small at any size."""
+    seen, plain = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df: (df.collect(), seen.append(_broadcast_nodes(df)), plain(df))[2])
+    edges = spark.range(12).selectExpr("id AS u", "id + 1 AS v", "0 AS key", "1D AS length")
+    sources = spark.range(1).selectExpr("id AS request_id", "id AS source")
+    paths = plain(graph.shortest_paths(sources, edges, KEY))
+    found = graph.ways(paths, paths.withColumn("target", F.col("node_id")), KEY)
+    assert len(found.collect()) == 13 * 14 // 2 and seen and not any(seen) and not _broadcast_nodes(found)
