@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loopmill.functions import geo
-from loopmill.operators import candidates, graph, places, ranking
+from loopmill.operators import blocks, candidates, graph, places, ranking
 from loopmill.sources import gpx
 from loopmill.sources.fixtures import fixture
 from loopmill.streaming import gpx_stream
@@ -81,6 +81,55 @@ def test_rounds_take_many_streets_and_ways_are_dijkstras(spark, hops, seed, step
     assert made == plain
 
 
+@pytest.mark.parametrize("size,step,max_m", [(90, 1, None), (40, 25, None), (90, 25, 1500.0), (10**6, 1, None)])
+def test_blocks_of_one_network_are_dijkstras(spark, monkeypatch, size, step, max_m):
+    """A lattice of 24 x 24 nodes in blocks, with streets of no length in and between blocks, also as rings, nodes without a
+    place, a street back across all of it, and a source without streets."""
+    monkeypatch.setattr(blocks, "BLOCK", size)
+    n, draw = 24, random.Random(size + step)
+    edges = [*lattice(n, 3, step), (n * n - 1, 1, 0, 10.0), (5, n * n + 5, 0, 0.0), (n * n + 5, 5, 0, 0.0), (n * n + 5, n * n + 6, 0, 3.0)]
+    for _ in range(60):
+        u = draw.randrange(n * n - n)
+        edges += [(u, u + n, 1, 0.0), (u + n, u, 1, 0.0)]
+    table = spark.createDataFrame(edges, "u long, v long, key long, length double")
+    rows = [(i * n + j, 42 + i * 0.001, -71 + j * 0.001) for i in range(n) for j in range(n)]
+    rows[7], rows[300], rows[410] = (7, None, -71.0), (300, float("nan"), 1.0), (410, 42.0, None)
+    nodes = spark.createDataFrame(rows, "node_id long, lat double, lon double")
+    sources = spark.createDataFrame([(1, 0), (2, n + 3), (2, 10**6), (None, 0)], "request_id long, source long")
+    paths = graph.shortest_paths(sources, table, KEY, max_m=max_m, most_rounds=40, nodes=nodes).cache()
+    got = {(r.request_id, r.source, r.node_id): r.dist for r in paths.collect()}
+    assert len(got) == paths.count()
+    want = {}
+    for key, source in ((1, 0), (2, n + 3), (2, 10**6)):
+        want |= {(key, source, v): d for v, d in dijkstra(edges, source)[0].items() if max_m is None or d <= max_m}
+    assert got == want
+    # nodes before each other lead to the source over streets of that length
+    light = {}
+    for u, v, _, length in edges:
+        light[u, v] = min(length, light.get((u, v), math.inf))
+    before = {(r.request_id, r.source, r.node_id): r.before for r in paths.collect()}
+    for (key, source, v), d in want.items():
+        hops = 0
+        while before[key, source, v] is not None:
+            u = before[key, source, v]
+            assert want[key, source, u] + light[u, v] == want[key, source, v] and (hops := hops + 1) <= n * n + 2
+            v = u
+        assert v == source
+
+
+def test_one_town_takes_rounds_by_blocks(spark, monkeypatch):
+    """Tables written for the least ways of a town of 1,500 nodes, 39 streets wide: they do not follow its width."""
+    from loopmill.jobs import registry
+
+    written = []
+    for module in (graph, blocks):
+        plain = module.settle
+        monkeypatch.setattr(module, "settle", lambda df, plain=plain: (written.append(1), plain(df))[1])
+    monkeypatch.setattr(graph, "way_sums", lambda paths, keys: paths.selectExpr("request_id", "source", "node_id AS target"))
+    assert registry.queries()["g1_town_ways"](spark, "/root/testdata/sf0.01").count() == 1500
+    assert len(written) < 10
+
+
 def test_paths_of_nothing(spark):
     edges = spark.createDataFrame([], "u long, v long, key long, length double")
     none = spark.createDataFrame([], "request_id long, source long")
